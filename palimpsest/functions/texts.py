@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from palimpsest.functions.described_types import display_type, normal_type
+from palimpsest.functions.described_types import display_type, let, normal_type
 from palimpsest.functions.names import unqualify
 
 # Words a statement may not start with.
@@ -71,16 +71,23 @@ def canonical_text(text: Column) -> Column:
 
 def canonical_default(expression: Column, column_type: Column) -> Column:
     """Default of a column: literals and null carry their type, sequences their bare name."""
-    plain = canonical_text(F.coalesce(expression, F.lit("")))
-    sequence = unqualify(F.regexp_extract(plain, r"^nextval\( ?'(.+)' ?\)\z", 1))
-    single = plain.rlike(r"^('[^']*(?:''[^']*)*+'|null)\z")
-    shown = display_type(normal_type(display_type(column_type), "catalog"))
-    return (
-        F.when(plain == "", F.lit(""))
-        .when(sequence != "", F.concat(F.lit("nextval('"), sequence, F.lit("'::regclass)")))
-        .when(single, F.concat(plain, F.lit("::"), shown))
-        .otherwise(plain)
-    )
+
+    def of_plain(plain: Column) -> Column:
+        sequence = unqualify(F.regexp_extract(plain, r"^nextval\( ?'(.+)' ?\)\z", 1))
+        single = plain.rlike(r"^('[^']*(?:''[^']*)*+'|null)\z")
+        shown = display_type(normal_type(display_type(column_type), "catalog"))
+        return (
+            F.when(plain == "", F.lit(""))
+            .when(single, F.concat(plain, F.lit("::"), shown))
+            .otherwise(
+                let(
+                    sequence,
+                    lambda name: F.when(name != "", F.concat(F.lit("nextval('"), name, F.lit("'::regclass)"))).otherwise(plain),
+                )
+            )
+        )
+
+    return let(canonical_text(F.coalesce(expression, F.lit(""))), of_plain)
 
 
 def split_top_level(text: Column) -> Column:

@@ -103,7 +103,7 @@ def split_arguments(df: DataFrame, ids: Sequence[str], arguments: str) -> DataFr
     return parts.select(*ids, (F.col("_at") + 1).alias("ordinal"), "argument")
 
 
-def name_collisions(df: DataFrame, id_column: str, safe: Column, limit: int | None = None) -> DataFrame:
+def name_collisions(df: DataFrame, id_column: str, safe: Column) -> DataFrame:
     """Different ids that share a safe name: safe_name, ids, first_id, last_id."""
     named = df.select(safe.alias("safe_name"), F.col(id_column).alias("_id")).distinct()
     shared = named.groupBy("safe_name").agg(F.count(F.lit(1)).alias("ids"), F.min("_id").alias("first_id"), F.max("_id").alias("last_id"))

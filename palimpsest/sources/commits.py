@@ -17,7 +17,7 @@ def with_commit_ids(df: DataFrame, zone: str = "UTC") -> tuple[DataFrame, DataFr
     empty optional fields as absent. Parents must be well-formed hashes; that they exist is checked
     when a ref is set or the history is walked.
     """
-    utc = F.to_utc_timestamp(F.col("ts").cast("timestamp_ntz").cast("string"), zone)
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), F.col("ts").cast("timestamp_ntz"))
     filled = empty_as_absent(df, ["parents", "migration_id", "risk_level"]).withColumn("ts", F.date_format(utc, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     parents = F.coalesce("parents", F.array().cast("array<string>"))
     reason = F.when(~is_hash(F.col("schema_hash")), "invalid schema hash").when(F.exists(parents, lambda p: ~is_hash(p)), "invalid parent hash")
@@ -33,4 +33,5 @@ def verify_commits(commits: DataFrame) -> DataFrame:
 
 def write_commits(commits: DataFrame, path: str) -> None:
     """Append commits, partitioned by hash prefix."""
-    commits.withColumn("prefix", F.substring("sha", 1, 2)).repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+    prefixed = commits.withColumn("prefix", F.substring("sha", 1, 2))
+    prefixed.hint("rebalance", F.col("prefix")).write.mode("append").partitionBy("prefix").parquet(path)

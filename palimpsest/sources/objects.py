@@ -25,18 +25,19 @@ def put_if_absent(objects: DataFrame, store: DataFrame, content: str = "content"
     return offered.join(held, "sha", "left").select("sha", "content", outcome.alias("outcome"))
 
 
-def append_new(outcomes: DataFrame, path: str) -> None:
-    """Append the new objects of `put_if_absent`; one writer per store."""
-    fresh = outcomes.filter("outcome = 'new'").select("sha", "content", F.substring("sha", 1, PREFIX_DIGITS).alias("prefix"))
-    fresh.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(path)
+def append_new(outcomes: DataFrame, path: str, digits: int = PREFIX_DIGITS) -> None:
+    """Append the new objects of `put_if_absent`; one writer per store, with one prefix length."""
+    fresh = outcomes.filter("outcome = 'new'").select("sha", "content", F.substring("sha", 1, digits).alias("prefix"))
+    # Rebalancing keeps few files per prefix and still splits what is too large for one task.
+    fresh.hint("rebalance", F.col("prefix")).write.mode("append").partitionBy("prefix").parquet(path)
 
 
-def read_objects(spark: SparkSession, path: str, sha: str | None = None) -> DataFrame:
+def read_objects(spark: SparkSession, path: str, sha: str | None = None, digits: int = PREFIX_DIGITS) -> DataFrame:
     """Stored objects; a single hash reads its prefix folder only."""
     stored = spark.read.schema("sha string, content string, prefix string").parquet(path)
     if sha is None:
         return stored.select("sha", "content")
-    return stored.filter((F.col("prefix") == sha[:PREFIX_DIGITS]) & (F.col("sha") == sha)).select("sha", "content")
+    return stored.filter((F.col("prefix") == sha[:digits]) & (F.col("sha") == sha)).select("sha", "content")
 
 
 def verify_objects(store: DataFrame, stored: str = "sha", content: str | Sequence[str] = "content") -> DataFrame:

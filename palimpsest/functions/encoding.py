@@ -33,18 +33,27 @@ def value_text(value: Column, dtype: T.DataType) -> Column:
     return value.cast("string")
 
 
-def encode(value: Column, dtype: T.DataType) -> Column:
-    """`N` for null, else `V<bytes>:<text>`, so neighbouring values can never run together."""
+def _parts(value: Column, dtype: T.DataType) -> list[Column]:
+    """Pieces of one encoded value, to be concatenated.
+
+    Numbers, times and flags end with `;` and can hold none; other values carry their length in
+    front. Null is `N;` or `N:`, which no number or length looks like.
+    """
     text = value_text(value, dtype)
-    return F.when(value.isNull(), F.lit("N")).otherwise(
-        F.concat(F.lit("V"), F.octet_length(text).cast("string"), F.lit(":"), text)
-    )
+    if isinstance(dtype, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return [F.coalesce(text, F.lit("N")), F.lit(";")]
+    return [F.coalesce(F.octet_length(text).cast("string"), F.lit("N")), F.lit(":"), F.coalesce(text, F.lit(""))]
+
+
+def encode(value: Column, dtype: T.DataType) -> Column:
+    """Encoding of one value; neighbouring values can never run together."""
+    return F.concat(*_parts(value, dtype))
 
 
 def row_text(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """Encoding of the named columns (all by default), in the given order."""
     names = list(columns or df.columns)
-    return F.concat(F.lit(""), *[encode(F.col(f"`{n}`"), df.schema[n].dataType) for n in names])
+    return F.concat(F.lit(""), *[part for n in names for part in _parts(F.col(f"`{n}`"), df.schema[n].dataType)])
 
 
 def content_id(df: DataFrame, columns: Sequence[str] | None = None) -> Column:

@@ -1,9 +1,10 @@
 """Content fingerprints of tables and groups that do not depend on row order.
 
-Each row is hashed with SHA-256. The hashes of a bucket are added up lane by lane (four lanes of
-56 bits), which is exact, counts duplicates, needs no sort and combines before the shuffle: what
-travels is one small row per bucket and task, whatever the table size. The root hashes the
-column names and the bucket digests.
+Each row is hashed with SHA-256. The hashes of a bucket are added up lane by lane (nine lanes of
+20 bits, room for 2^43 rows per bucket, beyond which the sum fails rather than wraps). That is
+exact, counts duplicates, needs no sort and combines before the shuffle: what travels is one small
+row per bucket and task, whatever the table size. The root hashes the column names and the bucket
+digests.
 """
 
 from __future__ import annotations
@@ -14,17 +15,27 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.functions.encoding import content_id
 
-LANES, LANE_DIGITS = 4, 14
+WORDS, WORD_DIGITS = 3, 15
+LANE_BITS, LANES = 20, 9
 
 
-def _lane_sums(row_hash: str) -> list[Column]:
-    # 56 bits in decimal(28): the sum is decimal(38), room for 10^21 rows.
+def _words(row_hash: str) -> list[Column]:
+    """The first 180 bits of the hash as three numbers, read once per row."""
     return [
-        F.sum(F.conv(F.substring(row_hash, 1 + LANE_DIGITS * i, LANE_DIGITS), 16, 10).cast("decimal(28,0)")).alias(f"_lane{i}")
-        for i in range(LANES)
+        F.conv(F.substring(row_hash, 1 + WORD_DIGITS * i, WORD_DIGITS), 16, 10).cast("bigint").alias(f"_word{i}") for i in range(WORDS)
     ]
 
 
+def _lane_sums() -> list[Column]:
+    mask = (1 << LANE_BITS) - 1
+    sums = []
+    for lane in range(LANES):
+        word, place = divmod(lane, LANES // WORDS)
+        shift = LANE_BITS * (LANES // WORDS - 1 - place)
+        sums.append(F.sum(F.shiftright(f"_word{word}", shift).bitwiseAND(F.lit(mask))).alias(f"_lane{lane}"))
+    return sums
+
+
 def _digest(count: str) -> Column:
     return F.sha2(F.concat_ws("|", F.col(count).cast("string"), *[F.col(f"_lane{i}").cast("string") for i in range(LANES)]), 256)
 
@@ -39,8 +50,9 @@ def bucket_hashes(df: DataFrame, columns: Sequence[str] | None = None, keys: Seq
         *([content_id(df, keys).alias("_key")] if keys else []),
     )
     return (
-        hashed.groupBy(F.substring("_key" if keys else "_row", 1, digits).alias("bucket"))
-        .agg(F.count(F.lit(1)).alias("row_count"), *_lane_sums("_row"))
+        hashed.select(F.substring("_key" if keys else "_row", 1, digits).alias("bucket"), *_words("_row"))
+        .groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("row_count"), *_lane_sums())
         .select("bucket", "row_count", _digest("row_count").alias("digest"))
     )
 
@@ -62,7 +74,8 @@ def group_hash(df: DataFrame, group: Sequence[str], columns: Sequence[str], pref
     """Row count and content hash per group; groups with equal content have equal hashes."""
     hashed = df.select(*group, content_id(df, columns).alias("_row"))
     return (
-        hashed.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("row_count"), *_lane_sums("_row"))
+        hashed.select(*group, *_words("_row"))
+        .groupBy(*group)
+        .agg(F.count(F.lit(1)).alias("row_count"), *_lane_sums())
         .select(*group, "row_count", _digest("row_count").alias(f"{prefix}_hash"))
     )

@@ -90,7 +90,7 @@ def s3(spark, sf):
 
 
 COMMIT_SQL = f"""
-p as (select child, list(parent order by idx) ps, string_agg('V64:'||parent, '' order by idx) pt, count(*) np from edges group by child),
+p as (select child, list(parent order by idx) ps, string_agg('64:'||parent, '' order by idx) pt, count(*) np from edges group by child),
 c as (select s.repo_id, sha256(o.o_orderstatus) schema_hash, case when o.o_orderkey%2=0 then 'm'||o.o_orderkey::varchar else '' end migration_id,
    'user'||s.repo_id::varchar author, strftime(s.ts - interval 9 hour, '%Y-%m-%d %H:%M:%S.%f') ts, o.o_orderpriority message,
    np||'['||pt||']' parents, s.o_orderkey
@@ -100,7 +100,7 @@ c as (select s.repo_id, sha256(o.o_orderstatus) schema_hash, case when o.o_order
 @registry.add(
     "s4_write_commits",
     f"""with recursive {HISTORY_SQL}, {COMMIT_SQL}
-    select repo_id, o_orderkey, sha256({encoded("parents", "schema_hash", "nullif(migration_id,'')", "author", "ts", "message", "null")}) as sha, ts from c""",
+    select repo_id, o_orderkey, sha256({encoded("parents$", "schema_hash$", "nullif(migration_id,'')$", "author$", "ts$", "message$", "null$")}) as sha, ts from c""",
 )
 def s4(spark, sf):
     h = history(spark, sf)
@@ -177,17 +177,24 @@ def s9(spark, sf):
 
 LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
-_LANES = ", ".join(f"sum(('0x'||substr(h,{1 + 14 * i},14))::bigint)::varchar l{i}" for i in range(4))
-_DIGEST = "sha256(n::varchar||'|'||l0||'|'||l1||'|'||l2||'|'||l3)"
+TEXT_COLUMNS = {"l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority"}
+
+
+def _marked(columns: list[str]) -> list[str]:
+    return [c + "$" if c in TEXT_COLUMNS else c for c in columns]
+
+
+_LANES = ", ".join(f"sum(('0x'||substr(h,{1 + 5 * i},5))::bigint)::varchar l{i}" for i in range(9))
+_DIGEST = "sha256(n::varchar" + "".join(f"||'|'||l{i}" for i in range(9)) + ")"
 
 
 def _table_hash_sql(name: str, columns: list[str]) -> str:
-    return f"""with h as (select sha256({encoded(*columns)}) h from {name}),
+    return f"""with h as (select sha256({encoded(*_marked(columns))}) h from {name}),
     b as (select substr(h,1,2) bucket, count(*) n, {_LANES} from h group by 1)
     select sum(n)::bigint as row_count, sha256('{"|".join(columns)}'||chr(10)||string_agg(bucket||{_DIGEST}, '' order by bucket)) as root_hash from b"""
 
 
-@registry.add("f1_content_id", f"select o_orderkey, sha256({encoded(*ORDER_COLUMNS)}) as id from orders")
+@registry.add("f1_content_id", f"select o_orderkey, sha256({encoded(*_marked(ORDER_COLUMNS))}) as id from orders")
 def f1(spark, sf):
     orders = table(spark, sf, "orders")
     return orders.select("o_orderkey", content_id(orders, ORDER_COLUMNS).alias("id"))
@@ -205,7 +212,7 @@ def a8_orders(spark, sf):
 
 @registry.add(
     "a8_bucket_hashes",
-    f"""with h as (select sha256({encoded(*ORDER_COLUMNS)}) h, sha256({encoded("o_orderkey")}) kh from orders),
+    f"""with h as (select sha256({encoded(*_marked(ORDER_COLUMNS))}) h, sha256({encoded("o_orderkey")}) kh from orders),
     b as (select substr(kh,1,2) bucket, count(*) n, {_LANES} from h group by 1)
     select bucket, n as row_count, {_DIGEST} as digest from b""",
 )
@@ -213,7 +220,7 @@ def a8_buckets(spark, sf):
     return bucket_hashes(table(spark, sf, "orders"), ORDER_COLUMNS, ["o_orderkey"])
 
 
-_GROUP_SQL = f"""h as (select l_orderkey, sha256({encoded("l_linenumber", "l_returnflag", "l_linestatus")}) h from lineitem),
+_GROUP_SQL = f"""h as (select l_orderkey, sha256({encoded("l_linenumber", "l_returnflag$", "l_linestatus$")}) h from lineitem),
     g as (select l_orderkey, count(*) n, {_LANES} from h group by 1), o as (select l_orderkey, n, {_DIGEST} as order_hash from g)"""
 
 

@@ -41,8 +41,15 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def encoded(*columns: str) -> str:
-    """SQL of the row encoding for columns whose text is the same in both engines."""
-    return " || ".join(f"(case when {c} is null then 'N' else 'V' || strlen(({c})::varchar) || ':' || ({c})::varchar end)" for c in columns)
+    """SQL of the row encoding; texts and lists are marked with a trailing `$`."""
+    pieces = []
+    for column in columns:
+        if column.endswith("$"):
+            text = f"({column[:-1]})::varchar"
+            pieces.append(f"coalesce(strlen({text})::varchar, 'N') || ':' || coalesce({text}, '')")
+        else:
+            pieces.append(f"coalesce(({column})::varchar, 'N') || ';'")
+    return " || ".join(pieces)
 
 
 # --- versions of orders -------------------------------------------------------------------------

@@ -14,7 +14,9 @@ REFUSED_STARTS = ("\\", "copy ", "create database", "drop database")
 
 # Quoted text, quoted name, comments, then anything between them. The single character at the
 # end takes a quote or comment mark that is never closed.
-PIECES = r"""'[^']*(?:''[^']*)*+'|"[^"]*(?:""[^"]*)*+"|--[^\n]*|/\*[\s\S]*?\*/|[^'"/\-]+|[\s\S]"""
+QUOTED = r"""'[^']*(?:''[^']*)*+'|"[^"]*(?:""[^"]*)*+["]"""
+WITH_COMMENTS = QUOTED + r"""|--[^\n]*|/\*[\s\S]*?\*/|[^'"/\-]+|[\s\S]"""
+WITHOUT_COMMENTS = QUOTED + r"""|[^'"]+|[\s\S]"""
 
 # `::type`, with words, modifiers and array marks that belong to the type.
 CAST = (
@@ -50,7 +52,10 @@ def canonical_text(text: Column) -> Column:
 
     Quoted texts and names are kept as written.
     """
-    lead = F.regexp_extract_all(text, F.lit(f"({PIECES})"), F.lit(1))
+    def without_comments(written: Column) -> Column:
+        pieces = F.regexp_extract_all(written, F.lit(f"({WITH_COMMENTS})"), F.lit(1))
+        kept = F.transform(pieces, lambda piece: F.when(piece.rlike(r"^(--|/\*)"), F.lit(" ")).otherwise(piece))
+        return F.when(written.rlike(r"--|/\*"), F.array_join(kept, "")).otherwise(written)
 
     def plain(piece: Column) -> Column:
         lowered = F.regexp_replace(F.lower(piece), r"\bpublic\s*\.\s*", "")
@@ -59,14 +64,9 @@ def canonical_text(text: Column) -> Column:
         tight = F.regexp_replace(F.regexp_replace(spaced, r" ?([,)\]]) ?", "$1 "), r"([(\[]) ", "$1")
         return F.regexp_replace(tight, r" ([,)\]])", "$1")
 
-    kept = F.transform(
-        lead,
-        lambda piece: F.when(piece.rlike(r"""^['"]."""), piece)
-        .when(piece.rlike(r"^(--|/\*)"), F.lit(" "))
-        .otherwise(plain(piece)),
-    )
-    joined = F.array_join(kept, "")
-    return F.regexp_replace(joined, r"^[\s]+|[\s;]+$", "")
+    pieces = F.regexp_extract_all(without_comments(text), F.lit(f"({WITHOUT_COMMENTS})"), F.lit(1))
+    kept = F.transform(pieces, lambda piece: F.when(piece.rlike(r"""^['"]."""), piece).otherwise(plain(piece)))
+    return F.regexp_replace(F.array_join(kept, ""), r"^[\s]+|[\s;]+$", "")
 
 
 def canonical_default(expression: Column, column_type: Column) -> Column:

@@ -23,7 +23,9 @@ def t1(spark, sf):
 
 
 # The same steps in the other engine's regular expressions, which have no possessive repeats.
-_PIECES = r"""('[^'']*(?:''''[^'']*)*''|"[^"]*(?:""[^"]*)*"|--[^\n]*|/\*(?s:.*?)\*/|[^''"/\-]+|(?s:.))""".replace("'[^'']*(?:''''", "''[^'']*(?:''''", 1)
+_QUOTED = r"""''[^'']*(?:''''[^'']*)*''|"[^"]*(?:""[^"]*)*["]"""
+_WITH_COMMENTS = _QUOTED + r"""|--[^\n]*|/\*(?s:.*?)\*/|[^''"/\-]+|(?s:.)"""
+_WITHOUT_COMMENTS = _QUOTED + r"""|[^''"]+|(?s:.)"""
 _CAST = r"\s*::\s*[a-z_][a-z0-9_]*(?:\.[a-z_][a-z0-9_]*)*(?:\s*\([^)]*\))?(?:\s+(?:varying|precision|without|with|time|zone)\b)*(?:\s*\([^)]*\))?(?:\s*\[\])*"
 
 
@@ -38,8 +40,12 @@ def canonical_sql(text: str) -> str:
         (r" ([,)\]])", r"\1"),
     ):
         plain = f"regexp_replace({plain}, '{pattern}', '{by}', 'g')"
-    kept = f"""case when regexp_matches(x, '^[''"](?s:.)') then x when regexp_matches(x, '^(--|/\\*)') then ' ' else {plain} end"""
-    joined = f"array_to_string(list_transform(regexp_extract_all({text}, '{_PIECES}', 1), lambda x: {kept}), '')"
+    bare = (
+        f"""case when regexp_matches({text}, '--|/\\*') then array_to_string(list_transform(regexp_extract_all({text}, '({_WITH_COMMENTS})', 1), """
+        f"""lambda x: case when regexp_matches(x, '^(--|/\\*)') then ' ' else x end), '') else {text} end"""
+    )
+    kept = f"""case when regexp_matches(x, '^[''"](?s:.)') then x else {plain} end"""
+    joined = f"array_to_string(list_transform(regexp_extract_all({bare}, '({_WITHOUT_COMMENTS})', 1), lambda x: {kept}), '')"
     return rf"regexp_replace({joined}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r;]+$', '', 'g')"
 
 

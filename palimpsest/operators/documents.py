@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from palimpsest.functions.names import object_id
 from palimpsest.operators.aggregates import nest
 from palimpsest.operators.ordinals import densify
+from palimpsest.session import durable
 
 
 def canonical_order(value: Column, dtype: T.DataType) -> Column:
@@ -41,7 +42,9 @@ def assemble_tables(columns: DataFrame, constraints: DataFrame, indexes: DataFra
     def identified(df: DataFrame, kind: str) -> DataFrame:
         return df.withColumn("id", object_id(kind, F.col("nspname"), F.col("relname"), F.col("name")))
 
-    tables = columns.select(*table).distinct()
+    # Each relation is counted, joined and gathered: computing it once is cheaper than its lineage.
+    columns, constraints, indexes = durable(columns), durable(constraints), durable(indexes)
+    tables = durable(columns.select(*table).distinct())
     ranked = densify(identified(columns, "column"), table, ["id"], limit=limit)
     column = F.struct("id", "name", "ordinal", "type", "nullable", "default")
     constraint = F.struct("id", "name", "type", "columns")
@@ -64,7 +67,7 @@ def assemble_namespaces(tables: DataFrame, views: DataFrame, enums: DataFrame, s
     Each input has `nspname` and `id`; its other columns become the member object. A namespace
     exists as soon as any kind of object mentions it.
     """
-    kinds = {"tables": tables, "views": views, "enums": enums, "sequences": sequences}
+    kinds = {name: durable(df) for name, df in {"tables": tables, "views": views, "enums": enums, "sequences": sequences}.items()}
     names = None
     for df in kinds.values():
         seen = df.select("nspname")

@@ -30,9 +30,7 @@ def gate(changes: DataFrame, scope: Sequence[str] = (), block: bool | None = Non
     bad = changes.filter(F.col("risk") == "destructive")
     if scope:
         return changes.join(bad.select(*scope).distinct(), list(scope), "left_anti")
-    found = bad.agg((F.count(F.lit(1)) > 0).alias("_found"))
-    # One row, whatever the number of changes.
-    return changes.join(F.broadcast(found), ~F.col("_found"), "left_semi")
+    return changes.where(~bad.exists())
 
 
 def schema_diff(left: DataFrame, right: DataFrame, key: str, optional: Sequence[str] = ()) -> DataFrame:

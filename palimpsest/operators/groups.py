@@ -53,15 +53,12 @@ def _spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     spread = durable(combined.repartitionByRange(tasks, *by).withColumn("_task", F.spark_partition_id()))
 
     per_task = spread.groupBy(*keys, "_task").agg(F.sum("_copies").alias("_rows"))
-    border = per_task.groupBy(*keys).agg(F.collect_list(F.struct("_task", "_rows")).alias("_tasks")).filter(F.size("_tasks") > 1)
-    shifts = border.select(*keys, F.explode("_tasks").alias("_at"), "_tasks").select(
-        *[F.col(f"`{k}`").alias(f"_k_{k}") for k in keys],
-        F.col("_at._task").alias("_s_task"),
-        F.aggregate(
-            F.filter("_tasks", lambda t: t["_task"] < F.col("_at")["_task"]),
-            F.lit(0).cast("bigint"),
-            lambda total, t: total + t["_rows"],
-        ).alias("_shift"),
+    group = W.partitionBy(*keys)  # at most one row per task in a group
+    earlier = group.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)
+    shifts = (
+        per_task.withColumns({"_spans": F.count(F.lit(1)).over(group), "_shift": F.sum("_rows").over(earlier)})
+        .filter("_spans > 1 and _shift is not null")
+        .select(*[F.col(f"`{k}`").alias(f"_k_{k}") for k in keys], F.col("_task").alias("_s_task"), "_shift")
     )
     window = W.partitionBy(*keys, "_task").orderBy(*by).rowsBetween(W.unboundedPreceding, -1)
     local = spread.withColumn("_before", F.coalesce(F.sum("_copies").over(window), F.lit(0)))

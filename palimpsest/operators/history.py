@@ -11,7 +11,7 @@ text order is number order.
 **Rounds.** Runs of commits with one parent and one child are contracted first by pointer jumping
 (log2 of the longest run), and the walk then goes from run to run. A linear history of a million
 commits takes some twenty rounds instead of a million. Each round is written to the checkpoint
-folder.
+folder; rounds that move few labels broadcast them and shuffle nothing large.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from palimpsest.session import durable
 
 PART_WIDTH = 8
 RUN_BLOCK = 100_000
+BROADCAST_ROWS = 10_000
+MAX_PIECES = 12
 
 
 def edges_of(commits: DataFrame, parents: str = "parents") -> DataFrame:
@@ -30,28 +32,30 @@ def edges_of(commits: DataFrame, parents: str = "parents") -> DataFrame:
     return commits.select("repo_id", F.col("sha").alias("child"), F.posexplode(parents).alias("idx", "parent"))
 
 
-def _runs(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _size(df: DataFrame) -> int:
+    """Rows of a materialised table, counted up to the size that may be broadcast."""
+    return df.limit(BROADCAST_ROWS + 1).count()
+
+
+def _contract(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Contract linear runs: (members, exits).
 
     members(repo_id, sha, top, offset): the run of a commit, named by its newest commit, and the
     distance from it. exits(repo_id, top, idx, many, parent, steps): edges from the run's last
-    commit to the next runs.
+    commit to the next runs. Commits no start can reach may be left out.
     """
+    asked = starts.select("repo_id").distinct()
+    edges = edges.join(asked, "repo_id", "left_semi").select("repo_id", "child", "idx", "parent")
     fan_out = edges.groupBy("repo_id", "child").agg(F.count(F.lit(1)).alias("parents"))
+    edges = durable(edges.join(fan_out, ["repo_id", "child"], "inner"))
     fan_in = edges.groupBy("repo_id", F.col("parent").alias("sha")).agg(
-        F.count(F.lit(1)).alias("children"), F.min("child").alias("only_child")
+        F.count(F.lit(1)).alias("children"), F.min("child").alias("only_child"), F.min("parents").alias("siblings")
     )
     begun = starts.select("repo_id", F.col("start").alias("sha")).distinct().withColumn("begins", F.lit(True))
     # A commit continues the run of its only child when it is that child's only parent.
-    shaped = (
-        nodes.join(fan_in, ["repo_id", "sha"], "left")
-        .join(begun, ["repo_id", "sha"], "left")
-        .join(fan_out.withColumnsRenamed({"child": "only_child", "parents": "siblings"}), ["repo_id", "only_child"], "left")
-    )
-    inner = (F.col("children") == 1) & (F.col("siblings") == 1) & F.col("begins").isNull()
-    inner = F.coalesce(inner, F.lit(False))
+    inner = F.coalesce((F.col("children") == 1) & (F.col("siblings") == 1) & F.col("begins").isNull(), F.lit(False))
     linked = durable(
-        shaped.select(
+        fan_in.join(begun, ["repo_id", "sha"], "full").select(
             "repo_id",
             "sha",
             F.when(inner, F.col("only_child")).otherwise(F.col("sha")).alias("top"),
@@ -60,83 +64,74 @@ def _runs(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> tuple[DataFr
     )
     # Pointer jumping: take over the pointer of the commit pointed at, until that is a top. Only
     # open commits join, and no two of them point at the same commit, so no key is ever hot.
-    done, moving = linked.filter("offset = 0"), linked.filter("offset > 0")
-    rounds = nodes.count().bit_length() + 1
-    while not moving.isEmpty():
+    tops, moving = linked.filter("offset = 0"), linked.filter("offset > 0")
+    done, rounds = tops, linked.count().bit_length() + 1
+    while size := _size(moving):
         if rounds == 0:
             raise ValueError("the commit graph has a cycle")
         rounds -= 1
         ahead = done.unionByName(moving).select(
             "repo_id", F.col("sha").alias("top"), F.col("top").alias("_top"), F.col("offset").alias("_more")
         )
-        moved = durable(
-            moving.join(ahead, ["repo_id", "top"], "inner").select(
-                "repo_id", "sha", F.col("_top").alias("top"), (F.col("offset") + F.col("_more")).alias("offset"), "_more"
-            )
+        few = size <= BROADCAST_ROWS
+        moved = (F.broadcast(moving) if few else moving).join(ahead, ["repo_id", "top"], "inner").select(
+            "repo_id", "sha", F.col("_top").alias("top"), (F.col("offset") + F.col("_more")).alias("offset"), "_more"
         )
+        moved = durable(moved.repartition(1) if few else moved)
         done = done.unionByName(moved.filter("_more = 0").drop("_more"))
         moving = moved.filter("_more > 0").drop("_more")
-    jumps = done
-    tails = edges.join(fan_out, ["repo_id", "child"], "inner").join(
-        jumps.select("repo_id", F.col("sha").alias("child"), "top", "offset"), ["repo_id", "child"], "inner"
-    )
-    heads = linked.filter("offset = 0").select("repo_id", F.col("sha").alias("parent"))
-    exits = tails.join(heads, ["repo_id", "parent"], "left_semi").select(
+    leaving = edges.join(tops.select("repo_id", F.col("sha").alias("parent")), ["repo_id", "parent"], "left_semi")
+    exits = leaving.join(done.withColumnRenamed("sha", "child"), ["repo_id", "child"], "inner").select(
         "repo_id", "top", "idx", (F.col("parents") > 1).alias("many"), "parent", (F.col("offset") + 1).alias("steps")
     )
-    return jumps, durable(exits)
+    return done, durable(exits)
 
 
-def walk(commits: DataFrame, edges: DataFrame, starts: DataFrame, within: int | None = None) -> DataFrame:
+def walk(edges: DataFrame, starts: DataFrame, within: int | None = None) -> DataFrame:
     """Commits reachable from each start: repo_id, start, sha, depth, path.
 
     Starts and parents that are no commits appear with their place in the walk, so callers can
     report them. `within` stops at a distance, enough for a limited log: the n-th commit is never
     further than n - 1 steps away.
     """
-    asked = starts.select("repo_id").distinct()
-    known = commits.select("repo_id", "sha").join(asked, "repo_id", "left_semi")
-    edges = durable(edges.select("repo_id", "child", "idx", "parent").distinct().join(asked, "repo_id", "left_semi"))
-    named = edges.select("repo_id", F.col("parent").alias("sha")).unionByName(starts.select("repo_id", F.col("start").alias("sha")))
-    nodes = durable(known.unionByName(named).distinct())
-    members, exits = _runs(nodes, edges, starts)
+    starts = starts.filter("start is not null and start <> ''").select("repo_id", "start").distinct()
+    members, exits = _contract(edges, starts)
 
     key = ["repo_id", "start", "top"]
-    best = F.min(F.struct("depth", "path"))
-    labels = durable(
-        starts.filter("start is not null and start <> ''")
-        .select("repo_id", "start", F.col("start").alias("top"), F.lit(0).cast("bigint").alias("depth"), F.lit("").alias("path"))
-        .distinct()
+    fresh = durable(
+        starts.select("repo_id", "start", F.col("start").alias("top"), F.struct(F.lit(0).cast("bigint").alias("depth"), F.lit("").alias("path")).alias("label"))
     )
-    fresh = labels
-    while not fresh.isEmpty():
+    # A better label is always smaller, so labels are only added and the smallest one counts.
+    labels, pieces = fresh, 1
+    best = F.min("label").alias("label")
+    while size := _size(fresh):
         part = F.lpad(F.col("idx").cast("string"), PART_WIDTH, "0")
-        reached = fresh.join(exits, ["repo_id", "top"], "inner").select(
-            "repo_id",
-            "start",
-            F.col("parent").alias("top"),
-            (F.col("depth") + F.col("steps")).alias("depth"),
-            F.when(F.col("many"), F.concat("path", part)).otherwise(F.col("path")).alias("path"),
+        depth, path = F.col("label.depth") + F.col("steps"), F.col("label.path")
+        extended = F.struct(depth.alias("depth"), F.when(F.col("many"), F.concat(path, part)).otherwise(path).alias("path"))
+        few = size <= BROADCAST_ROWS
+        reached = (F.broadcast(fresh) if few else fresh).join(exits, ["repo_id", "top"], "inner").select(
+            "repo_id", "start", F.col("parent").alias("top"), extended.alias("label")
         )
         if within is not None:
-            reached = reached.filter(F.col("depth") < within)
-        offers = reached.groupBy(*key).agg(best.alias("_new"))
-        held = labels.select(*key, F.struct("depth", "path").alias("_old"))
-        # Only labels that are new or better go on; the others are settled for this round.
-        merged = durable(
-            held.join(offers, key, "full").select(
-                *key,
-                F.least("_old", "_new").alias("_label"),
-                F.coalesce(F.col("_new") < F.coalesce("_old", "_new"), F.lit(False)).alias("_better"),
-                F.col("_old").isNull().alias("_first"),
-            )
-        ).select(*key, "_label.*", (F.col("_better") | F.col("_first")).alias("_fresh"))
-        labels = merged.drop("_fresh")
-        fresh = merged.filter("_fresh").drop("_fresh")
+            reached = reached.filter(F.col("label.depth") < within)
+        offers = reached.groupBy(*key).agg(best)
+        held = labels
+        if few:
+            # The last rounds move few labels: everything large is then read once and not shuffled.
+            offers = durable(offers)
+            if _size(offers) <= BROADCAST_ROWS:
+                held = labels.join(F.broadcast(offers.select(*key)), key, "left_semi")
+        old = held.groupBy(*key).agg(F.min("label").alias("_old"))
+        better = F.col("_old").isNull() | (F.col("label") < F.col("_old"))
+        fresh = durable(offers.join(old, key, "left").filter(better).drop("_old"))
+        labels, pieces = labels.unionByName(fresh), pieces + 1
+        if pieces == MAX_PIECES:
+            labels, pieces = durable(labels.groupBy(*key).agg(best)), 1
+    settled = labels.groupBy(*key).agg(best).select(*key, "label.*")
     # A run may hold most of a repository: its members are joined in blocks, each label once per block.
     blocked = members.withColumn("_block", F.floor(F.col("offset") / RUN_BLOCK))
     blocks = blocked.groupBy("repo_id", "top").agg(F.max("_block").alias("_last"))
-    spread = labels.join(blocks, ["repo_id", "top"], "inner").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")))
+    spread = settled.join(blocks, ["repo_id", "top"], "inner").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")))
     found = spread.join(blocked, ["repo_id", "top", "_block"], "inner").select(
         "repo_id", "start", "sha", (F.col("depth") + F.col("offset")).alias("depth"), "path"
     )
@@ -168,7 +163,7 @@ def log(commits: DataFrame, edges: DataFrame, starts: DataFrame, refs: DataFrame
 
     A start or parent that is no commit is a row with `missing` = true.
     """
-    ranked = bfs_rank(walk(commits, edges, starts, limit if limit > 0 else None))
+    ranked = bfs_rank(durable(walk(edges, starts, limit if limit > 0 else None)))
     if limit > 0:
         ranked = ranked.filter(F.col("rank") <= limit)
     there = commits.withColumn("_there", F.lit(True))
@@ -178,7 +173,7 @@ def log(commits: DataFrame, edges: DataFrame, starts: DataFrame, refs: DataFrame
 
 def ancestors(commits: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
     """Commits reachable from each start, itself included: repo_id, start, sha."""
-    return walk(commits, edges, starts).join(commits.select("repo_id", "sha"), ["repo_id", "sha"], "left_semi").select(
+    return walk(edges, starts).join(commits.select("repo_id", "sha"), ["repo_id", "sha"], "left_semi").select(
         "repo_id", "start", "sha"
     )
 
@@ -191,13 +186,13 @@ def is_ancestor(commits: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataF
     return pairs.join(hit, ["repo_id", "start", "candidate"], "left").withColumn("is_ancestor", is_it).drop("_hit")
 
 
-def merge_base(commits: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def merge_base(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per (repo_id, left, right): the first commit of the left walk that the right one reaches too.
 
     Null with a reason when nothing is shared.
     """
     sides = pairs.select("repo_id", F.explode(F.array("left", "right")).alias("start")).distinct()
-    walked = durable(walk(commits, edges, sides))
+    walked = durable(walk(edges, sides))
     left = pairs.join(walked.withColumnRenamed("start", "left"), ["repo_id", "left"], "inner")
     right = walked.select("repo_id", F.col("start").alias("right"), "sha")
     first = F.min_by("sha", F.struct("depth", "path"))

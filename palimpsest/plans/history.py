@@ -17,7 +17,7 @@ rwalk as (select p.*, w.sha from pairs p join ranked w on w.repo_id=p.repo_id an
 
 def _walked(spark, sf, starts="starts"):
     h = history(spark, sf)
-    return h, H.walk(h["commits"], h["edges"], h[starts])
+    return h, H.walk(h["edges"], h[starts])
 
 
 def _pairs(h):
@@ -56,7 +56,7 @@ def h3(spark, sf):
 )
 def h4(spark, sf):
     h = history(spark, sf)
-    return H.merge_base(h["commits"], h["edges"], _pairs(h)).select("repo_id", "left", "right", "base", "reason")
+    return H.merge_base(h["edges"], _pairs(h)).select("repo_id", "left", "right", "base", "reason")
 
 
 REVISIONS_SQL = """revs as (select repo_id, unnest(['HEAD', '', 'main', 'dev', ' alt ', 'v1', 'refs/heads/main', 'heads/main', 'tags/v1', 'refs/heads/none', 'nope', 'abc',
@@ -213,7 +213,7 @@ def h11(spark, sf):
 
 @registry.add("w3_bfs_rank", f"{_WITH} select repo_id, start, sha, rank from ranked")
 def w3(spark, sf):
-    return H.bfs_rank(_walked(spark, sf)[1]).select("repo_id", "start", "sha", "rank")
+    return H.bfs_rank(durable(_walked(spark, sf)[1])).select("repo_id", "start", "sha", "rank")
 
 
 @registry.add("o3_log_limit", f"{_WITH} select repo_id, start, sha, rank from ranked where rank <= 4")

@@ -14,13 +14,21 @@ PREFIX_DIGITS = 2
 def put_if_absent(objects: DataFrame, store: DataFrame, content: str = "content") -> DataFrame:
     """Outcome per distinct content: sha, content, outcome `new`, `existing` or `collision`.
 
-    A collision is a stored object with this hash and other bytes. Copies within the batch are
-    combined before the shuffle; only `new` rows are to be appended.
+    A collision is a stored object with this hash and other bytes. Bytes are compared by length and
+    SHA-512, computed where the store is read, so stored contents are never shuffled. Copies within
+    the batch are combined before the shuffle; only `new` rows are to be appended.
     """
-    offered = objects.select(F.sha2(F.col(content), 256).alias("sha"), F.col(content).alias("content")).distinct()
+    bytes_of = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), F.sha2(c, 512))
+    offered = (
+        objects.select(F.sha2(F.col(content), 256).alias("sha"), F.col(content).alias("content"))
+        .withColumn("_bytes", bytes_of("content"))
+        .groupBy("sha", "_bytes")
+        .agg(F.first("content").alias("content"))
+    )
     # A store should hold one object per hash; with several, any other bytes are a collision.
-    held = store.groupBy("sha").agg(F.min("content").alias("_low"), F.max("content").alias("_high"))
-    same = (F.col("_low") == F.col("content")) & (F.col("_high") == F.col("content"))
+    stored = store.select("sha", bytes_of("content").alias("_held"))
+    held = stored.groupBy("sha").agg(F.min("_held").alias("_low"), F.max("_held").alias("_high"))
+    same = (F.col("_low") == F.col("_bytes")) & (F.col("_high") == F.col("_bytes"))
     outcome = F.when(F.col("_low").isNull(), "new").when(same, "existing").otherwise("collision")
     return offered.join(held, "sha", "left").select("sha", "content", outcome.alias("outcome"))
 

@@ -45,14 +45,17 @@ def no_refs(spark):
     return spark.createDataFrame([], "repo_id int, full string, sha string")
 
 
-def test_walk_order_equals_queue(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 20, 10_000])
+def test_walk_order_equals_queue(spark, monkeypatch, few):
     graphs = random_graphs(25, 40, 11)
     commits, edges = frames(spark, graphs)
     starts = [(r, f"{r}-{n}") for r in graphs for n in (39, 31)]
     sdf = spark.createDataFrame(starts, "repo_id int, start string")
     monkeypatch.setattr(H, "RUN_BLOCK", 2)
+    monkeypatch.setattr(H, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(H, "MAX_PIECES", 3)
     got = {}
-    for r in H.bfs_rank(H.walk(commits, edges, sdf), limit=10).orderBy("rank").collect():
+    for r in H.bfs_rank(H.walk(edges, sdf), limit=10).orderBy("rank").collect():
         got.setdefault((r.repo_id, r.start), []).append(r.sha)
     assert got == {(r, s): queue_walk(graphs[r], s) for r, s in starts}
     limited = {}
@@ -65,7 +68,7 @@ def test_merge_base_and_ancestry_equal_queue(spark):
     graphs = random_graphs(25, 30, 5)
     commits, edges = frames(spark, graphs)
     pairs = [(r, f"{r}-29", f"{r}-{n}") for r in graphs for n in (28, 20)]
-    got = {(r.repo_id, r.left, r.right): r.base for r in H.merge_base(commits, edges, spark.createDataFrame(pairs, "repo_id int, left string, right string")).collect()}
+    got = {(r.repo_id, r.left, r.right): r.base for r in H.merge_base(edges, spark.createDataFrame(pairs, "repo_id int, left string, right string")).collect()}
     for r, a, b in pairs:
         shared = set(queue_walk(graphs[r], b))
         assert got[(r, a, b)] == next((s for s in queue_walk(graphs[r], a) if s in shared), None)
@@ -90,7 +93,7 @@ def test_cycle_is_refused(spark):
     commits, edges = frames(spark, {0: {"a": ["b"], "b": ["c"], "c": ["a"], "x": []}})
     starts = spark.createDataFrame([(0, "x")], "repo_id int, start string")
     with pytest.raises(ValueError, match="cycle"):
-        H.walk(commits, edges, starts)
+        H.walk(edges, starts)
 
 
 def test_labels(spark):

@@ -8,20 +8,29 @@ positions). Two paths can only part at a commit with several parents, so a path
 position at such commits alone: it does not grow along plain history. Parts have a fixed width, so
 text order is number order.
 
-**Rounds.** Runs of commits with one parent and one child are contracted first by pointer jumping
-(log2 of the longest run), and the walk then goes from run to run. A linear history of a million
-commits takes some twenty rounds instead of a million. Each round is written to the checkpoint
-folder; rounds that move few labels broadcast them and shuffle nothing large.
+**Small repositories** (counted first) are walked whole inside a task, after one shuffle by
+repository. **Large ones** are walked in rounds over many tasks. Runs of commits with one parent and
+one child are contracted first by pointer jumping (log2 of the longest run), and the walk then goes
+from run to run. A linear history of a million commits takes some twenty rounds instead of a
+million. Each round is written to the checkpoint folder; rounds that move few labels broadcast them
+and shuffle nothing large.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable, Iterator
+from itertools import islice
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from palimpsest.operators.groups import rank_in_group
 from palimpsest.session import durable
 
 PART_WIDTH = 8
+REPO_EDGES = 100_000
+WALK_ROWS = 1_000_000
 RUN_BLOCK = 100_000
 BROADCAST_ROWS = 10_000
 MAX_PIECES = 12
@@ -87,14 +96,8 @@ def _contract(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame
     return done, durable(exits)
 
 
-def walk(edges: DataFrame, starts: DataFrame, within: int | None = None) -> DataFrame:
-    """Commits reachable from each start: repo_id, start, sha, depth, path.
-
-    Starts and parents that are no commits appear with their place in the walk, so callers can
-    report them. `within` stops at a distance, enough for a limited log: the n-th commit is never
-    further than n - 1 steps away.
-    """
-    starts = starts.filter("start is not null and start <> ''").select("repo_id", "start").distinct()
+def _walk_large(edges: DataFrame, starts: DataFrame, within: int | None) -> DataFrame:
+    """Walk repositories of any size in rounds over many tasks."""
     members, exits = _contract(edges, starts)
 
     key = ["repo_id", "start", "top"]
@@ -138,6 +141,81 @@ def walk(edges: DataFrame, starts: DataFrame, within: int | None = None) -> Data
     return found if within is None else found.filter(F.col("depth") < within)
 
 
+def _walk_partition(within: int | None, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Walks of whole repositories whose rows stand together: edges, and starts with position -1."""
+
+    def visit(repo: object, starts: list[str], parents: dict[str, list[tuple[int, str]]]) -> Iterator[tuple]:
+        for listed in parents.values():
+            listed.sort()
+        for start in starts:
+            depth, found = {start: 0}, [start]
+            for sha in found:  # grows while it is read
+                if within is not None and depth[sha] + 1 >= within:
+                    break
+                for _, parent in parents.get(sha, ()):
+                    if parent not in depth:
+                        depth[parent] = depth[sha] + 1
+                        found.append(parent)
+            for rank, sha in enumerate(found):
+                yield repo, start, sha, depth[sha], f"{rank:0{PART_WIDTH}d}"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        repo, starts, parents = None, [], {}
+        for batch in batches:
+            for owner, idx, child, parent in zip(*[column.to_pylist() for column in batch.columns]):
+                if owner != repo:
+                    yield from visit(repo, starts, parents)
+                    repo, starts, parents = owner, [], {}
+                if idx < 0:
+                    starts.append(child)
+                else:
+                    parents.setdefault(child, []).append((idx, parent))
+        yield from visit(repo, starts, parents)
+
+    def walk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = rows(batches)
+        while chunk := list(islice(found, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), schema.types)], schema=schema)
+
+    return walk_batches
+
+
+def _walk_small(edges: DataFrame, starts: DataFrame, within: int | None) -> DataFrame:
+    """Walk repositories of bounded size, each inside one task: one shuffle and no rounds."""
+    asked = starts.select("repo_id").distinct()
+    links = edges.join(asked, "repo_id", "left_semi").select("repo_id", F.col("idx").cast("int").alias("idx"), "child", "parent")
+    begins = starts.select("repo_id", F.lit(-1).alias("idx"), F.col("start").alias("child"), F.lit(None).cast("string").alias("parent"))
+    schema = T.StructType(
+        [
+            starts.schema["repo_id"],
+            T.StructField("start", T.StringType()),
+            T.StructField("sha", T.StringType()),
+            T.StructField("depth", T.LongType()),
+            T.StructField("path", T.StringType()),
+        ]
+    )
+    together = links.unionByName(begins).repartition("repo_id").sortWithinPartitions("repo_id")
+    return together.mapInArrow(_walk_partition(within, to_arrow_schema(schema)), schema)
+
+
+def walk(edges: DataFrame, starts: DataFrame, within: int | None = None) -> DataFrame:
+    """Commits reachable from each start: repo_id, start, sha, depth, path.
+
+    (depth, path) is the order of a first-in-first-out walk. Starts and parents that are no commits
+    appear with their place in the walk, so callers can report them. `within` stops at a distance,
+    enough for a limited log: the n-th commit is never further than n - 1 steps away.
+    """
+    starts = starts.filter("start is not null and start <> ''").select("repo_id", "start").distinct()
+    begun = starts.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_starts"))
+    linked = edges.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_edges"))
+    large = (F.col("_edges") > REPO_EDGES) | (F.col("_edges") * F.col("_starts") > WALK_ROWS)
+    big = durable(begun.join(linked, "repo_id", "inner").filter(large).select("repo_id").coalesce(1))
+    if big.isEmpty():
+        return _walk_small(edges, starts, within)
+    small = _walk_small(edges, starts.join(big, "repo_id", "left_anti"), within)
+    return small.unionByName(_walk_large(edges, starts.join(big, "repo_id", "left_semi"), within))
+
+
 def bfs_rank(walked: DataFrame, limit: int | None = None) -> DataFrame:
     """Add the 1-based discovery rank of each commit in its walk."""
     return rank_in_group(walked, ["repo_id", "start"], ["depth", "path", "sha"], "rank", limit)

@@ -45,8 +45,8 @@ def no_refs(spark):
     return spark.createDataFrame([], "repo_id int, full string, sha string")
 
 
-@pytest.mark.parametrize("few", [0, 20, 10_000])
-def test_walk_order_equals_queue(spark, monkeypatch, few):
+@pytest.mark.parametrize("few, small", [(0, 0), (20, 45), (10_000, 100_000)])
+def test_walk_order_equals_queue(spark, monkeypatch, few, small):
     graphs = random_graphs(25, 40, 11)
     commits, edges = frames(spark, graphs)
     starts = [(r, f"{r}-{n}") for r in graphs for n in (39, 31)]
@@ -54,6 +54,7 @@ def test_walk_order_equals_queue(spark, monkeypatch, few):
     monkeypatch.setattr(H, "RUN_BLOCK", 2)
     monkeypatch.setattr(H, "BROADCAST_ROWS", few)
     monkeypatch.setattr(H, "MAX_PIECES", 3)
+    monkeypatch.setattr(H, "REPO_EDGES", small)
     got = {}
     for r in H.bfs_rank(H.walk(edges, sdf), limit=10).orderBy("rank").collect():
         got.setdefault((r.repo_id, r.start), []).append(r.sha)
@@ -79,7 +80,9 @@ def test_merge_base_and_ancestry_equal_queue(spark):
         assert r.is_ancestor == (r.candidate == r.start or r.candidate in queue_walk(graphs[r.repo_id], r.start))
 
 
-def test_deep_line_and_missing_parent(spark):
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_deep_line_and_missing_parent(spark, monkeypatch, small):
+    monkeypatch.setattr(H, "REPO_EDGES", small)
     depth = 3000
     graph = {0: {f"c{i}": [f"c{i - 1}"] for i in range(depth)}}  # c0 names a parent that is no commit
     commits, edges = frames(spark, graph)
@@ -89,7 +92,8 @@ def test_deep_line_and_missing_parent(spark):
     assert [(r.sha, r.rank) for r in log.filter("missing").collect()] == [("c-1", depth + 1)]
 
 
-def test_cycle_is_refused(spark):
+def test_cycle_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(H, "REPO_EDGES", 0)
     commits, edges = frames(spark, {0: {"a": ["b"], "b": ["c"], "c": ["a"], "x": []}})
     starts = spark.createDataFrame([(0, "x")], "repo_id int, start string")
     with pytest.raises(ValueError, match="cycle"):

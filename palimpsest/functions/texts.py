@@ -58,8 +58,10 @@ def canonical_text(text: Column) -> Column:
         return F.when(written.rlike(r"--|/\*"), F.array_join(kept, "")).otherwise(written)
 
     def plain(piece: Column) -> Column:
-        lowered = F.regexp_replace(F.lower(piece), r"\bpublic\s*\.\s*", "")
-        uncast = F.regexp_replace(lowered, CAST, "")
+        lowered = F.lower(piece)
+        # Most texts have neither of the two, and looking is cheaper than replacing.
+        unnamed = F.when(lowered.contains("public"), F.regexp_replace(lowered, r"\bpublic\s*\.\s*", "")).otherwise(lowered)
+        uncast = F.when(piece.contains("::"), F.regexp_replace(unnamed, CAST, "")).otherwise(unnamed)
         spaced = F.regexp_replace(uncast, r"\s+", " ")
         tight = F.regexp_replace(F.regexp_replace(spaced, r" ?([,)\]]) ?", "$1 "), r"([(\[]) ", "$1")
         return F.regexp_replace(tight, r" ([,)\]])", "$1")

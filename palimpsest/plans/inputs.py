@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from palimpsest.session import durable
+from palimpsest.session import durable, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,9 +35,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for a written table, inside the session's checkpoint folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        durable(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def encoded(*columns: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,17 +26,28 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the checkpoint folder, so it survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder (`spark.checkpoint.dir`), which all executors can read.
 
-    The folder is the session's own (`spark.checkpoint.dir`). Only a local session
-    without one gets a temporary folder; a cluster without one is an error, because a
-    machine-local folder would not be readable from other executors.
+    Only a local session without one gets a temporary folder; a cluster without one is an error,
+    because a machine-local folder would not be readable from other executors.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="palimpsest-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write `df` as a table into the shared folder and read it back.
+
+    That cuts the lineage, survives lost executors, and gives later joins the true size. The table
+    makes no claim about how its rows are partitioned, unlike a checkpointed plan, whose recorded
+    partitioning later unions would rely on.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,16 +5,16 @@ no piece covers. A piece of rank r costs round(1000 ln(r + 2)); costs are whole
 The cheapest cost from the beginning to each place (Viterbi) is an exact heuristic for a search that
 runs backward from the end: it pops segmentations in order of cost.
 
-No piece reaches across a blank, nor across two neighbouring characters that stand together in no
-piece. There the lattice is a single node, so a text is cut into chunks, each analysed once per task;
-the n best of a text differ from the best in at most n - 1 chunks, and only in those whose second best
-costs least more, so the search runs over these chunks and takes all others as fixed.
+No piece reaches across a blank, so the lattice is a single node there: words are analysed one by one, and
+each once per task. The n best of a text differ from the best in at most n - 1 words, and only in those
+whose second best costs least more; the search runs over these words and takes all others as fixed.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 BLANK = "▁"
 N_BEST = 4
 BYTE_COST = 12_000
-CACHE_WORDS = 150_000
+CACHE_WORDS = 250_000
 FAR = 1 << 60
 
 
@@ -49,15 +49,19 @@ class Pieces:
             elif piece.type == 1 and BLANK not in piece.piece[1:]:
                 self.cost[piece.piece] = (round(1000 * math.log(rank + 2)), number)
                 rank += 1
-        self.longest = max(map(len, self.cost))
         self.pairs = {a + b for p in self.cost for a, b in zip(p, p[1:])}
+        #: Cost and id of each piece and, as None, every beginning of one: what is not here leads to no piece.
+        self.ways: dict[str, tuple[int, int] | None] = {p[:i]: None for p in self.cost for i in range(1, len(p))} | self.cost
+        self.bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else (t or "").replace(BLANK, " ").encode() for i, t in enumerate(self.text)]
 
     def decode(self, ids: list[int]) -> str:
         """The text that was encoded; the blank before its first word is dropped."""
-        out = bytearray()
-        for i in ids:
-            out += bytes([self.byte_of[i]]) if i in self.byte_of else self.text[i].replace(BLANK, " ").encode()
-        return bytes(out).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
+
+    def of_bytes(self, char: str) -> tuple[int, tuple[int, ...]]:
+        """Cost and ids of a character that no piece covers."""
+        data = char.encode()
+        return BYTE_COST * len(data), tuple(self.byte_id[b] for b in data)
 
 
 @lru_cache(maxsize=2)
@@ -65,64 +69,73 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def chunks(word: str, table: Pieces) -> list[str]:
-    """A word (with its blank) cut where no piece reaches across."""
-    out, begin = [], 0
-    for i in range(1, len(word)):
-        if word[i - 1 : i + 1] not in table.pairs:
-            out.append(word[begin:i])
-            begin = i
-    out.append(word[begin:])
-    return out
-
-
 class Lattice:
-    """Pieces ending at each place of a chunk: (begin, cost, ids), and Viterbi costs from the beginning."""
+    """Pieces of a word ending at each place: (begin, cost, ids), and Viterbi costs from the beginning.
 
-    def __init__(self, chunk: str, table: Pieces, start: bool) -> None:
-        """`start`: the first character is the blank of a word; any other ▁ is a character of the text."""
-        n = len(chunk)
+    The word's first character is its blank; any other \u2581 is a character of the text, written as bytes.
+    """
+
+    def __init__(self, word: str, table: Pieces) -> None:
+        n, ways = len(word), table.ways
         self.into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        self.best, cost = [0] + [FAR] * n, table.cost
-        own = [c == BLANK and (i > 0 or not start) for i, c in enumerate(chunk)]
-        for end in range(1, n + 1):
-            for begin in range(end - 1, max(-1, end - 1 - table.longest), -1):
-                if own[begin]:
+        for begin in range(n):
+            single = False
+            for end in range(begin + 1, n + 1) if begin == 0 or word[begin] != BLANK else ():
+                found = ways.get(word[begin:end], False)
+                if found is False:
                     break
-                found = cost.get(chunk[begin:end])
                 if found:
                     self.into[end].append((begin, found[0], (found[1],)))
-            if not any(begin == end - 1 for begin, _, _ in self.into[end]):
-                data = chunk[end - 1].encode()
-                self.into[end].append((end - 1, BYTE_COST * len(data), tuple(table.byte_id[b] for b in data)))
+                    single |= end == begin + 1
+            if not single:
+                self.into[begin + 1].append((begin, *table.of_bytes(word[begin])))
+        self.best = [0] + [FAR] * n
+        for end in range(1, n + 1):
             self.best[end] = min(self.best[begin] + c for begin, c, _ in self.into[end])
 
-    def first(self) -> tuple[int, ...]:
-        """Ids of the cheapest segmentation; of equal ones, that with the shorter last piece, and so on backward."""
-        out, end = [], len(self.into) - 1
-        while end:
-            begin, _, ids = next(x for x in self.into[end] if self.best[x[0]] + x[1] == self.best[end])
+
+def two_best(word: str, table: Pieces) -> tuple[bytes, int, int]:
+    """The cheapest segmentation (ids as little-endian 32-bit bytes), its cost, and how much more the second best costs.
+
+    Forward Viterbi that keeps the two least costs at each place; of equal ways the one whose last piece
+    begins first is taken.
+    """
+    n, ways = len(word), table.ways
+    least, second = [0] + [FAR] * n, [FAR] * (n + 1)
+    back: list = [None] * (n + 1)
+    for begin in range(n):
+        here, other, single = least[begin], second[begin], False
+        if begin == 0 or word[begin] != BLANK:
+            for end in range(begin + 1, n + 1):
+                found = ways.get(word[begin:end], False)
+                if found is False:
+                    break
+                if found:
+                    cost = here + found[0]
+                    single = single or end == begin + 1
+                    if cost < least[end]:
+                        second[end] = min(least[end], other + found[0])
+                        least[end], back[end] = cost, (begin, found[1])
+                    elif cost < second[end]:
+                        second[end] = cost
+        if not single:
+            more, ids = table.of_bytes(word[begin])
+            cost, end = here + more, begin + 1
+            if cost < least[end]:
+                second[end] = min(least[end], other + more)
+                least[end], back[end] = cost, (begin, ids)
+            elif cost < second[end]:
+                second[end] = cost
+    out: list[int] = []
+    end = n
+    while end:
+        end, ids = back[end]
+        if type(ids) is int:
             out.append(ids)
-            end = begin
-        return tuple(i for ids in reversed(out) for i in ids)
-
-    def second(self) -> int:
-        """How much more the second best costs: the cheapest way over any piece off the best one."""
-        n = len(self.into) - 1
-        rest, used, end = [FAR] * n + [0], set(), n
-        while end:
-            begin, _, ids = next(x for x in self.into[end] if self.best[x[0]] + x[1] == self.best[end])
-            used.add((begin, end))
-            end = begin
-        least = FAR
-        for end in range(n, 0, -1):
-            for begin, c, _ in self.into[end]:
-                rest[begin] = min(rest[begin], rest[end] + c)
-        for end in range(n, 0, -1):
-            for begin, c, _ in self.into[end]:
-                if (begin, end) not in used:
-                    least = min(least, self.best[begin] + c + rest[end] - self.best[n])
-        return least
+        else:
+            out.extend(reversed(ids))
+    out.reverse()
+    return array("I", out).tobytes(), least[n], second[n] - least[n]
 
 
 def search(lattices: list[Lattice], n: int) -> list[tuple[int, list[tuple[int, ...]]]]:
@@ -160,56 +173,43 @@ class Segmenter:
     def __init__(self, path: str, n: int = N_BEST) -> None:
         self.table, self.n = pieces(path), n
         self.known: dict[str, tuple[bytes, int, int]] = {}
-        self.parts: dict[tuple[str, bool], tuple[tuple[int, ...], int, int]] = {}
-
-    def _chunk(self, chunk: str, start: bool) -> tuple[tuple[int, ...], int, int]:
-        key = chunk, start
-        if key not in self.parts:
-            if len(self.parts) >= CACHE_WORDS:
-                self.parts.clear()
-            lattice = Lattice(chunk, self.table, start)
-            self.parts[key] = lattice.first(), lattice.best[-1], lattice.second()
-        return self.parts[key]
 
     def _word(self, word: str) -> tuple[bytes, int, int]:
-        """Ids as little-endian 32-bit bytes, cost, and the least extra cost of any other segmentation."""
         if len(self.known) >= CACHE_WORDS:
             self.known.clear()
-        found = [self._chunk(c, i == 0) for i, c in enumerate(chunks(BLANK + word, self.table))]
-        ids = np.array([i for f in found for i in f[0]], dtype="<u4").tobytes()
-        value = ids, sum(f[1] for f in found), min(f[2] for f in found)
-        self.known[word] = value
-        return value
+        table, last = self.table, word[-1:]
+        if len(word) > 1 and last != BLANK and word[-2:] not in table.pairs:  # no piece reaches across: the last character stands alone
+            front = self.known.get(word[:-1]) or two_best(BLANK + word[:-1], table)
+            cost, ids = table.cost[last] if last in table.cost else table.of_bytes(last)
+            found = front[0] + array("I", [ids] if type(ids) is int else ids).tobytes(), front[1] + cost, front[2]
+        else:
+            found = two_best(BLANK + word, table)
+        self.known[word] = found
+        return found
 
     def encode(self, text: str | None) -> list[tuple[int, bytes]]:
         """The n best segmentations of a whole text: (cost, ids as bytes), cheapest first; fewer if there are no more."""
         if not text:
             return [(0, b"")]
         words = text.split(" ")
-        known, word = self.known, self._word
-        values = [known.get(w) or word(w) for w in words]
-        cost, best = sum(v[1] for v in values), b"".join([v[0] for v in values])
-        # Of all chunks, those with the n - 1 least extra costs (of equal ones, the first in the text) can differ.
-        near = heapq.nsmallest(self.n - 1, range(len(words)), key=lambda i: values[i][2])
-        spots: list[tuple[int, int, int, str, bool]] = []
-        for i in near:
-            for j, c in enumerate(chunks(BLANK + words[i], self.table)):
-                spots.append((self._chunk(c, j == 0)[2], i, j, c, j == 0))
-        spots = sorted(heapq.nsmallest(self.n - 1, [s for s in spots if s[0] < FAR]), key=lambda s: s[1:3])
-        if not spots:
-            return [(cost, best)]
-        lattices = [Lattice(s[3], self.table, s[4]) for s in spots]
-        base = cost - sum(x.best[-1] for x in lattices)
-        out = []
+        get, word = self.known.get, self._word
+        values = [get(w) or word(w) for w in words]
+        whole, costs, more = map(list, zip(*values))
+        cost, near = sum(costs), []
+        for _ in range(min(self.n - 1, len(words))):  # the words with the least extra costs; of equal ones the first
+            least = min(more)
+            if least >= FAR // 2:
+                break
+            near.append(more.index(least))
+            more[near[-1]] = FAR
+        if not near:
+            return [(cost, b"".join(whole))]
+        near.sort()
+        lattices = [Lattice(BLANK + words[i], self.table) for i in near]
+        base, out = cost - sum(x.best[-1] for x in lattices), []
         for total, ids in search(lattices, self.n):
-            changed = {(s[1], s[2]): x for s, x in zip(spots, ids)}
-            data = []
-            for i in sorted({s[1] for s in spots}):
-                cut = chunks(BLANK + words[i], self.table)
-                data.append((i, np.array([k for j, c in enumerate(cut) for k in changed.get((i, j), self._chunk(c, j == 0)[0])], dtype="<u4").tobytes()))
-            whole = [v[0] for v in values]
-            for i, x in data:
-                whole[i] = x
+            for i, x in zip(near, ids):
+                whole[i] = array("I", x).tobytes()
             out.append((base + total, b"".join(whole)))
         return out
 
@@ -250,7 +250,9 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", name: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model)
         for batch in batches:
-            texts = [None if x.as_py() is None else table.decode(x.as_py()) for x in batch.column(at)]
+            lists = batch.column(at)
+            ends, flat, valid = lists.offsets.to_numpy(), lists.values.to_numpy(), lists.is_valid().to_pylist()
+            texts = [table.decode(flat[a:b].tolist()) if v else None for a, b, v in zip(ends[:-1], ends[1:], valid)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*others, name])
 
     return encoded.select(*others).mapInArrow(run, f"{fields}, `{name}` string")

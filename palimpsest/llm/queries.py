@@ -69,7 +69,7 @@ def op7_nbest_pieces(spark: SparkSession, sf: str) -> DataFrame:
     encoded = nbest.encode(table(spark, sf, "documents"), model)
     best = encoded.select("doc_id", F.transform("n_best", lambda x: x["cost"]).alias("costs"), F.col("n_best")[0]["ids"].alias("ids"))
     decoded = nbest.decode(best, model)
-    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "costs", F.crc32(F.array_join("ids", ",").cast("binary")).alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "costs", F.xxhash64("ids").alias("ids_hash"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op8_trie_join(spark: SparkSession, sf: str) -> DataFrame:

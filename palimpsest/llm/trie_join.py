@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -24,7 +25,8 @@ from palimpsest.session import durable
 
 SHINGLE = 5
 SIMILARITY = 80  # per cent
-COUNTERS = 1 << 19  # counters of the order; a fixed size, so they may be broadcast
+COUNTERS = 1 << 24  # counters of the order; a fixed size, so their levels (a byte each) may be broadcast
+COUNTER_BLOCK = 1 << 16  # counters that travel as one compressed row
 HOT_LEVEL = 16  # shingles whose counter passed 2**16,
 HOT_MARGIN = 6  # and 2**6 times the mean counter, are dealt out by class as well
 SALTS = 64
@@ -57,11 +59,12 @@ def _key(hashes: np.ndarray) -> int:
 
 
 def _described(documents: DataFrame, size: int) -> DataFrame:
-    """One row per document (doc_id, text_hash, n, key) and, per task, rows of the shingle counters (counter, count)."""
+    """One row per document (doc_id, text_hash, n, key) and, per task, the shingle counters (block, counts: compressed)."""
     kind = documents.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_hash", "n", "key", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, dtype=np.int64)
+        counts = np.zeros(COUNTERS, dtype=np.uint16)
         ids = None
         for batch in batches:
             ids = batch.column("doc_id")
@@ -70,27 +73,47 @@ def _described(documents: DataFrame, size: int) -> DataFrame:
                 for hashes in shingle_sets(texts, size):
                     n.append(len(hashes))
                     keys.append(_key(hashes) if len(hashes) else None)
-                    np.add.at(counts, (hashes & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-            nothing = pa.nulls(len(n), pa.int32())
-            yield pa.RecordBatch.from_arrays([ids, batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), nothing, pa.nulls(len(n), pa.int64())], ["doc_id", "text_hash", "n", "key", "counter", "count"])
-        used = np.flatnonzero(counts)
-        for begin in range(0, len(used), 100_000):
-            part = used[begin : begin + 100_000]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), ids.type), none, none, none, pa.array(part.astype(np.int32)), pa.array(counts[part])], ["doc_id", "text_hash", "n", "key", "counter", "count"])
+                    at = (hashes & np.uint64(COUNTERS - 1)).astype(np.int64)
+                    counts[at] = np.minimum(counts[at], 65_534) + 1
+            nothing = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
+            yield pa.RecordBatch.from_arrays([ids, batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), *nothing], names)
+        packer = zstandard.ZstdCompressor(level=1)
+        for begin in range(0, COUNTERS if ids is not None else 0, COUNTER_BLOCK):
+            part = counts[begin : begin + COUNTER_BLOCK]
+            if part.any():
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, ids.type), none, none, none, pa.array([begin // COUNTER_BLOCK], pa.int32()), pa.array([packer.compress(part.tobytes())])], names)
 
     plain = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return plain.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n bigint, key bigint, counter int, count bigint")
+    return plain.mapInArrow(run, f"doc_id {kind}, text_hash bigint, n bigint, key bigint, block int, counts binary")
 
 
 def _levels(described: DataFrame):
     """The counters' powers of two, broadcast: COUNTERS bytes, whatever the corpus. And the level of their mean."""
-    levels = np.zeros(COUNTERS, dtype=np.uint8)
-    summed = described.where("counter is not null").groupBy("counter").agg(F.sum("count").alias("n")).selectExpr("counter", "cast(log2(n) as tinyint) as level")
-    for batch in summed.toArrow().to_batches():
-        levels[batch.column("counter").to_numpy()] = batch.column("level").to_numpy()
-    mean = described.where("counter is not null").agg(F.sum("count")).first()[0] or 1
-    return described.sparkSession.sparkContext.broadcast(levels), int(np.log2(max(1, mean / COUNTERS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, sums = None, None
+
+        def done() -> pa.RecordBatch:
+            level = np.log2(np.maximum(sums, 1)).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([level.tobytes()]), pa.array([int(sums.sum())])], ["block", "levels", "total"])
+
+        for batch in batches:
+            for own, data in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                if own != block:
+                    if block is not None:
+                        yield done()
+                    block, sums = own, np.zeros(COUNTER_BLOCK, dtype=np.int64)
+                sums += np.frombuffer(zstandard.decompress(data), dtype=np.uint16)
+        if block is not None:
+            yield done()
+
+    levels, total = np.zeros(COUNTERS, dtype=np.uint8), 0
+    parts = described.where("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block")
+    for row in parts.mapInArrow(run, "block int, levels binary, total bigint").toLocalIterator():
+        levels[row["block"] * COUNTER_BLOCK :][:COUNTER_BLOCK] = np.frombuffer(row["levels"], dtype=np.uint8)
+        total += row["total"]
+    return described.sparkSession.sparkContext.broadcast(levels), int(np.log2(max(1, total / COUNTERS)))
 
 
 def _order(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -341,7 +364,7 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     shared = durable(placed.where("lo < hi or salt >= 0").drop("hi").distinct())
     links = _links(plain, shared, levels, size, similarity, block_sets, block_shingles)
     labels = components(links)
-    sets = described.where("counter is null").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "key")
+    sets = described.where("block is null").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "key")
     named = sets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return named.join(smallest, "label", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

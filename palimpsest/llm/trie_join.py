@@ -1,8 +1,9 @@
 """N-gram Jaccard join by prefix trees, and the groups of near duplicates it links.
 
 A document's set holds its distinct word shingles in one global order: rarest first, by counts over
-all documents in a table of fixed size, then by hash. Two sets that are similar enough share one of
-their first n - ceil(t n) + 1 shingles, so only these travel. Classes of equal sets that meet at a
+all documents in a table of fixed size, then by hash. Two sets that are similar enough share k of their
+first n - ceil(t n) + k shingles, so only these travel, and a set that shares fewer of them with any
+others than its share of k links with nothing and is dropped. Classes of equal sets that meet at a
 shingle form cells around the smallest class; a task stores the whole sets of a cell in a trie and
 looks each up in it: sets with a common beginning share the overlap counted so far, and a subtree is
 left as soon as the lengths that remain cannot reach the threshold, or when everything below is
@@ -26,6 +27,7 @@ from palimpsest.session import durable
 SHINGLE = 5
 SIMILARITY = 80  # per cent
 COUNTERS = 1 << 24  # counters of the order; a fixed size, so their levels (a byte each) may be broadcast
+EXTRA = 20  # k is one in so many of a set's shingles, at least 1
 COUNTER_BLOCK = 1 << 16  # counters that travel as one compressed row
 HOT_LEVEL = 16  # shingles whose counter passed 2**16,
 HOT_MARGIN = 6  # and 2**6 times the mean counter, are dealt out by class as well
@@ -135,7 +137,7 @@ def _prefixes(documents: DataFrame, levels, size: int, similarity: int, hot_leve
                         continue
                     seen.add(key)
                     n = len(hashes)
-                    tokens.append(hashes[_order(hashes, level)[: n + similarity * -n // 100 + 1]])
+                    tokens.append(hashes[_order(hashes, level)[: n + similarity * -n // 100 + max(1, n // EXTRA)]])
                     keys.append(key)
                     sizes.append(n)
                 if keys:
@@ -319,7 +321,8 @@ def _links(plain: DataFrame, shared: DataFrame, levels, size: int, similarity: i
     per = open_.groupBy("g", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     main = per.groupBy("g").agg(F.max_by("label", F.struct("sets", "label")).alias("main"))
     sides = open_.join(main, "g").withColumn("other", F.col("label") != F.col("main"))
-    widths = sides.groupBy("g").pivot("other", [False, True]).agg(blocks()).withColumnsRenamed({"false": "wide", "true": "rest"})
+    part = lambda which: F.greatest(F.lit(1), F.ceil(F.greatest(F.sum(which.cast("int")) / block_sets, F.sum(F.when(which, F.col("n")).otherwise(0)) / block_shingles))).cast("int")
+    widths = sides.groupBy("g").agg(part(~F.col("other")).alias("wide"), part(F.col("other")).alias("rest"))
     sides = sides.join(widths, "g")
     rest = sides.where("other").withColumn("i", pick(F.col("rest")))
     among = rest.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rest") - 1))).withColumn("block", F.xxhash64("g", F.lit(0), F.least("i", "j"), F.greatest("i", "j")))
@@ -361,7 +364,12 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     near = Window.partitionBy("token", "salt")
     sent = _prefixes(plain, levels, size, similarity, max(hot_level, mean + HOT_MARGIN))
     placed = sent.withColumns({"lo": F.min("key").over(near), "hi": F.max("key").over(near)})
-    shared = durable(placed.where("lo < hi or salt >= 0").drop("hi").distinct())
+    shared = durable(placed.where("lo < hi or salt >= 0").drop("lo", "hi").distinct())
+    # A partner has at least `similarity` per cent of the set's size, so k at least that share of the set's own.
+    least = F.greatest(F.lit(1), F.floor(F.greatest(F.lit(1), F.floor(F.max("n") / EXTRA)) * similarity / 100))
+    enough = shared.groupBy("key").agg(F.count("*").alias("met"), least.alias("least")).where("met >= least").select("key")
+    placed = shared.join(enough, "key", "left_semi").withColumns({"lo": F.min("key").over(near), "hi": F.max("key").over(near)})
+    shared = durable(placed.where("lo < hi or salt >= 0").drop("hi"))
     links = _links(plain, shared, levels, size, similarity, block_sets, block_shingles)
     labels = components(links)
     sets = described.where("block is null").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "key")

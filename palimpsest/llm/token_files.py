@@ -9,6 +9,7 @@ so retried tasks leave nothing behind.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql.window import Window
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 BATCH_WORDS = 2_000
 FILE_BYTES = 64 << 20  # of text per file, about
 
@@ -34,6 +35,10 @@ OPTIONS = {
     "compression": "zstd",
 }
 
+#: Marks and plain letters for which that split holds in this vocabulary's pre-tokenizer.
+MARKS = (".", ",")
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
 Encode = Callable[[list[str]], list[list[int]]]
 
 
@@ -74,10 +79,16 @@ class WordIds:
         new = [w for w in dict.fromkeys(words) if w not in known]
         if len(new) >= CACHE_WORDS:  # a text of very many different words: in pieces, remembering nothing
             return b"".join(self._bytes(words[i : i + BATCH_WORDS]) for i in range(0, len(words), BATCH_WORDS))
+        # A mark after a plain letter is a token of its own, so "word," is "word" and ",".
+        ends = {w: w[:-1] for w in new if w[-1:] in MARKS and w[-2:-1] in LETTERS}
+        new = [w for w in dict.fromkeys([*(w for w in new if w not in ends), *ends.values(), *MARKS]) if w and w not in known]
+        known.setdefault("", b"")
         for i in range(0, len(new), BATCH_WORDS):
             part = new[i : i + BATCH_WORDS]
             for word, ids in zip(part, self.encode(part)):
-                known[word] = np.array(ids, dtype="<u4").tobytes()
+                known[word] = array("I", ids).tobytes()
+        for word, front in ends.items():
+            known[word] = known[front] + known[word[-1]]
         return b"".join(map(known.__getitem__, words))
 
     def _bytes(self, words: list[str]) -> bytes:

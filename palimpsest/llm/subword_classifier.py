@@ -20,7 +20,7 @@ TRAIN_BYTES = 40_000  # longer texts are not taken for training; they are scored
 BUCKETS = 1 << 15
 DIMENSIONS = 8
 GRAMS = (2, 3, 4)  # lengths of character n-grams, with < and > around the word
-EPOCHS, RATE = 6, 0.5
+EPOCHS, LEAST_STEPS, RATE = 6, 20_000, 0.5  # passes over the sample, more of them if it is small
 CACHE_WORDS = 400_000  # words whose features or scores a task remembers
 
 
@@ -58,8 +58,9 @@ def train(rows: list[tuple[str | None, int]], seed: int = 7) -> Model:
     random = np.random.default_rng(seed)
     embedding = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     output, bias = np.zeros((DIMENSIONS, 2)), np.zeros(2)
-    total, step = EPOCHS * len(data), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, LEAST_STEPS // max(1, len(data)))
+    total, step = epochs * len(data), 0
+    for _ in range(epochs):
         for i in random.permutation(len(data)):
             buckets, shares, label = data[i]
             rate = RATE * (1 - step / total)

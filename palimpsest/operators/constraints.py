@@ -76,13 +76,13 @@ def check_bounds(df: DataFrame, column: str, start: int, increment: int, min_val
     return df.withColumn("rule", rule).filter(F.col("rule").isNotNull())
 
 
-def sequence_gaps(df: DataFrame, column: str, increment: int = 1, limit: int | None = None) -> DataFrame:
+def sequence_gaps(df: DataFrame, column: str, increment: int = 1, limit: int | None = None, start: int = 0) -> DataFrame:
     """Runs of missing numbers between the smallest and largest value: gap_start, gap_end, missing.
 
-    A run starts after a value without a successor and ends before one without a predecessor. The
+    Values off the grid start + n * increment are left to `check_bounds`. A run starts after a value without a successor and ends before one without a predecessor. The
     n-th start belongs to the n-th end, so only the edges of runs are ranked, over many tasks.
     """
-    values = df.select(F.col(column).alias("v")).filter("v is not null").distinct()
+    values = df.select(F.col(column).alias("v")).filter("v is not null").filter((F.col("v") - start) % increment == 0).distinct()
     before = values.select((F.col("v") - increment).alias("w"))
     after = values.select((F.col("v") + increment).alias("w"))
     starts = values.join(before, F.col("v") == F.col("w"), "left_anti")
@@ -91,4 +91,4 @@ def sequence_gaps(df: DataFrame, column: str, increment: int = 1, limit: int | N
     left = rank_in_group(starts, [], ["v"], "n", limit).select("n", (F.col("v") + increment).alias("gap_start"))
     right = rank_in_group(ends, [], ["v"], "n", limit).select((F.col("n") - 1).alias("n"), (F.col("v") - increment).alias("gap_end"))
     runs = left.join(right, "n", "inner")
-    return runs.select("gap_start", "gap_end", ((F.col("gap_end") - F.col("gap_start")) / increment + 1).cast("bigint").alias("missing"))
+    return runs.select("gap_start", "gap_end", F.expr(f"(gap_end - gap_start) div {increment} + 1").alias("missing"))

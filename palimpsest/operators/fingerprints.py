@@ -59,7 +59,7 @@ def bucket_hashes(df: DataFrame, columns: Sequence[str] | None = None, keys: Seq
 
 def table_hash(df: DataFrame, columns: Sequence[str] | None = None, keys: Sequence[str] | None = None, digits: int = 2) -> DataFrame:
     """One row: row count and root hash. Equal exactly when names and rows (with repeats) are."""
-    names = F.lit("|".join(columns or df.columns))
+    names = F.lit("|".join(f"{len(n)}:{n}" for n in columns or df.columns))
     buckets = bucket_hashes(df, columns, keys, digits)
     ordered = F.array_sort(F.collect_list(F.struct("bucket", "digest")))  # at most 16**digits entries
     return buckets.agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("row_count"), ordered.alias("_buckets")).select(

@@ -64,6 +64,6 @@ def pending(stored: DataFrame, applied: DataFrame, key: str = "migration_id") ->
 
 
 def tampered(migrations: DataFrame) -> DataFrame:
-    """Migrations whose up text no longer gives the stored checksum."""
+    """Migrations whose up text no longer gives the stored checksum; a missing text or checksum counts as well."""
     actual = F.sha2("up_sql", 256)
-    return migrations.select("migration_id", "checksum", actual.alias("actual")).filter("checksum <> actual")
+    return migrations.select("migration_id", "checksum", actual.alias("actual")).filter("not (checksum <=> actual)")

@@ -29,7 +29,7 @@ def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> t
     limit = limit or HOT_GROUP_ROWS
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     # At most rows/limit keys: small beside the data, and Spark picks the join by its size.
-    hot = durable(sizes.filter(F.col("_rows") > limit).select(*keys).coalesce(1))
+    hot = durable(sizes.filter(F.col("_rows") > limit).select(*keys))
     if hot.isEmpty():
         return df, None
     renamed = hot.select(*[F.col(f"`{k}`").alias(k) for k in keys])

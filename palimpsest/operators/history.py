@@ -209,7 +209,7 @@ def walk(edges: DataFrame, starts: DataFrame, within: int | None = None) -> Data
     begun = starts.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_starts"))
     linked = edges.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_edges"))
     large = (F.col("_edges") > REPO_EDGES) | (F.col("_edges") * F.col("_starts") > WALK_ROWS)
-    big = durable(begun.join(linked, "repo_id", "inner").filter(large).select("repo_id").coalesce(1))
+    big = durable(begun.join(linked, "repo_id", "inner").filter(large).select("repo_id"))
     if big.isEmpty():
         return _walk_small(edges, starts, within)
     small = _walk_small(edges, starts.join(big, "repo_id", "left_anti"), within)
@@ -264,19 +264,21 @@ def is_ancestor(commits: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataF
     return pairs.join(hit, ["repo_id", "start", "candidate"], "left").withColumn("is_ancestor", is_it).drop("_hit")
 
 
-def merge_base(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def merge_base(commits: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Per (repo_id, left, right): the first commit of the left walk that the right one reaches too.
 
-    Null with a reason when nothing is shared.
+    Null with a reason when nothing is shared, or nothing but names of commits that do not exist.
     """
     sides = pairs.select("repo_id", F.explode(F.array("left", "right")).alias("start")).distinct()
     walked = durable(walk(edges, sides))
     left = pairs.join(walked.withColumnRenamed("start", "left"), ["repo_id", "left"], "inner")
     right = walked.select("repo_id", F.col("start").alias("right"), "sha")
-    first = F.min_by("sha", F.struct("depth", "path"))
-    shared = left.join(right, ["repo_id", "right", "sha"], "inner").groupBy("repo_id", "left", "right").agg(first.alias("base"))
-    reason = F.when(F.col("base").isNull(), F.lit("no common ancestor"))
-    return pairs.join(shared, ["repo_id", "left", "right"], "left").withColumn("reason", reason)
+    there = commits.select("repo_id", "sha", F.lit(True).alias("_there")).distinct()
+    met = left.join(right, ["repo_id", "right", "sha"], "inner").join(there, ["repo_id", "sha"], "left")
+    first = F.min_by("sha", F.when(F.col("_there"), F.struct("depth", "path")))
+    shared = met.groupBy("repo_id", "left", "right").agg(first.alias("base"), F.lit(True).alias("_met"))
+    reason = F.when(F.col("base").isNull(), F.when(F.col("_met"), "missing commit").otherwise("no common ancestor"))
+    return pairs.join(shared, ["repo_id", "left", "right"], "left").withColumn("reason", reason).drop("_met")
 
 
 def unvisited(frontier: DataFrame, visited: DataFrame, keys: list[str]) -> DataFrame:

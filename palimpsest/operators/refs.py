@@ -18,22 +18,25 @@ def list_refs(refs: DataFrame, kind: str) -> DataFrame:
     """Branches (`heads`) or tags (`tags`) by name: repo_id, name, full, sha, malformed."""
     prefix = f"refs/{kind}/"
     mine = refs.filter(F.col("full").startswith(prefix))
-    listed = mine.select("repo_id", F.substring("full", len(prefix) + 1, 1_000_000).alias("name"), "full", "sha", (~is_hash(F.col("sha"))).alias("malformed"))
+    listed = mine.select("repo_id", F.expr(f"substring(full, {len(prefix) + 1})").alias("name"), "full", "sha", (~is_hash(F.col("sha"))).alias("malformed"))
     return listed.orderBy("repo_id", "name")
 
 
 def upsert_refs(refs: DataFrame, updates: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Point refs at commits: (new refs table, rejected updates with reason).
 
-    Updates have one row per (repo_id, full). The name must be valid and the commit must exist.
+    The name must be valid and the commit must exist. Of several updates of one ref none is done: they
+    come back with the reason `repeated`.
     """
     known = commits.select("repo_id", "sha").distinct().withColumn("_there", F.lit(True))
     reason = (
         F.when(~is_ref(F.col("full")), "invalid ref")
         .when(~is_hash(F.col("sha")), "invalid hash")
         .when(F.col("_there").isNull(), "unknown commit")
+        .when(F.col("_times") > 1, "repeated")
     )
-    judged = updates.join(known, ["repo_id", "sha"], "left").withColumn("reason", reason).drop("_there")
+    times = updates.groupBy("repo_id", "full").agg(F.count("*").alias("_times"))
+    judged = updates.join(known, ["repo_id", "sha"], "left").join(times, ["repo_id", "full"], "left").withColumn("reason", reason).drop("_there", "_times")
     accepted = judged.filter("reason is null").select("repo_id", "full", F.col("sha").alias("_new"))
     merged = refs.join(accepted, ["repo_id", "full"], "full").select("repo_id", "full", F.coalesce("_new", "sha").alias("sha"))
     return merged, judged.filter("reason is not null").select("repo_id", "full", "sha", "reason")
@@ -53,19 +56,22 @@ def rename_refs(refs: DataFrame, heads: DataFrame, moves: DataFrame) -> tuple[Da
     """Move branches to free names, HEAD follows: (refs, heads, refused moves with reason).
 
     Moves (repo_id, source, target) are independent of each other. A target named by several moves
-    goes to the smallest source.
+    goes to the smallest source; a source named by several moves goes to the smallest target, and the
+    others find it `missing`.
     """
     taken = refs.select("repo_id", F.col("full").alias("target"), F.lit(True).alias("_taken"))
     have = refs.select("repo_id", F.col("full").alias("source"), F.col("sha").alias("_sha"))
-    rivals = moves.groupBy("repo_id", "target").agg(F.min("source").alias("_winner"))
+    chosen = moves.groupBy("repo_id", "source").agg(F.min("target").alias("_chosen"))
+    first = moves.join(chosen, ["repo_id", "source"], "left")
+    rivals = first.filter("target = _chosen").groupBy("repo_id", "target").agg(F.min("source").alias("_winner"))
     reason = (
         F.when(~is_ref(F.col("source")) | ~is_ref(F.col("target")), "malformed")
         .when(~F.col("target").startswith("refs/heads/"), "not a branch")
-        .when(F.col("_sha").isNull(), "missing")
+        .when(F.col("_sha").isNull() | (F.col("target") != F.col("_chosen")), "missing")
         .when(F.col("_taken") | (F.col("source") != F.col("_winner")), "taken")
     )
     judged = (
-        moves.join(have, ["repo_id", "source"], "left")
+        first.distinct().join(have, ["repo_id", "source"], "left")
         .join(taken, ["repo_id", "target"], "left")
         .join(rivals, ["repo_id", "target"], "left")
         .withColumn("reason", reason)
@@ -93,14 +99,19 @@ def resolve_heads(heads: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def set_heads(heads: DataFrame, updates: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Point HEADs at a ref name or an existing commit: (new heads, rejected with reason)."""
+    """Point HEADs at a ref name or an existing commit: (new heads, rejected with reason).
+
+    Of several updates of one repository none is done: they come back with the reason `repeated`.
+    """
     known = commits.select("repo_id", "sha").distinct().withColumn("_there", F.lit(True))
     reason = (
         F.when(F.col("ref").isNotNull(), F.when(~is_ref(F.col("ref")), "invalid ref"))
         .when(~is_hash(F.col("sha")), "invalid hash")
         .when(F.col("_there").isNull(), "unknown commit")
     )
-    judged = updates.join(known, ["repo_id", "sha"], "left").withColumn("reason", reason).drop("_there")
+    reason = F.coalesce(reason, F.when(F.col("_times") > 1, "repeated"))
+    times = updates.groupBy("repo_id").agg(F.count("*").alias("_times"))
+    judged = updates.join(known, ["repo_id", "sha"], "left").join(times, "repo_id", "left").withColumn("reason", reason).drop("_there", "_times")
     accepted = judged.filter("reason is null").select(
         "repo_id", F.col("ref").alias("_ref"), F.when(F.col("ref").isNull(), F.col("sha")).alias("_sha"), F.lit(True).alias("_set")
     )

@@ -191,7 +191,7 @@ _DIGEST = "sha256(n::varchar" + "".join(f"||'|'||l{i}" for i in range(9)) + ")"
 def _table_hash_sql(name: str, columns: list[str]) -> str:
     return f"""with h as (select sha256({encoded(*_marked(columns))}) h from {name}),
     b as (select substr(h,1,2) bucket, count(*) n, {_LANES} from h group by 1)
-    select sum(n)::bigint as row_count, sha256('{"|".join(columns)}'||chr(10)||string_agg(bucket||{_DIGEST}, '' order by bucket)) as root_hash from b"""
+    select sum(n)::bigint as row_count, sha256('{"|".join(f"{len(n)}:{n}" for n in columns)}'||chr(10)||string_agg(bucket||{_DIGEST}, '' order by bucket)) as root_hash from b"""
 
 
 @registry.add("f1_content_id", f"select o_orderkey, sha256({encoded(*_marked(ORDER_COLUMNS))}) as id from orders")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,15 +31,18 @@ def local_session(cpus: str = "8", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder (`spark.checkpoint.dir`), which all executors can read.
 
-    Only a local session without one gets a temporary folder; a cluster without one is an error,
-    because a machine-local folder would not be readable from other executors.
+    Only a local session without one gets a temporary folder, which goes when Python ends; a cluster
+    without one is an error, because a machine-local folder would not be readable from other executors.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="palimpsest-"))
+        if configured is None:
+            configured = tempfile.mkdtemp(prefix="palimpsest-")
+            atexit.register(shutil.rmtree, configured, ignore_errors=True)
+        context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 

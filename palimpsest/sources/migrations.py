@@ -19,9 +19,11 @@ def with_checksums(migrations: DataFrame) -> tuple[DataFrame, DataFrame]:
     return summed, migrations.filter(~valid)
 
 
-def write_migrations(migrations: DataFrame, path: str) -> None:
-    """Append migrations with their stored checksum."""
-    with_checksums(migrations)[0].write.mode("append").parquet(path)
+def write_migrations(migrations: DataFrame, path: str) -> DataFrame:
+    """Append migrations with their stored checksum; returns the rows refused for a malformed id."""
+    summed, refused = with_checksums(migrations)
+    summed.write.mode("append").parquet(path)
+    return refused
 
 
 def read_migrations(spark: SparkSession, path: str) -> DataFrame:

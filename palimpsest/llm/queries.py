@@ -47,7 +47,7 @@ def op3_decision_list(spark: SparkSession, sf: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    token_files.write_tokens(table(spark, sf, "documents"), folder, token_files.word_encoder(vocabulary("word_bpe_49k.json")))
+    token_files.write_tokens(table(spark, sf, "documents"), folder, vocabulary("word_bpe_49k.json"))
     index, sums = token_files.read_index(spark, folder), token_files.checksums(spark, folder)
     return index.join(sums, "row").select("doc_id", "start", "n_tokens", "ids_crc32")
 

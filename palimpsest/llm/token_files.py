@@ -8,9 +8,12 @@ so retried tasks leave nothing behind.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,37 +38,46 @@ OPTIONS = {
     "compression": "zstd",
 }
 
-#: Marks and plain letters for which that split holds in this vocabulary's pre-tokenizer.
-MARKS = (".", ",")
-LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: A word of plain letters and the marks behind it. Its letters are composed already and have one lower-case form each.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+PROBES = ("the", "Straße", "ÉTÉ", "ÿÀé", "xqzjv", "don")
 
-Encode = Callable[[list[str]], list[list[int]]]
 
+class WordEncoder:
+    """Ids of words by a tokenizers file.
 
-def word_encoder(path: str) -> Callable[[], Encode]:
-    """Makes encoders of a tokenizers file inside tasks."""
-
-    def make() -> Encode:
-        import os
+    Where words are lower-cased and runs of letters and of marks are split from each other, a word of plain letters
+    is one input of the model, which then is asked without the steps before it. Probes decide whether that holds.
+    """
 
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        return lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.table = self.tokenizer.model, {}
+        split = self.tokenizer.pre_tokenizer
+        if split is not None:
+            self.table = {ord(c): "".join(x for x, _ in split.pre_tokenize_str(c)) for c in map(chr, range(0xC0, 0x100)) if c not in "×÷"}
+        tails = ((w, m) for w in PROBES for m in ("", ".", "'", "_'!"))
+        self.simple = all(self.batch([w + m])[0] == self.plain(w.lower()) + (self.batch([m])[0] if m else []) for w, m in tails)
 
-    return make
+    def plain(self, word: str) -> list[int]:
+        return [x.id for x in self.model.tokenize(word.translate(self.table))]
+
+    def batch(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
 class WordIds:
     """Ids of whole texts from the ids of their words, as little-endian 32-bit bytes.
 
     Right for tokenizers that never join text across a space or newline and drop both: then a text's ids
-    are those of its words in a row. Each word is encoded by the library once per task and remembered.
+    are those of its words in a row. Words are encoded by the library once and remembered, up to a bound.
     """
 
-    def __init__(self, encode: Encode) -> None:
-        self.encode, self.known = encode, {}
+    def __init__(self, encoder: WordEncoder) -> None:
+        self.encoder, self.known = encoder, {"": b""}
 
     def of(self, text: str | None) -> bytes:
         words = (text or "").replace("\n", " ").split(" ")
@@ -76,26 +88,44 @@ class WordIds:
             pass
         if len(known) >= CACHE_WORDS:
             known.clear()
+            known[""] = b""
         new = [w for w in dict.fromkeys(words) if w not in known]
         if len(new) >= CACHE_WORDS:  # a text of very many different words: in pieces, remembering nothing
             return b"".join(self._bytes(words[i : i + BATCH_WORDS]) for i in range(0, len(words), BATCH_WORDS))
-        # A mark after a plain letter is a token of its own, so "word," is "word" and ",".
-        ends = {w: w[:-1] for w in new if w[-1:] in MARKS and w[-2:-1] in LETTERS}
-        new = [w for w in dict.fromkeys([*(w for w in new if w not in ends), *ends.values(), *MARKS]) if w and w not in known]
-        known.setdefault("", b"")
-        for i in range(0, len(new), BATCH_WORDS):
-            part = new[i : i + BATCH_WORDS]
-            for word, ids in zip(part, self.encode(part)):
-                known[word] = array("I", ids).tobytes()
-        for word, front in ends.items():
-            known[word] = known[front] + known[word[-1]]
+        self._learn(new)
         return b"".join(map(known.__getitem__, words))
 
+    def _learn(self, new: list[str]) -> None:
+        known, encoder, other = self.known, self.encoder, new
+        if encoder.simple:
+            other = []
+            for word in new:
+                match = PLAIN.fullmatch(word)
+                if match is None:
+                    other.append(word)
+                    continue
+                front, tail = match[1].lower(), match[2]
+                if front not in known:
+                    known[front] = array("I", encoder.plain(front)).tobytes()
+                if tail not in known:
+                    known[tail] = self._bytes([tail])
+                known[word] = known[front] + known[tail] if tail else known[front]
+        for i in range(0, len(other), BATCH_WORDS):
+            part = other[i : i + BATCH_WORDS]
+            for word, ids in zip(part, encoder.batch(part)):
+                known[word] = array("I", ids).tobytes()
+
     def _bytes(self, words: list[str]) -> bytes:
-        return b"".join(np.array(ids, dtype="<u4").tobytes() for ids in self.encode(words))
+        return b"".join(np.array(ids, dtype="<u4").tobytes() for ids in self.encoder.batch(words))
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per worker process, so that its tasks share what is known."""
+    return WordIds(WordEncoder(path))
 
 
-def write_tokens(documents: DataFrame, folder: str, encoder: Callable[[], Encode], end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> None:
+def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes doc_id, n_tokens, part (number of the file) and ids of every whole text, in ascending doc_id order over all files.
 
     Null texts are empty; every document ends with `end_id`. Rows with equal ids stand in the order of their
@@ -107,7 +137,7 @@ def write_tokens(documents: DataFrame, folder: str, encoder: Callable[[], Encode
     kind = plain.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(encoder())
+        words = word_ids(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for first in range(0, len(batch), 500):

@@ -60,14 +60,14 @@ def test_token_files(spark, tmp_path):
     tokenizer = Tokenizer.from_file(path)
     more = ["The, the. THE,, it's; <|endoftext|> a.b. é. 1, x,", "İ. ǅ, é́. \u00a0a"]
     documents = odd_documents(spark).union(spark.createDataFrame([(50 + i, t, "s", 1, 1) for i, t in enumerate(more)], "doc_id long, text string, source string, n_words long, score int"))
-    token_files.write_tokens(documents, str(tmp_path / "t"), token_files.word_encoder(path))
+    token_files.write_tokens(documents, str(tmp_path / "t"), path)
     rows = token_files.read_index(spark, str(tmp_path / "t")).join(token_files.checksums(spark, str(tmp_path / "t")), "row").orderBy("row").collect()
     ids = lambda t: tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
     assert sorted((r["doc_id"] or 0, r["n_tokens"], r["ids_crc32"]) for r in rows) == sorted((r["doc_id"] or 0, len(ids(r["text"])), zlib.crc32(np.array(ids(r["text"]), "<u4").tobytes())) for r in documents.collect())
     assert [r["start"] for r in rows] == [sum(r["n_tokens"] for r in rows[:i]) for i in range(len(rows))]
     assert [r["doc_id"] or -1 for r in rows] == sorted(r["doc_id"] or -1 for r in rows)
     assert token_files.read_documents(spark, str(tmp_path / "t"), [50]).first()["ids"] == ids(more[0])
-    token_files.write_tokens(empty(spark), str(tmp_path / "e"), token_files.word_encoder(path))
+    token_files.write_tokens(empty(spark), str(tmp_path / "e"), path)
     assert token_files.read_index(spark, str(tmp_path / "e")).count() == 0
 
 

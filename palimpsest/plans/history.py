@@ -59,8 +59,8 @@ def h4(spark, sf):
     return H.merge_base(h["commits"], h["edges"], _pairs(h)).select("repo_id", "left", "right", "base", "reason")
 
 
-REVISIONS_SQL = """revs as (select repo_id, unnest(['HEAD', '', 'main', 'dev', ' alt ', 'v1', 'refs/heads/main', 'heads/main', 'tags/v1', 'refs/heads/none', 'nope', 'abc',
-    'not-a-hash-but-long-enough', sha, substr(sha,1,10), substr(sha,1,7), substr(sha,1,6), 'dangling']) revision from s where seq=0),
+REVISIONS_SQL = """revs as (select repo_id, unnest(['HEAD', '', 'main', 'dev', ' alt ', 'v1', 'refs/heads/main', 'heads/main', 'tags/v1', 'refs/heads/none', 'no such branch', '0f1e',
+    'zzzzzzzz-zz', sha, substr(sha,1,10), substr(sha,1,7), substr(sha,1,6), 'dangling']) revision from s where seq=0),
 asked as (select *, trim(revision) r from revs),
 named as (select a.*, case
     when r='' then null
@@ -79,7 +79,7 @@ prefixes as (select n.repo_id, n.revision, count(distinct c.sha) k, min(c.sha) h
 
 
 def _revisions(h):
-    words = ["HEAD", "", "main", "dev", " alt ", "v1", "refs/heads/main", "heads/main", "tags/v1", "refs/heads/none", "nope", "abc", "not-a-hash-but-long-enough"]
+    words = ["HEAD", "", "main", "dev", " alt ", "v1", "refs/heads/main", "heads/main", "tags/v1", "refs/heads/none", "no such branch", "0f1e", "zzzzzzzz-zz"]
     sha = F.col("sha")
     forms = [F.lit(w) for w in words] + [sha, F.substring(sha, 1, 10), F.substring(sha, 1, 7), F.substring(sha, 1, 6), F.lit("dangling")]
     return h["numbered"].filter("seq = 0").select("repo_id", F.explode(F.array(*forms)).alias("revision"))

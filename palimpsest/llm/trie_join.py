@@ -151,7 +151,7 @@ def _prefixes(documents: DataFrame, levels, size: int, similarity: int, hot_leve
 
 
 def _texts_of(documents: DataFrame, keys: DataFrame, size: int) -> DataFrame:
-    """One text of each class in `keys`: key, text. A bit table of fixed size keeps most others from being shuffled."""
+    """`keys` (one row per class) with one text of each. A bit table of fixed size keeps most others from being shuffled."""
     bits = np.zeros(FILTER_BITS, dtype=bool)
     places = keys.select(F.expr(f"cast(key & {FILTER_BITS - 1} as int)").alias("b")).distinct()
     for row in places.groupBy((F.col("b") / 4096).cast("int")).agg(F.collect_list("b").alias("b")).toLocalIterator():
@@ -173,7 +173,7 @@ def _texts_of(documents: DataFrame, keys: DataFrame, size: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), texts.take(pa.array(rows)).cast(pa.string())], ["key", "text"])
 
     some = documents.select("text").mapInArrow(run, "key bigint, text string")
-    return some.groupBy("key").agg(F.first("text").alias("text")).join(keys, "key", "left_semi")
+    return some.groupBy("key").agg(F.first("text").alias("text")).join(keys, "key")
 
 
 class Trie:
@@ -308,14 +308,16 @@ def _links(plain: DataFrame, shared: DataFrame, levels, size: int, similarity: i
     cut = durable(members.join(members.groupBy("cell").agg(blocks().alias("blocks")), "cell").withColumn("block", F.xxhash64("cell", pick(F.col("blocks")))))
     rows = cut.select("block", "key").union(cut.select("block", "cell").distinct())
     hot = cut.where("blocks > 1").selectExpr("xxhash64(cell, 1) as g", "key", "n").union(shared.where("salt >= 0").selectExpr("xxhash64(token, 2) as g", "key", "n")).distinct()
-    wanted = rows.select("key").union(hot.select("key")).distinct()
-    texts = durable(_texts_of(plain, durable(wanted), size))
-    none = F.lit(None).cast("bigint").alias("known")
-    links = durable(_join_blocks(rows.select("block", "key", none).join(texts, "key"), levels, size, similarity))
+    # A class brings the numbers of its blocks along (no more than it has cells, and blocks in the cell it is the centre of),
+    # so texts go to their blocks straight from here, without another shuffle by key.
+    wanted = rows.union(hot.selectExpr("cast(null as bigint) as block", "key")).groupBy("key").agg(F.collect_list("block").alias("blocks"))
+    placed = durable(_texts_of(plain, durable(wanted), size))
+    texts, none = placed.select("key", "text"), F.lit(None).cast("bigint").alias("known")
+    links = durable(_join_blocks(placed.select(F.explode("blocks").alias("block"), "key", none, "text"), levels, size, similarity))
     labels = components(links)
-    placed = hot.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    apart = placed.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
-    open_ = durable(placed.join(apart, "g", "left_semi"))
+    marked = hot.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    apart = marked.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g")
+    open_ = durable(marked.join(apart, "g", "left_semi"))
     if open_.isEmpty():
         return links
     per = open_.groupBy("g", "label").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from palimpsest.llm import containment, decision_list, line_spread, nbest, trie_join  # noqa: E402
+from palimpsest.llm.expressions import WORD  # noqa: E402
 from palimpsest.llm.queries import vocabulary  # noqa: E402
 from palimpsest.session import shared_folder  # noqa: E402
 
@@ -30,12 +31,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest id, once."""
-    grouped = trie_join.near_duplicates(docs)
-    first = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("hash"), F.max(F.col("n_shingles") == 0).alias("bare"))
-    first = first.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "bare")
-    same = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & ((F.xxhash64("text") == F.col("_hash")) | F.col("bare")))
-    return same.dropDuplicates(["_id", "text"]).select(*docs.columns)
+    """One document of each group of near duplicates stays: that with the smallest id (null only if all are), then text hash, once. Documents without words all stay."""
+    grouped = trie_join.near_duplicates(docs).where("label is not null")
+    first = grouped.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    same = docs.where(worded).join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")
+    return same.dropDuplicates(["doc_id", "text"]).union(docs.where(~worded))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -354,11 +354,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: int = SIMILARITY, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, hot_level: int = HOT_LEVEL) -> DataFrame:
-    """Per row of `documents`: doc_id, text_hash, n_shingles, component_id (the smallest doc_id reachable by links).
+    """Per row of `documents`: doc_id, text_hash, n_shingles, component_id (the smallest doc_id reachable by links), label.
 
     Texts that are null or hold no word have an empty set and link with nothing, not even with each
     other: their component_id is their own doc_id. Rows that repeat a document each give a row. Null
-    ids are passed over where another id is in the group. Other columns are not looked at.
+    ids are passed over where another id is in the group. `label` names the group whatever its ids
+    are, and is null for an empty set. Other columns are not looked at.
     """
     plain = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     described = durable(_described(plain, size))
@@ -377,4 +378,4 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     sets = described.where("block is null").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "key")
     named = sets.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "label", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return named.join(smallest, "label", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "label")

@@ -187,3 +187,19 @@ def test_pipeline_columns_and_effects(spark):
         assert docs_.columns == docs.columns, name
         counts.append(docs_.count())
     assert counts[0] < 200 and all(c > 0 for c in counts)
+
+
+def test_near_duplicate_survivors_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    words = lambda k, n=30: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b") + " end"), (1, words("c")), (1, words("d")), (1, ""), (2, words("c") + " end"), (None, words("d") + " end")]
+    rows += [(5, words("e")), (5, words("e")), (6, None), (6, None), (None, " \n"), (None, None)]
+    docs = spark.createDataFrame([(d, t, len(t or "")) for d, t in rows], "doc_id long, text string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    found = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    either = {words("b"), words("b") + " end"} & {t for _, t in found}
+    assert len(either) == 1
+    expected = [(None, words("a")), (None, *either), (1, words("c")), (1, words("d")), (1, ""), (5, words("e")), (6, None), (6, None), (None, " \n"), (None, None)]
+    assert sorted(found, key=repr) == sorted(expected, key=repr)

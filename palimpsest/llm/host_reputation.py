@@ -2,7 +2,8 @@
 
 Outcomes of labelled pages are counted per host, registered domain and suffix. Each level has a beta
 prior whose mean is the posterior mean of the level above and whose strength is estimated from how
-much the groups of that level scatter (moments of the beta-binomial). A host passes if the lower
+much the groups of that level scatter (moments of the beta-binomial). One group, or groups of one
+page each, say nothing about scatter; the spread is then MOST_SPREAD. A host passes if the lower
 bound of its posterior does.
 """
 
@@ -41,9 +42,10 @@ def _spread(groups: DataFrame) -> tuple[float, float]:
     """Mean and strength of the beta prior of groups (n, k)."""
     sums = groups.agg(F.sum("n").alias("N"), F.sum("k").alias("K"), F.count("*").alias("G"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("S"), F.sum(F.col("n") * F.col("n")).alias("Q"))
     p = F.col("K") / F.col("N")
+    told = (F.col("G") > 1) & (F.col("N") > F.col("G"))  # exactly where rho's denominator is not 0
     scatter = F.col("S") - F.col("N") * p * p
     rho = (scatter - p * (1 - p) * (F.col("G") - 1)) / (p * (1 - p) * (F.col("N") - F.col("Q") / F.col("N") - (F.col("G") - 1)))
-    rho = F.least(F.lit(MOST_SPREAD), F.greatest(F.lit(LEAST_SPREAD), F.coalesce(F.when(p * (1 - p) > 0, rho), F.lit(MOST_SPREAD))))
+    rho = F.least(F.lit(MOST_SPREAD), F.greatest(F.lit(LEAST_SPREAD), F.coalesce(F.when(told & (p * (1 - p) > 0), rho), F.lit(MOST_SPREAD))))
     found = sums.select(F.coalesce(p, F.lit(0.5)).alias("p"), (1 / rho - 1).alias("strength")).first()
     return found["p"], found["strength"]
 

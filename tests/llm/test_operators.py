@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import chat_log, containment, decision_list, host_reputation, line_spread, nbest, subword_classifier, token_files, warc
-from palimpsest.llm.queries import QUERIES, URL_RULES, vocabulary
+from palimpsest.llm.queries import QUERIES, SQL, URL_RULES, vocabulary
 
 SF = "/root/testdata/sf0.001"
 TEXTS = [None, "", "  \n", "one", "a b c d e f g h i j k", "A b C d e f g h i j. x", "same line\nsame line\nother", "é ß ▁ 梦\tx\x1cy 's don't", "x " * 30_000]
@@ -203,3 +203,21 @@ def test_near_duplicate_survivors_with_null_and_repeated_ids(spark):
     assert len(either) == 1
     expected = [(None, words("a")), (None, *either), (1, words("c")), (1, words("d")), (1, ""), (5, words("e")), (6, None), (6, None), (None, " \n"), (None, None)]
     assert sorted(found, key=repr) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize(
+    "urls",
+    [
+        ["http://a.x.com/1", "http://a.x.com/2", "http://b.y.com/", "http://c.y.com/"],  # one suffix
+        ["http://a.x.com/1", "http://a.x.com/2", "http://b.x.com/", "http://b.x.com/2"],  # one domain
+        ["http://a.x.com/", "http://b.y.net/", "http://c.z.org/", "http://d.w.edu/"],  # a page per host, domain and suffix
+    ],
+)
+def test_reputations_where_groups_tell_no_scatter(spark, tmp_path, urls):
+    from compare import difference
+
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "p"))
+    spark.createDataFrame([(i, i % 2) for i in range(len(urls))], "doc_id long, quality int").write.parquet(str(tmp_path / "l"))
+    for name, short in (("pages", "p"), ("labels", "l")):
+        spark.read.parquet(str(tmp_path / short)).toPandas().to_parquet(str(tmp_path / f"{name}.parquet"))
+    assert difference(spark, str(tmp_path), QUERIES["op9_host_reputation"], SQL["op9_host_reputation"]) is None

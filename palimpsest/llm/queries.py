@@ -90,14 +90,16 @@ CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
 def chat_events(conversations: DataFrame) -> DataFrame:
-    """An event log of given messages: drafts that are regenerated, texts in two deltas, and user texts put right by an edit."""
-    ordered = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    """An event log of given messages: drafts that are regenerated, texts in two deltas, and user texts put right by an edit. Each of several equal rows is a message."""
+    plain = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    counted = plain.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
+    ordered = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     half = F.expr("char_length(text) div 2")
     event = lambda seq, kind, text: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
     none = F.lit(None).cast("string")
     streamed = F.array(event(0, "start", none), event(1, "delta", F.lit("draft ")), event(2, "regenerate", none), event(3, "delta", F.substring(F.col("text"), F.lit(1), half)), event(4, "delta", F.substring(F.col("text"), half + 1, F.char_length("text"))))
     typed = F.array(event(0, "start", none), event(1, "delta", F.reverse("text")), event(2, "edit", F.col("text")))
-    logged = ordered.select("conv_id", F.struct("turn", "role", "text").alias("message"), "role", F.explode(F.when(F.col("role") == "user", typed).otherwise(streamed)).alias("e"))
+    logged = ordered.select("conv_id", F.struct("turn", "role", "text", "copy").alias("message"), "role", F.explode(F.when(F.col("role") == "user", typed).otherwise(streamed)).alias("e"))
     return logged.select(F.col("conv_id").alias("conv"), "message", "e.seq", "e.kind", "role", "e.text")
 
 

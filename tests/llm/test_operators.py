@@ -221,3 +221,13 @@ def test_reputations_where_groups_tell_no_scatter(spark, tmp_path, urls):
     for name, short in (("pages", "p"), ("labels", "l")):
         spark.read.parquet(str(tmp_path / short)).toPandas().to_parquet(str(tmp_path / f"{name}.parquet"))
     assert difference(spark, str(tmp_path), QUERIES["op9_host_reputation"], SQL["op9_host_reputation"]) is None
+
+
+def test_repeated_rows_of_a_turn(spark, tmp_path):
+    from compare import difference
+
+    rows = [(1, 0, "user", "hello"), (1, 1, "assistant", "hallo"), (1, 1, "assistant", "hallo"), (1, 1, "assistant", "hallo"), (1, 2, "tool", None), (1, 2, "tool", ""), (1, 2, "tool", ""), (2, 0, "user", "x"), (2, 0, "user", "x")]
+    rows += [(3, 0, None, "b"), (3, 0, "", "a"), (3, 0, None, "a"), (3, 1, "assistant", None), (3, 1, "assistant", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.toPandas().to_parquet(str(tmp_path / "conversations.parquet"))
+    assert difference(spark, str(tmp_path), QUERIES["op10_chat_log"], SQL["op10_chat_log"]) is None

@@ -250,14 +250,21 @@ def log(commits: DataFrame, edges: DataFrame, starts: DataFrame, refs: DataFrame
 
 
 def ancestors(commits: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """Commits reachable from each start, itself included: repo_id, start, sha."""
-    return walk(edges, starts).join(commits.select("repo_id", "sha"), ["repo_id", "sha"], "left_semi").select(
-        "repo_id", "start", "sha"
+    """Commits reachable from each start, itself included: repo_id, start, sha, missing.
+
+    A start or parent that is no commit is a row with `missing` = true.
+    """
+    there = commits.select("repo_id", "sha").distinct().withColumn("_there", F.lit(True))
+    return walk(edges, starts).join(there, ["repo_id", "sha"], "left").select(
+        "repo_id", "start", "sha", F.col("_there").isNull().alias("missing")
     )
 
 
 def is_ancestor(commits: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per (repo_id, candidate, start): is the candidate reachable from, or equal to, the start."""
+    """Per (repo_id, candidate, start): is the candidate reachable from, or equal to, the start.
+
+    A parent that is no commit is reachable too.
+    """
     reached = ancestors(commits, edges, pairs.select("repo_id", "start").distinct())
     hit = reached.select("repo_id", "start", F.col("sha").alias("candidate"), F.lit(True).alias("_hit"))
     is_it = (F.col("candidate") == F.col("start")) | F.coalesce("_hit", F.lit(False))

@@ -34,7 +34,7 @@ def h1(spark, sf):
 @registry.add("h2_ancestors", f"{_WITH} select distinct repo_id, start, sha from paths")
 def h2(spark, sf):
     h = history(spark, sf)
-    return H.ancestors(h["commits"], h["edges"], h["starts"])
+    return H.ancestors(h["commits"], h["edges"], h["starts"]).select("repo_id", "start", "sha")
 
 
 @registry.add(

@@ -143,3 +143,14 @@ def test_ambiguous_prefix(spark):
     revs = spark.createDataFrame([(1, "abcdef0"), (1, "abcdef01"), (1, "abcdef"), (1, "abcdef03")], "repo_id int, revision string")
     got = {r.revision: (r.match, r.status) for r in R.resolve_prefix(revs, commits).collect()}
     assert got == {"abcdef0": (None, "ambiguous"), "abcdef01": (a, "ok"), "abcdef": (None, "unknown"), "abcdef03": (None, "unknown")}
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_ancestors_that_are_no_commits(spark, monkeypatch, small):
+    monkeypatch.setattr(H, "REPO_EDGES", small)
+    commits, edges = frames(spark, {1: {"a": ["b", "gone"], "b": ["lost"]}})
+    starts = spark.createDataFrame([(1, "a"), (1, "none")], "repo_id int, start string")
+    found = {(r.start, r.sha, r.missing) for r in H.ancestors(commits, edges, starts).collect()}
+    assert found == {("a", "a", False), ("a", "b", False), ("a", "gone", True), ("a", "lost", True), ("none", "none", True)}
+    pairs = spark.createDataFrame([(1, "lost", "a"), (1, "b", "a"), (1, "other", "a")], "repo_id int, candidate string, start string")
+    assert {r.candidate: r.is_ancestor for r in H.is_ancestor(commits, edges, pairs).collect()} == {"lost": True, "b": True, "other": False}

@@ -10,7 +10,7 @@ from palimpsest.operators.groups import lists_in_group
 
 
 def ordered_list(df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], name: str, limit: int | None = None) -> DataFrame:
-    """Values per group in order: keys, part, `name` (one part unless the group is very large)."""
+    """Values per group in order: keys, part, `name` (one part unless a `limit` is given)."""
     return lists_in_group(df.select(*dict.fromkeys([*keys, *order, value])), keys, F.col(value), order, name, limit)
 
 
@@ -58,7 +58,7 @@ def nest(parents: DataFrame, keys: Sequence[str], limit: int | None = None, **me
     """Parents with one list column per member relation, members in the order of their id.
 
     Each member is (relation with the parent keys, element, order columns). All lists of one
-    parent and part stand in one row; parents with no members keep one row with empty lists.
+    parent and part (0 alone without a `limit`) stand in one row; parents with no members keep one row with empty lists.
     """
     whole = parents.select(*keys, F.lit(0).cast("bigint").alias("part"))
     lists = {

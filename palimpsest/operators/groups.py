@@ -3,7 +3,8 @@
 A plain window or `collect_list` puts a whole group into one task. These helpers first count
 the rows per group (a map-side combined aggregate on the keys alone). Groups up to
 `HOT_GROUP_ROWS` take the plain way; larger ones are spread over many tasks by a range
-partitioning on (keys, order), and their lists come back in numbered parts.
+partitioning on (keys, order). Results are the same both ways; lists come back in numbered parts
+only where a limit is given.
 """
 
 from __future__ import annotations
@@ -85,7 +86,7 @@ def _spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
 def rank_in_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank", limit: int | None = None
 ) -> DataFrame:
-    """Add the dense 1-based position by ascending `order` (null first) in each group.
+    """Add the dense 1-based position by ascending `order` (null first) in each group; ties go by the other columns.
 
     With no keys the whole table is one group and always takes the spread way.
     """
@@ -93,7 +94,8 @@ def rank_in_group(
     if not keys:
         return _spread_rank(df, keys, order, name, limit)
     cold, hot = split_hot(df, keys, limit)
-    window = W.partitionBy(*keys).orderBy(*[F.col(f"`{c}`") for c in order])
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    window = W.partitionBy(*keys).orderBy(*[F.col(f"`{c}`") for c in [*order, *rest]])
     ranked = cold.withColumn(name, F.row_number().over(window).cast("bigint"))
     return ranked if hot is None else ranked.unionByName(_spread_rank(hot, keys, order, name, limit))
 
@@ -101,23 +103,27 @@ def rank_in_group(
 def lists_in_group(
     df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[str], name: str, limit: int | None = None
 ) -> DataFrame:
-    """Values of each group as a list in ascending `order`: keys, part, `name`.
+    """Values of each group as a list in ascending `order`, ties by value: keys, part, `name`.
 
-    A group up to `limit` rows is one row with part 0; a larger one has parts 0, 1, … of at most
-    `limit` values each, so no value of the list ever has to pass through a single task or cell.
+    A group of any size is one row with part 0. Only an explicit `limit` cuts lists into parts 0, 1, …
+    of at most `limit` values each, so no value of the list has to pass through a single task or cell.
     """
-    limit = limit or HOT_GROUP_ROWS
+    block = limit or HOT_GROUP_ROWS
+    df = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keys, *order])], value.alias("_v"))
 
     def gather(rows: DataFrame, by: Sequence[str], sort: Sequence[str]) -> DataFrame:
-        item = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(sort)], value.alias("v"))
+        item = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(sort)], F.col("_v").alias("v"))
         sorted_items = F.array_sort(F.collect_list(item))
         return rows.groupBy(*by).agg(F.transform(sorted_items, lambda x: x["v"]).alias(name))
 
-    cold, hot = split_hot(df, keys, limit)
+    cold, hot = split_hot(df, keys, block)
     part = F.lit(0).cast("bigint").alias("part")
     plain = gather(cold, keys, order).select(*keys, part, name)
     if hot is None:
         return plain
-    ranked = _spread_rank(hot, keys, order, "_rank", limit)
-    parted = ranked.withColumn("part", F.floor((F.col("_rank") - 1) / limit))
-    return plain.unionByName(gather(parted, [*keys, "part"], ["_rank"]).select(*keys, "part", name))
+    ranked = _spread_rank(hot, keys, order, "_rank", block)
+    parts = gather(ranked.withColumn("part", F.floor((F.col("_rank") - 1) / block)), [*keys, "part"], ["_rank"])
+    if not limit:  # sorted by many tasks, put together at last
+        sorted_parts = F.array_sort(F.collect_list(F.struct("part", F.col(name).alias("l"))))
+        parts = parts.groupBy(*keys).agg(F.flatten(F.transform(sorted_parts, lambda x: x["l"])).alias(name)).withColumn("part", part)
+    return plain.unionByName(parts.select(*keys, "part", name))

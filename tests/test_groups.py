@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.aggregates import distinct_first_seen, distinct_sorted, nest, ordered_list
 from palimpsest.operators.constraints import sequence_gaps
+from palimpsest.operators import groups
 from palimpsest.operators.groups import rank_in_group
 from palimpsest.operators.ordinals import default_names, densify
 
@@ -104,3 +105,21 @@ def test_unnamed_checks(spark):
 def test_gaps(spark):
     df = spark.createDataFrame([(v,) for v in (1, 3, 5, 11, 13, 13, None)], "v bigint")
     assert sorted(map(tuple, sequence_gaps(df, "v", 2, 3).collect())) == [(7, 9, 2)]
+
+
+def test_one_answer_at_every_size(spark, monkeypatch):
+    """Ties in the order, nulls, and value columns in another order than the table's."""
+    rows = [("g" if i % 4 else "h", i % 5 or None, f"b{i % 7}", f"a{i % 11}") for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, o int, b string, a string").repartition(7)
+    parents = df.select("k").distinct()
+
+    def answers():
+        ranks = [tuple(r) for r in rank_in_group(df, ["k"], ["o"], "n").collect()]
+        lists = [(r.k, r.part, r.vs) for r in ordered_list(df, ["k"], "b", ["o"], "vs").collect()]
+        nested = [(r.k, r.part, r.ms) for r in nest(parents, ["k"], ms=(df, F.struct("a", "b"), ["o"])).collect()]
+        return sorted(ranks, key=repr), sorted(lists), sorted(nested)
+
+    plain = answers()
+    assert [(k, part, len(vs)) for k, part, vs in plain[1]] == [("g", 0, 225), ("h", 0, 75)]
+    monkeypatch.setattr(groups, "HOT_GROUP_ROWS", 20)
+    assert answers() == plain

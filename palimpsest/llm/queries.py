@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from palimpsest.llm import chat_log, containment, decision_list, host_reputation, line_spread, nbest, subword_classifier, token_files, trie_join, warc
+from palimpsest.llm import approximation_file, chat_log, containment, decision_list, host_reputation, line_spread, nbest, spelling_variants, subword_classifier, token_alignment, token_files, trie_join, warc
 from palimpsest.llm.host_reputation import Rule
 from palimpsest.llm.oracle import SQL as SQL
 from palimpsest.session import durable, shared_folder
@@ -120,8 +120,24 @@ def op10_chat_log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = spelling_variants.word_counts(table(spark, sf, "documents"), drop_every=97)
+    return spelling_variants.group_variants(vocabulary).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_approximation_file(spark: SparkSession, sf: str) -> DataFrame:
+    return approximation_file.top_k(table(spark, sf, "embeddings"), "vec_id % 50 = 0", factor=256.0)
+
+
+def op13_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    rows = token_alignment.aligned(table(spark, sf, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+    return token_alignment.with_counts(rows).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_derivatives, op2_subword_quality, op3_decision_list, op4_token_files, op5_line_spread, op6_contamination, op7_nbest_pieces, op8_trie_join, op9_host_reputation, op10_chat_log)
-}
-
+    for f in (
+        op1_warc_derivatives, op2_subword_quality, op3_decision_list, op4_token_files, op5_line_spread, op6_contamination, op7_nbest_pieces,
+        op8_trie_join, op9_host_reputation, op10_chat_log, op11_spelling_variants, op12_approximation_file, op13_token_alignment,
+    )
+}

@@ -47,8 +47,9 @@ def scaled(vectors: DataFrame, vec_id: str, embedding: str, factor: float) -> Da
                     continue
                 rows.append(row)
                 dims.append(len(numbers))
-                wide.append(bool(len(numbers)) and float(np.abs(numbers).max()) ** 2 * len(numbers) >= _EXACT)
-                data.append(numbers.astype("<f8" if wide[-1] or np.abs(numbers).max(initial=0) >= 1 << 24 else "<f4").tobytes())
+                largest = np.abs(numbers).max(initial=0)
+                wide.append(bool(largest >= (_EXACT / max(1, len(numbers))) ** 0.5))
+                data.append(numbers.astype("<f8" if largest >= 1 << 24 else "<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(rows, pa.int64())), pa.array(dims, pa.int32()), pa.array(wide, pa.bool_()), pa.array(data, pa.binary())], ["vec_id", "dims", "wide", "data"])
 
     plain = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("x"))

@@ -134,8 +134,8 @@ _LETTERS = "A-Za-zÀ-ÿ"
 #: CRC-32 byte by byte; near words share a string with one code point left out (at the same place, or one is the string itself).
 OP11 = rf"""with recursive runs as (select coalesce(doc_id::varchar, '')||':' id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[{_LETTERS}]+')) run from documents),
 counted as (select id, run, count(*) c from runs group by all),
-bytes as (select *, flatten(list_transform(string_split(id||run, ''), x -> case when unicode(x) < 128 then [unicode(x)::bigint] else [(192 + (unicode(x) >> 6))::bigint, (128 + (unicode(x) & 63))::bigint] end)) b from counted),
-hashed as (select run, c, xor(list_reduce([4294967295]||b, (h, x) -> xor(h >> 8, t.crc[(xor(h, x) & 255) + 1])), 4294967295) h from bytes, (select {_CRC}::bigint[] crc) t),
+bytes as (select *, flatten(list_transform(string_split(id||run, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [(192 + (unicode(x) >> 6))::bigint, (128 + (unicode(x) & 63))::bigint] end)) b from counted),
+hashed as (select run, c, xor(list_reduce([4294967295]||b, lambda h, x: xor(h >> 8, t.crc[(xor(h, x) & 255) + 1])), 4294967295) h from bytes, (select {_CRC}::bigint[] crc) t),
 spoilt as (select case when h % 97 = 0 then run[:h % length(run)]||run[h % length(run) + 2:] else run end word, c from hashed),
 vocab as (select word, sum(c)::bigint n from spoilt where length(word) >= 5 group by word having sum(c) >= 3),
 cut as (select word, n, i, word[:i-1]||word[i+1:] rest from (select *, unnest(range(1, length(word) + 1)) i from vocab)),
@@ -148,8 +148,8 @@ led as (select word, word root from formed union select l.word, f.form from led
 ends as (select l.word, l.root from led l join formed f on f.word = l.root where f.form is null)
 select f.word, f.form, e.root, f.n, f.n_near, f.form_n from formed f join ends e using (word)"""
 
-OP12 = """with v as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)) w, row_number() over () r from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+OP12 = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) w, row_number() over () r from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (select q.vec_id query_id, q.r, c.vec_id, case when len(q.w) > 0 then list_dot_product(q.w, c.w) else 0 end::bigint score from v q join v c on q.vec_id % 50 = 0 and q.r <> c.r and len(q.w) = len(c.w)),
 o as (select *, row_number() over (partition by r order by score desc, vec_id nulls last) rank from s)
 select query_id, rank::int rank, vec_id, score from o where rank <= 5"""

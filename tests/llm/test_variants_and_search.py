@@ -6,7 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pytest
@@ -160,13 +160,19 @@ TEXTS = [
 ]
 
 
-def whole(text):
-    """Groups of a text by encoding it whole, or None if it has no tokens."""
+@lru_cache(maxsize=1)
+def models():
     import sentencepiece
     from tokenizers import Tokenizer
 
-    a, b = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    a = Tokenizer.from_file(BYTES)
     a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+
+def whole(text):
+    """Groups of a text by encoding it whole, or None if it has no tokens."""
+    a, b = models()
     if not text:
         return None
     table = {**{chr(x): x for x in [*range(33, 127), *range(161, 173), *range(174, 256)]}}

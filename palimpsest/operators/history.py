@@ -1,19 +1,13 @@
 """Walks over the commit graphs of many repositories at once.
 
-Inputs are `commits(repo_id, sha, …)` and `edges(repo_id, child, idx, parent)`. Every step joins on
-(repo_id, sha), so one very large repository is spread like many small ones.
-
-**Order.** A first-in-first-out walk visits commits by (shortest distance, path of parent
-positions). Two paths can only part at a commit with several parents, so a path notes the parent
-position at such commits alone: it does not grow along plain history. Parts have a fixed width, so
-text order is number order.
-
-**Small repositories** (counted first) are walked whole inside a task, after one shuffle by
-repository. **Large ones** are walked in rounds over many tasks. Runs of commits with one parent and
-one child are contracted first by pointer jumping (log2 of the longest run), and the walk then goes
-from run to run. A linear history of a million commits takes some twenty rounds instead of a
-million. Each round is written to the checkpoint folder; rounds that move few labels broadcast them
-and shuffle nothing large.
+Inputs are `commits(repo_id, sha, …)` and `edges(repo_id, child, idx, parent)`. Every shuffle is by
+repository, or by section where a repository is large.
+
+**Small repositories** (counted first) are worked on whole inside a task, after one shuffle by
+repository: walks, reachability and merge bases there cost no rounds, and a merge base visits only
+what lies between the two commits and their base. **Large ones** are walked section by section
+(`sections`), in about as many rounds as a walk crosses sections. Both give the same rows, on
+cyclic and damaged histories too.
 """
 
 from __future__ import annotations
@@ -25,15 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from palimpsest.operators.groups import rank_in_group
+from palimpsest.functions.names import is_hash
+from palimpsest.operators import graph_tasks, sections
 from palimpsest.session import durable
 
-PART_WIDTH = 8
 REPO_EDGES = 100_000
 WALK_ROWS = 1_000_000
-RUN_BLOCK = 100_000
-BROADCAST_ROWS = 10_000
-MAX_PIECES = 12
 
 
 def edges_of(commits: DataFrame, parents: str = "parents") -> DataFrame:
@@ -41,184 +32,128 @@ def edges_of(commits: DataFrame, parents: str = "parents") -> DataFrame:
     return commits.select("repo_id", F.col("sha").alias("child"), F.posexplode(parents).alias("idx", "parent"))
 
 
-def _size(df: DataFrame) -> int:
-    """Rows of a materialised table, counted up to the size that may be broadcast."""
-    return df.limit(BROADCAST_ROWS + 1).count()
+class Repository:
+    """The rows of one repository: parents in order, commits that exist, labels, and what is asked (two texts each)."""
 
+    def __init__(self, name: object) -> None:
+        self.name, self.links, self.there, self.asked = name, [], set(), []
+        self.labels: graph_tasks.Labels = {}
 
-def _contract(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Contract linear runs: (members, exits).
+    def parents(self) -> graph_tasks.Parents:
+        out: graph_tasks.Parents = {}
+        for child, _, parent in sorted(self.links):
+            out.setdefault(child, []).append(parent)
+        return out
 
-    members(repo_id, sha, top, offset): the run of a commit, named by its newest commit, and the
-    distance from it. exits(repo_id, top, idx, many, parent, steps): edges from the run's last
-    commit to the next runs. Commits no start can reach may be left out.
-    """
-    asked = starts.select("repo_id").distinct()
-    edges = edges.join(asked, "repo_id", "left_semi").select("repo_id", "child", "idx", "parent")
-    fan_out = edges.groupBy("repo_id", "child").agg(F.count(F.lit(1)).alias("parents"))
-    edges = durable(edges.join(fan_out, ["repo_id", "child"], "inner"))
-    fan_in = edges.groupBy("repo_id", F.col("parent").alias("sha")).agg(
-        F.count(F.lit(1)).alias("children"), F.min("child").alias("only_child"), F.min("parents").alias("siblings")
-    )
-    begun = starts.select("repo_id", F.col("start").alias("sha")).distinct().withColumn("begins", F.lit(True))
-    # A commit continues the run of its only child when it is that child's only parent.
-    inner = F.coalesce((F.col("children") == 1) & (F.col("siblings") == 1) & F.col("begins").isNull(), F.lit(False))
-    linked = durable(
-        fan_in.join(begun, ["repo_id", "sha"], "full").select(
-            "repo_id",
-            "sha",
-            F.when(inner, F.col("only_child")).otherwise(F.col("sha")).alias("top"),
-            F.when(inner, F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("offset"),
-        )
-    )
-    # Pointer jumping: take over the pointer of the commit pointed at, until that is a top. Only
-    # open commits join, and no two of them point at the same commit, so no key is ever hot.
-    tops, moving = linked.filter("offset = 0"), linked.filter("offset > 0")
-    done, rounds = tops, linked.count().bit_length() + 1
-    while size := _size(moving):
-        if rounds == 0:
-            raise ValueError("the commit graph has a cycle")
-        rounds -= 1
-        ahead = done.unionByName(moving).select(
-            "repo_id", F.col("sha").alias("top"), F.col("top").alias("_top"), F.col("offset").alias("_more")
-        )
-        few = size <= BROADCAST_ROWS
-        moved = (F.broadcast(moving) if few else moving).join(ahead, ["repo_id", "top"], "inner").select(
-            "repo_id", "sha", F.col("_top").alias("top"), (F.col("offset") + F.col("_more")).alias("offset"), "_more"
-        )
-        moved = durable(moved.repartition(1) if few else moved)
-        done = done.unionByName(moved.filter("_more = 0").drop("_more"))
-        moving = moved.filter("_more > 0").drop("_more")
-    leaving = edges.join(tops.select("repo_id", F.col("sha").alias("parent")), ["repo_id", "parent"], "left_semi")
-    exits = leaving.join(done.withColumnRenamed("sha", "child"), ["repo_id", "child"], "inner").select(
-        "repo_id", "top", "idx", (F.col("parents") > 1).alias("many"), "parent", (F.col("offset") + 1).alias("steps")
-    )
-    return done, durable(exits)
 
+_EDGE, _COMMIT, _LABEL, _ASKED = range(4)
 
-def _walk_large(edges: DataFrame, starts: DataFrame, within: int | None) -> DataFrame:
-    """Walk repositories of any size in rounds over many tasks."""
-    members, exits = _contract(edges, starts)
 
-    key = ["repo_id", "start", "top"]
-    fresh = durable(
-        starts.select("repo_id", "start", F.col("start").alias("top"), F.struct(F.lit(0).cast("bigint").alias("depth"), F.lit("").alias("path")).alias("label"))
-    )
-    # A better label is always smaller, so labels are only added and the smallest one counts.
-    labels, pieces = fresh, 1
-    best = F.min("label").alias("label")
-    while size := _size(fresh):
-        part = F.lpad(F.col("idx").cast("string"), PART_WIDTH, "0")
-        depth, path = F.col("label.depth") + F.col("steps"), F.col("label.path")
-        extended = F.struct(depth.alias("depth"), F.when(F.col("many"), F.concat(path, part)).otherwise(path).alias("path"))
-        few = size <= BROADCAST_ROWS
-        reached = (F.broadcast(fresh) if few else fresh).join(exits, ["repo_id", "top"], "inner").select(
-            "repo_id", "start", F.col("parent").alias("top"), extended.alias("label")
+def _stacked(edges: DataFrame | None, commits: DataFrame | None, labels: DataFrame | None, asked: DataFrame | None) -> DataFrame:
+    """What belongs to a repository as rows of one shape: repo_id, kind, a, b, i, j, k."""
+    no_text, no_number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+
+    def shaped(df: DataFrame, kind: int, *columns: str) -> DataFrame:
+        own = dict(zip("abijk", columns))
+        cells = [F.col(own[c]).cast("bigint" if c in "ijk" else "string").alias(c) if own.get(c) else (no_number if c in "ijk" else no_text).alias(c) for c in "abijk"]
+        return df.select("repo_id", F.lit(kind).alias("kind"), *cells)
+
+    parts = [
+        shaped(df, kind, *columns)
+        for df, kind, columns in (
+            (edges, _EDGE, ("child", "parent", "idx")), (commits, _COMMIT, ("sha",)), (labels, _LABEL, ("sha", "", "generation", "first", "last")), (asked, _ASKED, ("a", "b")),
         )
-        if within is not None:
-            reached = reached.filter(F.col("label.depth") < within)
-        offers = reached.groupBy(*key).agg(best)
-        held = labels
-        if few:
-            # The last rounds move few labels: everything large is then read once and not shuffled.
-            offers = durable(offers)
-            if _size(offers) <= BROADCAST_ROWS:
-                held = labels.join(F.broadcast(offers.select(*key)), key, "left_semi")
-        old = held.groupBy(*key).agg(F.min("label").alias("_old"))
-        better = F.col("_old").isNull() | (F.col("label") < F.col("_old"))
-        fresh = durable(offers.join(old, key, "left").filter(better).drop("_old"))
-        labels, pieces = labels.unionByName(fresh), pieces + 1
-        if pieces == MAX_PIECES:
-            labels, pieces = durable(labels.groupBy(*key).agg(best)), 1
-    settled = labels.groupBy(*key).agg(best).select(*key, "label.*")
-    # A run may hold most of a repository: its members are joined in blocks, each label once per block.
-    blocked = members.withColumn("_block", F.floor(F.col("offset") / RUN_BLOCK))
-    blocks = blocked.groupBy("repo_id", "top").agg(F.max("_block").alias("_last"))
-    spread = settled.join(blocks, ["repo_id", "top"], "inner").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")))
-    found = spread.join(blocked, ["repo_id", "top", "_block"], "inner").select(
-        "repo_id", "start", "sha", (F.col("depth") + F.col("offset")).alias("depth"), "path"
-    )
-    return found if within is None else found.filter(F.col("depth") < within)
-
-
-def _walk_partition(within: int | None, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Walks of whole repositories whose rows stand together: edges, and starts with position -1."""
-
-    def visit(repo: object, starts: list[str], parents: dict[str, list[tuple[int, str]]]) -> Iterator[tuple]:
-        for listed in parents.values():
-            listed.sort()
-        for start in starts:
-            depth, found = {start: 0}, [start]
-            for sha in found:  # grows while it is read
-                if within is not None and depth[sha] + 1 >= within:
-                    break
-                for _, parent in parents.get(sha, ()):
-                    if parent not in depth:
-                        depth[parent] = depth[sha] + 1
-                        found.append(parent)
-            for rank, sha in enumerate(found):
-                yield repo, start, sha, depth[sha], f"{rank:0{PART_WIDTH}d}"
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        repo, starts, parents = None, [], {}
+        if df is not None
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _per_repository(rows: DataFrame, answer: Callable[[Repository], Iterator[tuple]], schema: T.StructType) -> DataFrame:
+    """`answer` of each repository of bounded size: one shuffle, and one repository in memory at a time."""
+    arrow = to_arrow_schema(schema)
+
+    def repositories(batches: Iterator[pa.RecordBatch]) -> Iterator[Repository]:
+        own = None
         for batch in batches:
-            for owner, idx, child, parent in zip(*[column.to_pylist() for column in batch.columns]):
-                if owner != repo:
-                    yield from visit(repo, starts, parents)
-                    repo, starts, parents = owner, [], {}
-                if idx < 0:
-                    starts.append(child)
+            for name, kind, a, b, i, j, k in zip(*[batch.column(c).to_pylist() for c in ("repo_id", "kind", "a", "b", "i", "j", "k")]):
+                if own is None or name != own.name:
+                    if own is not None:
+                        yield own
+                    own = Repository(name)
+                if kind == _EDGE:
+                    own.links.append((a, i, b))
+                elif kind == _COMMIT:
+                    own.there.add(a)
+                elif kind == _LABEL:
+                    own.labels[a] = (i, j, k)
                 else:
-                    parents.setdefault(child, []).append((idx, parent))
-        yield from visit(repo, starts, parents)
+                    own.asked.append((a, b))
+        if own is not None:
+            yield own
 
-    def walk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = rows(batches)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (row for own in repositories(batches) for row in answer(own))
         while chunk := list(islice(found, 50_000)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), schema.types)], schema=schema)
-
-    return walk_batches
-
-
-def _walk_small(edges: DataFrame, starts: DataFrame, within: int | None) -> DataFrame:
-    """Walk repositories of bounded size, each inside one task: one shuffle and no rounds."""
-    asked = starts.select("repo_id").distinct()
-    links = edges.join(asked, "repo_id", "left_semi").select("repo_id", F.col("idx").cast("int").alias("idx"), "child", "parent")
-    begins = starts.select("repo_id", F.lit(-1).alias("idx"), F.col("start").alias("child"), F.lit(None).cast("string").alias("parent"))
-    schema = T.StructType(
-        [
-            starts.schema["repo_id"],
-            T.StructField("start", T.StringType()),
-            T.StructField("sha", T.StringType()),
-            T.StructField("depth", T.LongType()),
-            T.StructField("path", T.StringType()),
-        ]
-    )
-    together = links.unionByName(begins).repartition("repo_id").sortWithinPartitions("repo_id")
-    return together.mapInArrow(_walk_partition(within, to_arrow_schema(schema)), schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), arrow.types)], schema=arrow)
 
+    # Dealt out by a hash of its own: a union that claims to be partitioned by repository keeps to it no longer once a
+    # join below it is turned into a broadcast at run time.
+    return rows.repartition(F.xxhash64("repo_id")).sortWithinPartitions("repo_id").mapInArrow(run, schema)
 
-def walk(edges: DataFrame, starts: DataFrame, within: int | None = None) -> DataFrame:
-    """Commits reachable from each start: repo_id, start, sha, depth, path.
 
-    (depth, path) is the order of a first-in-first-out walk. Starts and parents that are no commits
-    appear with their place in the walk, so callers can report them. `within` stops at a distance,
-    enough for a limited log: the n-th commit is never further than n - 1 steps away.
-    """
-    starts = starts.filter("start is not null and start <> ''").select("repo_id", "start").distinct()
-    begun = starts.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_starts"))
+def _schema(df: DataFrame, columns: str) -> T.StructType:
+    return T.StructType([df.schema["repo_id"], *T.StructType.fromDDL(columns).fields])
+
+
+def _split(edges: DataFrame, asked: DataFrame, repo_edges: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Repositories asked for (repo_id, questions) that fit into a task with their questions, and those that do not (None when there are none)."""
+    most = REPO_EDGES if repo_edges is None else repo_edges
+    begun = asked.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_asked"))
     linked = edges.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_edges"))
-    large = (F.col("_edges") > REPO_EDGES) | (F.col("_edges") * F.col("_starts") > WALK_ROWS)
-    big = durable(begun.join(linked, "repo_id", "inner").filter(large).select("repo_id"))
+    sizes = begun.join(linked, "repo_id", "left").withColumn("_edges", F.coalesce("_edges", F.lit(0)))
+    fits = (F.col("_edges") <= most) & (F.greatest(F.col("_edges"), F.lit(1)) * F.col("_asked") <= WALK_ROWS)
+    big = durable(sizes.where(~fits).select("repo_id"))
     if big.isEmpty():
-        return _walk_small(edges, starts, within)
-    small = _walk_small(edges, starts.join(big, "repo_id", "left_anti"), within)
-    return small.unionByName(_walk_large(edges, starts.join(big, "repo_id", "left_semi"), within))
+        return asked, None
+    return asked.join(big, "repo_id", "left_anti"), asked.join(big, "repo_id", "left_semi")
 
 
-def bfs_rank(walked: DataFrame, limit: int | None = None) -> DataFrame:
-    """Add the 1-based discovery rank of each commit in its walk."""
-    return rank_in_group(walked, ["repo_id", "start"], ["depth", "path", "sha"], "rank", limit)
+def _of(df: DataFrame, asked: DataFrame) -> DataFrame:
+    """Rows of the repositories that are asked for."""
+    return df.join(asked.select("repo_id").distinct(), "repo_id", "left_semi")
+
+
+def walk(edges: DataFrame, starts: DataFrame, within: int | None = None, repo_edges: int | None = None, section_edges: int | None = None) -> DataFrame:
+    """Commits reachable from each start: repo_id, start, sha, depth, rank (1-based, of a first-in-first-out walk).
+
+    Starts and parents that are no commits appear with their place in the walk, so callers can report them; a cycle is
+    walked once round. `within` stops at a distance, enough for a limited log: the n-th commit is never further than
+    n - 1 steps away. Repositories of up to `repo_edges` edges stay in one task, larger ones go by sections of about
+    `section_edges`; rows are the same.
+    """
+    starts = starts.filter("start is not null and start <> ''").select("repo_id", "start").distinct()
+    small, large = _split(edges, starts, repo_edges)
+
+    def visit(own: Repository) -> Iterator[tuple]:
+        parents = own.parents() if own.asked else {}
+        for start, _ in own.asked:
+            for rank, (sha, depth) in enumerate(graph_tasks.discovery(parents, start, within), 1):
+                yield own.name, start, sha, depth, rank
+
+    rows = _stacked(_of(edges, small), None, None, small.select("repo_id", F.col("start").alias("a"), F.lit("").alias("b")))
+    walked = _per_repository(rows, visit, _schema(starts, "start string, sha string, depth bigint, rank bigint"))
+    if large is None:
+        return walked
+    own = edges.join(large.select("repo_id").distinct(), "repo_id", "left_semi").select("repo_id", "child", "idx", "parent")
+    return walked.unionByName(sections.walk(own, large, within, section_edges or sections.SECTION_EDGES).select(*walked.columns))
+
+
+def bfs_rank(walked: DataFrame) -> DataFrame:
+    """The 1-based discovery rank of each commit in its walk."""
+    return walked.select("repo_id", "start", "sha", "rank")
 
 
 def ref_labels(refs: DataFrame) -> DataFrame:
@@ -236,16 +171,18 @@ def decorate_with_refs(log_rows: DataFrame, refs: DataFrame) -> DataFrame:
     return log_rows.join(ref_labels(refs), ["repo_id", "sha"], "left")
 
 
-def log(commits: DataFrame, edges: DataFrame, starts: DataFrame, refs: DataFrame, limit: int = 0) -> DataFrame:
+def log(
+    commits: DataFrame, edges: DataFrame, starts: DataFrame, refs: DataFrame, limit: int = 0, repo_edges: int | None = None, section_edges: int | None = None
+) -> DataFrame:
     """Commits in walk order with label; `limit` > 0 keeps the first n of every walk.
 
     A start or parent that is no commit is a row with `missing` = true.
     """
-    ranked = bfs_rank(durable(walk(edges, starts, limit if limit > 0 else None)))
+    ranked = durable(walk(edges, starts, limit if limit > 0 else None, repo_edges, section_edges))
     if limit > 0:
         ranked = ranked.filter(F.col("rank") <= limit)
     there = commits.withColumn("_there", F.lit(True))
-    rows = ranked.join(there, ["repo_id", "sha"], "left").withColumn("missing", F.col("_there").isNull()).drop("_there", "path")
+    rows = ranked.join(there, ["repo_id", "sha"], "left").withColumn("missing", F.col("_there").isNull()).drop("_there")
     return decorate_with_refs(rows, refs)
 
 
@@ -260,32 +197,98 @@ def ancestors(commits: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFr
     )
 
 
-def is_ancestor(commits: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Per (repo_id, candidate, start): is the candidate reachable from, or equal to, the start.
+def reach_labels(edges: DataFrame, repo_edges: int | None = None) -> DataFrame:
+    """repo_id, sha, generation, first, last of each commit and parent: to be kept beside the commits for `is_ancestor`.
 
-    A parent that is no commit is reachable too.
+    The generation is 1 + the longest way to a root; first..last numbers the commits whose line of first parents leads
+    through this one. Names on a cycle, or with one behind them, have no label. Nor have repositories of more than
+    `repo_edges` edges; pairs there are decided by a walk.
     """
-    reached = ancestors(commits, edges, pairs.select("repo_id", "start").distinct())
-    hit = reached.select("repo_id", "start", F.col("sha").alias("candidate"), F.lit(True).alias("_hit"))
-    is_it = (F.col("candidate") == F.col("start")) | F.coalesce("_hit", F.lit(False))
-    return pairs.join(hit, ["repo_id", "start", "candidate"], "left").withColumn("is_ancestor", is_it).drop("_hit")
+    small, _ = _split(edges, edges.select("repo_id").distinct(), repo_edges)
+
+    def named(own: Repository) -> Iterator[tuple]:
+        for sha, label in graph_tasks.labels(own.parents() if own.asked else {}).items():
+            yield own.name, sha, *label
+
+    rows = _stacked(_of(edges, small), None, None, small.select("repo_id", F.lit("").alias("a"), F.lit("").alias("b")))
+    return _per_repository(rows, named, _schema(edges, "sha string, generation bigint, first bigint, last bigint"))
 
 
-def merge_base(commits: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def decide(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """`pairs` with `is_ancestor` as far as two labels per pair tell, else null: no walk, and no list of ancestors."""
+    c = labels.select("repo_id", F.col("sha").alias("candidate"), F.struct("generation", "first", "last").alias("_c"))
+    s = labels.select("repo_id", F.col("sha").alias("start"), F.struct("generation", "first", "last").alias("_s"))
+    both = pairs.join(c, ["repo_id", "candidate"], "left").join(s, ["repo_id", "start"], "left")
+    on_line = F.col("_s.first").between(F.col("_c.first"), F.col("_c.last"))
+    answer = F.when(F.col("candidate") == F.col("start"), True).when(on_line, True).when(F.col("_c.generation") >= F.col("_s.generation"), False)
+    return both.withColumn("is_ancestor", answer).select(*pairs.columns, "is_ancestor")
+
+
+def is_ancestor(commits: DataFrame, edges: DataFrame, pairs: DataFrame, labels: DataFrame | None = None, repo_edges: int | None = None) -> DataFrame:
+    """Per (repo_id, candidate, start): is the candidate reachable from, or equal to, the start.
+
+    A parent that is no commit is reachable too. Labels (`reach_labels`; made here if not given) decide most pairs.
+    Only the rest walks, from the start and no further than labels leave open.
+    """
+    asked = pairs.select("repo_id", "candidate", "start").where("candidate is not null and start is not null").distinct()
+    if labels is None:
+        labels = reach_labels(_of(edges, asked), repo_edges)
+    labels = durable(labels)
+    settled = durable(decide(asked, labels))
+    open_ = settled.where("is_ancestor is null").drop("is_ancestor")
+    small, large = _split(edges, open_, repo_edges)
+
+    def answer(own: Repository) -> Iterator[tuple]:
+        parents = own.parents() if own.asked else {}
+        for candidate, start in own.asked:
+            yield own.name, candidate, start, graph_tasks.reaches(parents, own.labels, start, candidate)
+
+    rows = _stacked(_of(edges, small), None, _of(labels, small), small.select("repo_id", F.col("candidate").alias("a"), F.col("start").alias("b")))
+    answers = _per_repository(rows, answer, _schema(pairs, "candidate string, start string, is_ancestor boolean"))
+    answers = answers.unionByName(settled.where("is_ancestor is not null").select(*answers.columns))
+    if large is not None:
+        reached = sections.distances(_of(edges, large).select("repo_id", "child", "idx", "parent"), large.select("repo_id", "start").distinct(), None, sections.SECTION_EDGES, lambda kind: None)
+        hit = large.join(reached.select("repo_id", "start", F.col("sha").alias("candidate"), F.lit(True).alias("_hit")), ["repo_id", "start", "candidate"], "left")
+        answers = answers.unionByName(hit.select("repo_id", "candidate", "start", F.col("_hit").isNotNull().alias("is_ancestor")))
+    joined = pairs.join(answers, ["repo_id", "candidate", "start"], "left")
+    return joined.select(*pairs.columns, F.coalesce("is_ancestor", F.lit(False)).alias("is_ancestor"))
+
+
+def merge_base(commits: DataFrame, edges: DataFrame, pairs: DataFrame, repo_edges: int | None = None) -> DataFrame:
     """Per (repo_id, left, right): the first commit of the left walk that the right one reaches too.
 
-    Null with a reason when nothing is shared, or nothing but names of commits that do not exist.
+    Null with a reason when nothing is shared, or nothing but names of commits that do not exist. `visited` counts the
+    names looked at (null where a repository is too large for one task): in such a task the left walk stops at the base
+    and the right side is opened by generation only as deep as the left has come.
     """
+    asked = pairs.select("repo_id", "left", "right").where("left <> '' and right <> ''").distinct()
+    small, large = _split(edges, asked, repo_edges)
+
+    def answer(own: Repository) -> Iterator[tuple]:
+        parents = own.parents() if own.asked else {}
+        known = graph_tasks.labels(parents)
+        for left, right in own.asked:
+            yield own.name, left, right, *graph_tasks.merge_base(parents, known, own.there, left, right)
+
+    rows = _stacked(_of(edges, small), _of(commits, small), None, small.select("repo_id", F.col("left").alias("a"), F.col("right").alias("b")))
+    bases = _per_repository(rows, answer, _schema(pairs, "left string, right string, base string, reason string, visited bigint"))
+    if large is not None:
+        bases = bases.unionByName(_merge_base_large(commits, edges, large))
+    joined = pairs.join(bases, ["repo_id", "left", "right"], "left")
+    return joined.select(*pairs.columns, "base", F.when(F.col("base").isNull(), F.coalesce("reason", F.lit("no common ancestor"))).alias("reason"), "visited")
+
+
+def _merge_base_large(commits: DataFrame, edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Merge bases from two walks by sections."""
     sides = pairs.select("repo_id", F.explode(F.array("left", "right")).alias("start")).distinct()
-    walked = durable(walk(edges, sides))
+    walked = durable(sections.walk(_of(edges, pairs).select("repo_id", "child", "idx", "parent"), sides))
     left = pairs.join(walked.withColumnRenamed("start", "left"), ["repo_id", "left"], "inner")
     right = walked.select("repo_id", F.col("start").alias("right"), "sha")
     there = commits.select("repo_id", "sha", F.lit(True).alias("_there")).distinct()
     met = left.join(right, ["repo_id", "right", "sha"], "inner").join(there, ["repo_id", "sha"], "left")
-    first = F.min_by("sha", F.when(F.col("_there"), F.struct("depth", "path")))
-    shared = met.groupBy("repo_id", "left", "right").agg(first.alias("base"), F.lit(True).alias("_met"))
-    reason = F.when(F.col("base").isNull(), F.when(F.col("_met"), "missing commit").otherwise("no common ancestor"))
-    return pairs.join(shared, ["repo_id", "left", "right"], "left").withColumn("reason", reason).drop("_met")
+    shared = met.groupBy("repo_id", "left", "right").agg(F.min_by("sha", F.when(F.col("_there"), F.col("rank"))).alias("base"))
+    nothing = F.lit(None)
+    return shared.select("repo_id", "left", "right", "base", F.when(F.col("base").isNull(), "missing commit").alias("reason"), nothing.cast("bigint").alias("visited"))
 
 
 def unvisited(frontier: DataFrame, visited: DataFrame, keys: list[str]) -> DataFrame:
@@ -300,8 +303,6 @@ def common(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def check_links(commits: DataFrame, edges: DataFrame, refs: DataFrame) -> DataFrame:
     """Malformed parent and target hashes, and parents and targets that do not exist."""
-    from palimpsest.functions.names import is_hash
-
     links = edges.select("repo_id", F.lit("parent").alias("link"), F.col("child").alias("source"), F.col("parent").alias("sha")).unionByName(
         refs.select("repo_id", F.lit("ref").alias("link"), F.col("full").alias("source"), "sha")
     )

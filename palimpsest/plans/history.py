@@ -24,13 +24,26 @@ def _pairs(h):
     return h["lasts"].withColumnRenamed("start", "left").join(h["befores"].withColumnRenamed("start", "right"), "repo_id")
 
 
-@registry.add("h1_log", f"{_WITH} select w.repo_id, w.start, w.rank, w.sha, w.depth, c.ts::varchar as at, l.ref from ranked w left join commits c using (repo_id, sha) left join labels l on l.repo_id=w.repo_id and l.sha=w.sha")
-def h1(spark, sf):
+_LOG_SQL = f"{_WITH} select w.repo_id, w.start, w.rank, w.sha, w.depth, c.ts::varchar as at, l.ref from ranked w left join commits c using (repo_id, sha) left join labels l on l.repo_id=w.repo_id and l.sha=w.sha"
+
+
+def _log(spark, sf, **how):
     h = history(spark, sf)
-    rows = H.log(h["commits"], h["edges"], h["starts"], h["refs"])
+    rows = H.log(h["commits"], h["edges"], h["starts"], h["refs"], **how)
     return rows.select("repo_id", "start", "rank", "sha", "depth", F.col("ts").cast("string").alias("at"), "ref")
 
 
+@registry.add("h1_log", _LOG_SQL)
+def h1(spark, sf):
+    return _log(spark, sf)
+
+
+@registry.add("h1_log_by_sections", _LOG_SQL)
+def h1_sections(spark, sf):
+    """The same by sections of a few edges, as a repository takes that does not fit into one task."""
+    return _log(spark, sf, repo_edges=0, section_edges=8)
+
+
 @registry.add("h2_ancestors", f"{_WITH} select distinct repo_id, start, sha from paths")
 def h2(spark, sf):
     h = history(spark, sf)
@@ -49,6 +62,20 @@ def h3(spark, sf):
     return H.is_ancestor(h["commits"], h["edges"], h["starts"].join(candidates, "repo_id"))
 
 
+@registry.add(
+    "h3_generations",
+    f"""{_WITH}, names as (select repo_id, child sha from edges union select repo_id, parent from edges),
+    up(repo_id, sha, g) as (select repo_id, sha, 1 from names where (repo_id, sha) not in (select repo_id, child from edges)
+      union all select e.repo_id, e.child, u.g+1 from up u join edges e on e.repo_id=u.repo_id and e.parent=u.sha),
+    line(repo_id, sha, below) as (select repo_id, sha, sha from names union all select l.repo_id, e.parent, l.below from line l join edges e on e.repo_id=l.repo_id and e.child=l.sha and e.idx=0)
+    select repo_id, sha, generation, behind from (select repo_id, sha, max(g)::bigint generation from up group by 1, 2) join (select repo_id, sha, count(*) behind from line group by 1, 2) using (repo_id, sha)""",
+)
+def h3_generations(spark, sf):
+    """Labels of reachability: generations, and how many commits' lines of first parents lead through a commit."""
+    labels = H.reach_labels(history(spark, sf)["edges"])
+    return labels.select("repo_id", "sha", "generation", (F.col("last") - F.col("first") + 1).alias("behind"))
+
+
 @registry.add(
     "h4_merge_base",
     f"""{_WITH}, {_SIDES}, shared as (select l.repo_id, l."left", l."right", arg_min(l.sha, l.rank) base from lwalk l join rwalk r using (repo_id, "left", "right", sha) group by 1, 2, 3)

@@ -6,7 +6,7 @@ from collections import deque
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import groups, history as H, refs as R
+from palimpsest.operators import history as H, refs as R, sections
 
 
 def queue_walk(parents, start):
@@ -45,26 +45,81 @@ def no_refs(spark):
     return spark.createDataFrame([], "repo_id int, full string, sha string")
 
 
-@pytest.mark.parametrize("few, small", [(0, 0), (20, 45), (10_000, 100_000)])
-def test_walk_order_equals_queue(spark, monkeypatch, few, small):
-    graphs = random_graphs(25, 40, 11)
+@pytest.mark.parametrize("few, small, section", [(0, 0, 12), (10_000, 45, 25), (10_000, 100_000, None)])
+def test_walk_order_equals_queue(spark, monkeypatch, few, small, section):
+    graphs = random_graphs(12, 40, 11)
     commits, edges = frames(spark, graphs)
     starts = [(r, f"{r}-{n}") for r in graphs for n in (39, 31)]
     sdf = spark.createDataFrame(starts, "repo_id int, start string")
-    monkeypatch.setattr(H, "RUN_BLOCK", 2)
-    monkeypatch.setattr(H, "BROADCAST_ROWS", few)
-    monkeypatch.setattr(H, "MAX_PIECES", 3)
-    monkeypatch.setattr(H, "REPO_EDGES", small)
+    monkeypatch.setattr(sections, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(sections, "MAX_PIECES", 3)
+    monkeypatch.setattr(sections, "STRIPS", 7)
     got = {}
-    for r in H.bfs_rank(H.walk(edges, sdf), limit=10).orderBy("rank").collect():
+    for r in H.bfs_rank(H.walk(edges, sdf, None, small, section)).orderBy("rank").collect():
         got.setdefault((r.repo_id, r.start), []).append(r.sha)
     assert got == {(r, s): queue_walk(graphs[r], s) for r, s in starts}
     limited = {}
-    for r in H.log(commits, edges, sdf, no_refs(spark), limit=5).orderBy("rank").collect():
+    for r in H.log(commits, edges, sdf, no_refs(spark), 5, small, section).orderBy("rank").collect():
         limited.setdefault((r.repo_id, r.start), []).append(r.sha)
     assert limited == {k: v[:5] for k, v in got.items()}
 
 
+def tangled(seed, n):
+    """A graph with cycles, self-loops, repeated parents and names that are no commits."""
+    rnd = random.Random(seed)
+    return {f"{i}": [f"{rnd.randrange(n + 3)}" for _ in range(rnd.choice([0, 1, 1, 2, 3]))] for i in range(n)}
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_cycles_and_damaged_histories_equal_queue(spark, small):
+    graphs = {r: tangled(r, 25) for r in range(4)} | {99: {"a": ["b"], "b": ["c"], "c": ["a"], "x": []}}
+    commits, edges = frames(spark, graphs)
+    starts = [(r, s) for r, g in graphs.items() for s in (*list(g)[:2], "none")] + [(99, "x")]
+    got = {}
+    for r in H.walk(edges, spark.createDataFrame(starts, "repo_id int, start string"), None, small, 15).orderBy("rank").collect():
+        got.setdefault((r.repo_id, r.start), []).append((r.rank, r.sha))
+    assert got == {(r, s): list(enumerate(queue_walk(graphs[r], s), 1)) for r, s in starts}
+    tests = [(r, c, s) for r, g in graphs.items() for s in (*list(g)[:3], "none") for c in (*list(g)[::5], "26", "none")]
+    found = {(r.repo_id, r.candidate, r.start): r.is_ancestor for r in H.is_ancestor(commits, edges, spark.createDataFrame(tests, "repo_id int, candidate string, start string"), repo_edges=small).collect()}
+    assert found == {(r, c, s): c in queue_walk(graphs[r], s) for r, c, s in tests}
+    pairs = [(r, a, b) for r, g in graphs.items() for a in list(g)[:3] for b in (*list(g)[3:6], "none")]
+    for r in H.merge_base(commits, edges, spark.createDataFrame(pairs, "repo_id int, left string, right string"), small).collect():
+        met = [s for s in queue_walk(graphs[r.repo_id], r.left) if s in queue_walk(graphs[r.repo_id], r.right)]
+        base = next((s for s in met if s in graphs[r.repo_id]), None)
+        assert (r.base, r.reason) == (base, None if base else "missing commit" if met else "no common ancestor")
+
+
+def test_merges_take_few_rounds(spark):
+    """2,000 commits with a merge each: rounds follow the sections, and what is kept of a commit does not grow."""
+    n = 2000
+    graph = {str(i): [str(p) for p in (i - 1, i - 2 - i % 3) if p >= 0] for i in range(n)}
+    _, edges = frames(spark, {0: graph})
+    rounds = []
+    rows = sections.walk(edges, spark.createDataFrame([(0, str(n - 1))], "repo_id int, start string"), None, 700, rounds.append).orderBy("rank").collect()
+    assert [r.sha for r in rows] == queue_walk(graph, str(n - 1))
+    assert len(rounds) <= 40 and rows[0].asDict().keys() == {"repo_id", "start", "sha", "depth", "rank"}
+
+
+def test_labels_decide_without_edges(spark):
+    graphs = random_graphs(6, 40, 3)
+    _, edges = frames(spark, graphs)
+    labels = H.reach_labels(edges)
+    tests = [(r, f"{r}-{c}", f"{r}-{s}") for r in graphs for c in range(0, 40, 3) for s in range(1, 40, 7)]
+    known = H.decide(spark.createDataFrame(tests, "repo_id int, candidate string, start string"), labels).where("is_ancestor is not null").collect()
+    assert len(known) > 0.6 * len(tests)
+    assert all(r.is_ancestor == (r.candidate in queue_walk(graphs[r.repo_id], r.start)) for r in known)
+
+
+def test_merge_base_visits_what_lies_between(spark):
+    """Two branches of 20 commits on a line of 3,000: no more than the branches is looked at."""
+    graph = {str(i): [str(i - 1)] if i else [] for i in range(3000)}
+    for side in "lr":
+        graph |= {f"{side}{i}": [f"{side}{i - 1}" if i else "2990"] for i in range(20)}
+    commits, edges = frames(spark, {0: graph})
+    row = H.merge_base(commits, edges, spark.createDataFrame([(0, "l19", "r19")], "repo_id int, left string, right string")).first()
+    assert row.base == "2990" and row.visited <= 60
+
+
 def test_merge_base_and_ancestry_equal_queue(spark):
     graphs = random_graphs(25, 30, 5)
     commits, edges = frames(spark, graphs)
@@ -92,14 +147,6 @@ def test_deep_line_and_missing_parent(spark, monkeypatch, small):
     assert [(r.sha, r.rank) for r in log.filter("missing").collect()] == [("c-1", depth + 1)]
 
 
-def test_cycle_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(H, "REPO_EDGES", 0)
-    commits, edges = frames(spark, {0: {"a": ["b"], "b": ["c"], "c": ["a"], "x": []}})
-    starts = spark.createDataFrame([(0, "x")], "repo_id int, start string")
-    with pytest.raises(ValueError, match="cycle"):
-        H.walk(edges, starts)
-
-
 def test_labels(spark):
     rows = [(1, "refs/heads/a", "x"), (1, "refs/heads/b", "x"), (1, "refs/tags/t", "x"), (1, "refs/tags/v1", "y"), (1, "refs/tags/v0", "y")]
     got = {r.sha: r.ref for r in H.ref_labels(spark.createDataFrame(rows, "repo_id int, full string, sha string")).collect()}

@@ -235,7 +235,7 @@ def test_fragments_compose_associatively():
     both, rnd = token_alignment.aligner(BYTES, PIECES), random.Random(1)
     text = " " + " ".join(rnd.choice(["unbelievable", "Donaudampfschiff", "ça", "x", "don't"]) for _ in range(60))
     cuts = sorted(rnd.sample(range(1, len(text.encode())), 25))
-    ranges = [token_alignment._of_range(both, text, a, b) for a, b in zip([0, *cuts], [*cuts, len(text.encode())])]
+    ranges = [both.range(text, a, b) for a, b in zip([0, *cuts], [*cuts, len(text.encode())])]
     left = token_alignment.closed(reduce(token_alignment.compose, ranges))
     right = token_alignment.closed(reduce(lambda x, y: token_alignment.compose(y, x), reversed(ranges)))
     expected = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in whole(text[1:]))

@@ -12,11 +12,13 @@ from palimpsest.functions.names import unqualify
 # Words a statement may not start with.
 REFUSED_STARTS = ("\\", "copy ", "create database", "drop database")
 
-# Quoted text, quoted name, comments, then anything between them. The single character at the
-# end takes a quote or comment mark that is never closed.
-QUOTED = r"""'[^']*(?:''[^']*)*+'|"[^"]*(?:""[^"]*)*+["]"""
-WITH_COMMENTS = QUOTED + r"""|--[^\n]*|/\*[\s\S]*?\*/|[^'"/\-]+|[\s\S]"""
-WITHOUT_COMMENTS = QUOTED + r"""|[^'"]+|[\s\S]"""
+# Quoted text, text between dollar marks with the same tag (the second group), quoted name, comments, then anything
+# between them. Dollars behind a name belong to it. The single character at the end takes a mark that is never closed.
+NAME = r"A-Za-z0-9_\x{80}-\x{10FFFF}"
+QUOTED = r"""'[^']*(?:''[^']*)*+'|\$((?:[A-Za-z_][A-Za-z0-9_]*)?)\$[\s\S]*?\$\2\$|"[^"]*(?:""[^"]*)*+["]"""
+COMMENT = r"""--[^\n]*|/\*[\s\S]*?\*/"""
+WITH_COMMENTS = QUOTED + "|" + COMMENT + rf"""|[^'"/\-$]*[{NAME}]\$+|[^'"/\-$]+|[\s\S]"""
+WITHOUT_COMMENTS = QUOTED + rf"""|[^'"$]*[{NAME}]\$+|[^'"$]+|[\s\S]"""
 
 # `::type`, with words, modifiers and array marks that belong to the type.
 CAST = (
@@ -50,8 +52,9 @@ def screen_text(df: DataFrame, column: str, refused: Sequence[str] = REFUSED_STA
 def canonical_text(text: Column) -> Column:
     """One form of a SQL text: case, comments, casts, default namespace and spacing.
 
-    Quoted texts and names are kept as written.
+    Quoted texts (also between dollar marks) and names are kept as written.
     """
+
     def without_comments(written: Column) -> Column:
         pieces = F.regexp_extract_all(written, F.lit(f"({WITH_COMMENTS})"), F.lit(1))
         kept = F.transform(pieces, lambda piece: F.when(piece.rlike(r"^(--|/\*)"), F.lit(" ")).otherwise(piece))
@@ -67,10 +70,20 @@ def canonical_text(text: Column) -> Column:
         return F.regexp_replace(tight, r" ([,)\]])", "$1")
 
     pieces = F.regexp_extract_all(without_comments(text), F.lit(f"({WITHOUT_COMMENTS})"), F.lit(1))
-    kept = F.transform(pieces, lambda piece: F.when(piece.rlike(r"""^['"]."""), piece).otherwise(plain(piece)))
+    kept = F.transform(pieces, lambda piece: F.when(piece.rlike(r"""^(?:['"].|\$[A-Za-z0-9_]*\$)"""), piece).otherwise(plain(piece)))
     return F.regexp_replace(F.array_join(kept, ""), r"^[\s]+|[\s;]+$", "")
 
 
+def text_problem(text: Column) -> Column:
+    """What a SQL text opens and never closes: `open text`, `open name`, `open dollar text` or `open comment`; null if nothing."""
+    pieces = F.regexp_extract_all(text, F.lit(f"({WITH_COMMENTS})"), F.lit(1))
+    left = F.array_join(F.filter(pieces, lambda p: (F.length(p) == 1) | ~p.rlike(r"""^(?:['"]|\$[A-Za-z0-9_]*\$|--|/\*)""")), "")
+    return (
+        F.when(left.contains("'"), "open text").when(left.contains('"'), "open name").when(left.contains("/*"), "open comment")
+        .when(left.rlike(rf"(?<![{NAME}$])\$(?:[A-Za-z_][A-Za-z0-9_]*)?\$"), "open dollar text")
+    )
+
+
 def canonical_default(expression: Column, column_type: Column) -> Column:
     """Default of a column: literals and null carry their type, sequences their bare name."""
 

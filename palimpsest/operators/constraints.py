@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from palimpsest.operators.aggregates import duplicates
 from palimpsest.operators.groups import rank_in_group
 from palimpsest.operators.relational import not_backed_by
+from palimpsest.session import durable
 
 
 def _any_null(columns: Sequence[str]) -> Column:
@@ -76,13 +77,16 @@ def check_bounds(df: DataFrame, column: str, start: int, increment: int, min_val
     return df.withColumn("rule", rule).filter(F.col("rule").isNotNull())
 
 
-def sequence_gaps(df: DataFrame, column: str, increment: int = 1, limit: int | None = None, start: int = 0) -> DataFrame:
+def sequence_gaps(df: DataFrame, column: str, increment: int = 1, limit: int | None = None, start: int | None = None) -> DataFrame:
     """Runs of missing numbers between the smallest and largest value: gap_start, gap_end, missing.
 
-    Values off the grid start + n * increment are left to `check_bounds`. A run starts after a value without a successor and ends before one without a predecessor. The
+    The grid is start + n * increment; without a `start` it begins at the smallest value. Values off the grid are left to
+    `check_bounds`. A run starts after a value without a successor and ends before one without a predecessor. The
     n-th start belongs to the n-th end, so only the edges of runs are ranked, over many tasks.
     """
-    values = df.select(F.col(column).alias("v")).filter("v is not null").filter((F.col("v") - start) % increment == 0).distinct()
+    given = df.select(F.col(column).alias("v")).filter("v is not null")
+    origin = given.agg(F.min("v")).scalar() if start is None else F.lit(start)
+    values = given.filter((F.col("v") - origin) % increment == 0).distinct()
     before = values.select((F.col("v") - increment).alias("w"))
     after = values.select((F.col("v") + increment).alias("w"))
     starts = values.join(before, F.col("v") == F.col("w"), "left_anti")
@@ -92,3 +96,26 @@ def sequence_gaps(df: DataFrame, column: str, increment: int = 1, limit: int | N
     right = rank_in_group(ends, [], ["v"], "n", limit).select((F.col("n") - 1).alias("n"), (F.col("v") - increment).alias("gap_end"))
     runs = left.join(right, "n", "inner")
     return runs.select("gap_start", "gap_end", F.expr(f"(gap_end - gap_start) div {increment} + 1").alias("missing"))
+
+
+def gaps_by_sequence(df: DataFrame, key: str, column: str, sequences: DataFrame) -> DataFrame:
+    """Missing numbers of many sequences at once: key, gap_start, gap_end, missing.
+
+    `sequences` has one row per key: start, increment (not 0), min_value, max_value. Values off a sequence's grid, or out
+    of its bounds, or of a key without a sequence, are left to `check_bounds`. Gaps lie between the smallest and largest
+    value of a key. Values are range-partitioned by (key, value), so a key of any size takes many tasks; a task's last
+    value of a key finds its successor in a table of one row per key and task.
+    """
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rule = sequences.select(F.col(key).alias("k"), "start", "increment", "min_value", "max_value")
+    values = df.select(F.col(key).alias("k"), F.col(column).cast("bigint").alias("v")).join(rule, "k")
+    values = values.where(F.col("v").between(F.col("min_value"), F.col("max_value")) & ((F.col("v") - F.col("start")) % F.col("increment") == 0))
+    spread = durable(values.select("k", "v", F.abs("increment").alias("step")).distinct().repartitionByRange(tasks, "k", "v").withColumn("task", F.spark_partition_id()))
+    ends = spread.groupBy("k", "task").agg(F.min("v").alias("first"))
+    ahead = ends.select("k", "task", F.lead("first").over(Window.partitionBy("k").orderBy("task")).alias("beyond"))
+    inside = F.lead("v").over(Window.partitionBy("k", "task").orderBy("v"))
+    paired = spread.withColumn("next", inside).join(ahead, ["k", "task"]).withColumn("next", F.coalesce("next", "beyond"))
+    gaps = paired.where(F.col("next") - F.col("v") > F.col("step"))
+    begin, end = F.col("v") + F.col("step"), F.col("next") - F.col("step")
+    return gaps.select(F.col("k").alias(key), begin.alias("gap_start"), end.alias("gap_end"), (F.expr("(next - v) div step") - 1).alias("missing"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.functions.names import object_id
-from palimpsest.functions.texts import canonical_default, canonical_text, split_top_level
+from palimpsest.functions.texts import canonical_default, canonical_text, split_top_level, text_problem
 from palimpsest.operators.aggregates import distinct_sorted, with_lists
 from palimpsest.operators.relational import resolve_by_priority
 
@@ -27,6 +27,11 @@ def canonical_ids(df: DataFrame, ids: Sequence[str], text: str) -> DataFrame:
     return df.select(*ids, F.sha2(canonical_text(F.col(text)), 256).alias("text_hash"))
 
 
+def broken_texts(df: DataFrame, ids: Sequence[str], text: str) -> DataFrame:
+    """Texts that open something and never close it: ids, problem. `canonical_ids` still gives them a hash of their own."""
+    return df.select(*ids, text_problem(F.col(text)).alias("problem")).filter("problem is not null")
+
+
 def canonical_groups(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """Groups of texts with the same canonical form: text_hash, texts, first_id.
 
@@ -93,8 +98,10 @@ def unresolved_views(views: DataFrame, relations: DataFrame, namespace: str = "n
 
 
 def canonical_defaults(df: DataFrame, expression: str, column_type: str, out: str = "default") -> DataFrame:
-    """Add the canonical default of a column expression under its type."""
-    return df.withColumn(out, canonical_default(F.col(expression), F.col(column_type)))
+    """Add the canonical default of a column expression under its type; null, with `<out>_error`, where something is never closed."""
+    problem = text_problem(F.col(expression))
+    form = F.when(problem.isNull(), canonical_default(F.col(expression), F.col(column_type)))
+    return df.withColumns({out: form, f"{out}_error": problem})
 
 
 def split_arguments(df: DataFrame, ids: Sequence[str], arguments: str) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palimpsest.functions.described_types import type_base
 from palimpsest.functions.encoding import empty_as_absent
 from palimpsest.operators.versions import change_set
 
@@ -38,20 +38,43 @@ def schema_diff(left: DataFrame, right: DataFrame, key: str, optional: Sequence[
     return change_set(empty_as_absent(left, optional), empty_as_absent(right, optional), [key])
 
 
-# Rank of the integer and floating types from narrow to wide.
-WIDTHS = {"int2": 1, "int4": 2, "int8": 3, "float4": 1, "float8": 2}
+# Fixed values: (from, to) base types where every value of the first is one of the second.
+WIDER = (
+    ("int2", "int4"), ("int2", "int8"), ("int4", "int8"), ("float4", "float8"),
+    ("int2", "numeric"), ("int4", "numeric"), ("int8", "numeric"),
+    ("int2", "float4"), ("int2", "float8"), ("int4", "float8"),
+    ("varchar", "text"), ("text", "varchar"), ("bpchar", "text"), ("bpchar", "varchar"), ("date", "timestamp"), ("bit", "varbit"),
+)
+# Decimal digits before the point that a base type may need.
+DIGITS = {"int2": 5, "int4": 10, "int8": 19}
 
 
 def narrows(before: Column, after: Column) -> Column:
-    """Does a type change lose room: narrower number, shorter text, or another family."""
-    from palimpsest.functions.described_types import type_base, type_modifiers
+    """Does a type change lose room, so that some value of the old type is none of the new one.
 
+    Bases must be equal or a pair of `WIDER`. Numbers keep their digits before and after the point, texts and bits their
+    length, times their fraction; a type without modifiers has no bound (one character for bpchar and bit). Arrays compare by their elements, and an array is
+    never an element.
+    """
     old, new = type_base(before), type_base(after)
-    family = lambda c: F.when(c.startswith("int"), "int").when(c.startswith("float"), "float").otherwise(c)
-    width = lambda c: reduce(lambda w, item: w.when(c == item[0], item[1]), WIDTHS.items(), F.when(F.lit(False), 0))
-    room = lambda c: F.regexp_extract(type_modifiers(c), r"([0-9]+)", 1).try_cast("bigint")
-    shorter = room(after).isNotNull() & (room(before).isNull() | (room(after) < room(before)))
-    return (family(old) != family(new)) | F.coalesce(width(new) < width(old), F.lit(False)) | F.coalesce(shorter, F.lit(False))
+    pair = F.concat_ws(">", old, new)
+    widened = (old == new) | pair.isin(*[f"{a}>{b}" for a, b in WIDER])
+    inner = lambda c: F.regexp_extract(c, r"\(([^)]*)\)", 1)
+    part = lambda c, i: F.get(F.split(inner(c), r"\s*,\s*"), F.lit(i)).try_cast("int")
+    arrays = lambda c: F.regexp_count(c, F.lit(r"\[\]")) > 0
+
+    def length(c: Column, base: Column) -> Column:
+        return F.coalesce(part(c, 0), F.when(base.isin("bpchar", "bit"), F.lit(1)))
+
+    whole = lambda c: part(c, 0) - F.coalesce(part(c, 1), F.lit(0))
+    needed = F.when(old == "numeric", whole(before)).otherwise(F.try_element_at(F.create_map(*[F.lit(x) for item in DIGITS.items() for x in item]), old))
+    bounded = part(after, 0).isNotNull()
+    number = bounded & (needed.isNull() | (whole(after) < needed) | (F.when(old == "numeric", F.coalesce(part(before, 1), F.lit(0))).otherwise(F.lit(0)) > F.coalesce(part(after, 1), F.lit(0))))
+    long = length(after, new).isNotNull() & (length(before, old).isNull() | (length(after, new) < length(before, old)))
+    texts = new.isin("varchar", "bpchar", "bit", "varbit")
+    other = bounded & (F.coalesce(part(before, 0), F.lit(6)) > part(after, 0))  # fractions of a second: six digits unless said
+    tighter = F.when(new == "numeric", number).when(texts, long).otherwise(other)
+    return ~widened | (arrays(before) != arrays(after)) | F.coalesce(tighter, F.lit(False))
 
 
 def pending(stored: DataFrame, applied: DataFrame, key: str = "migration_id") -> DataFrame:

@@ -25,6 +25,13 @@ def on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) ->
     return left.join(right, reduce(Column.__and__, same), how)
 
 
+def in_order(df: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Columns to sort by; values that have no order (maps, variants) go by their JSON text."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    loose = lambda c: "map<" in kinds[c] or "variant" in kinds[c]
+    return [F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) if loose(c) else F.col(f"`{c}`") for c in names]
+
+
 def split_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Rows of groups up to `limit` rows, and rows of larger groups (None when there are none)."""
     limit = limit or HOT_GROUP_ROWS
@@ -49,7 +56,7 @@ def _spread_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     columns = df.columns
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in columns if c not in keys and c not in order]
-    by = [F.col(f"`{c}`") for c in [*keys, *order, *rest]]
+    by = in_order(df, [*keys, *order, *rest])
     combined = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
     spread = durable(combined.repartitionByRange(tasks, *by).withColumn("_task", F.spark_partition_id()))
 
@@ -95,7 +102,7 @@ def rank_in_group(
         return _spread_rank(df, keys, order, name, limit)
     cold, hot = split_hot(df, keys, limit)
     rest = [c for c in df.columns if c not in keys and c not in order]
-    window = W.partitionBy(*keys).orderBy(*[F.col(f"`{c}`") for c in [*order, *rest]])
+    window = W.partitionBy(*keys).orderBy(*in_order(df, [*order, *rest]))
     ranked = cold.withColumn(name, F.row_number().over(window).cast("bigint"))
     return ranked if hot is None else ranked.unionByName(_spread_rank(hot, keys, order, name, limit))
 

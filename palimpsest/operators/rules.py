@@ -63,12 +63,22 @@ def domain(df: DataFrame, object_id: Column, field: str, allowed: Sequence[str]
     return violations(df.filter(~F.col(field).isin(*allowed)), "domain", object_id, field, F.col(field))
 
 
+# Kinds that a declared number accepts.
+ACCEPTED = {"DOUBLE": ("DOUBLE", "FLOAT", "DECIMAL", "BIGINT"), "DECIMAL": ("DECIMAL", "BIGINT")}
+
+
 def value_kinds(df: DataFrame, object_id: Column, json: str, kinds: Mapping[str, str]) -> DataFrame:
-    """Declared JSON fields hold values of the declared kind (BIGINT, STRING, BOOLEAN, …)."""
+    """Declared JSON fields hold values of the declared kind (BIGINT, DOUBLE, STRING, BOOLEAN, …); null and absent pass.
+
+    A whole number is also a DOUBLE or DECIMAL, and 1.5 (a decimal) a DOUBLE. A text that is no JSON is one row with
+    the whole column as field and `malformed` as detail; a null text passes.
+    """
     variant = F.try_parse_json(json)
-    paths = {f: F.schema_of_variant(F.try_variant_get(variant, f"$.{f}", "variant")) for f in kinds}
-    wrong = {f: ~kind.isin(kinds[f], "VOID") for f, kind in paths.items()}
-    return _per_field(df, "value_kind", object_id, wrong, "wrong kind")
+    paths = {f: F.regexp_replace(F.schema_of_variant(F.try_variant_get(variant, f"$.{f}", "variant")), r"\(.*", "") for f in kinds}
+    found = [F.when(F.col(json).isNotNull() & variant.isNull(), F.struct(F.lit(json).alias("field"), F.lit("malformed").alias("detail")))]
+    found += [F.when(~kind.isin(*ACCEPTED.get(kinds[f], (kinds[f],)), "VOID"), F.struct(F.lit(f).alias("field"), F.lit("wrong kind").alias("detail"))) for f, kind in paths.items()]
+    rows = df.select(object_id.alias("_id"), F.explode(F.array_compact(F.array(*found))).alias("x"))
+    return violations(rows, "value_kind", F.col("_id"), F.col("x.field"), F.col("x.detail"))
 
 
 def defined_twice(df: DataFrame, object_id: str) -> DataFrame:

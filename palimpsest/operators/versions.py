@@ -1,7 +1,9 @@
 """Comparing, merging and patching versions of keyed tables.
 
 All sides of a comparison are stacked and grouped by key once, so two or three versions cost one
-shuffle. Keys must be unique on each side; a repeated key stops the job with its value.
+shuffle, without a sort before it. `diff` ships keys and row hashes only. Keys must be unique on each
+side; a repeated key stops the job with its value. Versions stored by `version_store` are compared
+range by range first, so only ranges that differ come here.
 """
 
 from __future__ import annotations
@@ -11,6 +13,26 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+
+def row_hashes(df: DataFrame, skip: Sequence[str] = ()) -> list[Column]:
+    """Two independent 64-bit hashes of the columns other than `skip`; nulls count by their place.
+
+    Types that Spark does not hash (maps, variants) are hashed by their JSON text.
+    """
+    def hashable(name: str) -> Column:
+        kind = df.schema[name].dataType.simpleString()
+        return F.to_json(F.struct(F.col(f"`{name}`").alias("v"))) if "map<" in kind or "variant" in kind else F.col(f"`{name}`")
+
+    columns = [hashable(c) for c in df.columns if c not in skip]
+    nested = [F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) for c in df.columns if c not in skip and df.schema[c].dataType.typeName() in ("struct", "array")]
+    marks = [c.isNull() for c in columns]  # the hash passes over nulls, inside lists and structs too
+    return [F.xxhash64(F.lit(seed), *columns, *nested, *marks) for seed in (1, 2)]
+
+
+def _key_text(keys: Sequence[str]) -> Column:
+    return F.concat_ws(",", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("null")) for k in keys])
+
+
 def align(keys: Sequence[str], **sides: DataFrame) -> DataFrame:
     """One row per key with one struct of the other columns per side (null where absent)."""
     names = list(sides)
@@ -22,14 +44,14 @@ def align(keys: Sequence[str], **sides: DataFrame) -> DataFrame:
             for i, side in enumerate(sides.values())
         ],
     )
-    found = stacked.groupBy(*keys).agg(
+    # Keys are unique, so nothing can be combined before the shuffle: rows are dealt out as they are and sorted once.
+    found = stacked.repartition(*[F.col(f"`{k}`") for k in keys]).groupBy(*keys).agg(
         *[F.first(F.when(F.col("_side") == i, F.col("_row")), ignorenulls=True).alias(f"_{n}") for i, n in enumerate(names)],
         *[F.count_if(F.col("_side") == i).alias(f"_n_{n}") for i, n in enumerate(names)],
     )
-    key_text = F.concat_ws(",", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("null")) for k in keys])
 
     def unique(name: str) -> Column:
-        message = F.concat(F.lit(f"repeated key in {name}: "), key_text)
+        message = F.concat(F.lit(f"repeated key in {name}: "), _key_text(keys))
         return F.when(F.col(f"_n_{name}") > 1, F.raise_error(message).cast(found.schema[f"_{name}"].dataType)).otherwise(F.col(f"_{name}"))
 
     return found.select(*keys, *[unique(n).alias(n) for n in names])
@@ -55,12 +77,18 @@ def _paired(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[Dat
 
 
 def diff(left: DataFrame, right: DataFrame, keys: Sequence[str], keep_same: bool = True) -> DataFrame:
-    """Per key: `added`, `removed`, `changed` or `same`."""
-    pairs, before, after, fields = _paired(left, right, keys)
-    kind = (
-        F.when(before.isNull(), "added").when(after.isNull(), "removed").when(_same(before, after, fields), "same").otherwise("changed")
+    """Per key: `added`, `removed`, `changed` or `same`. Only keys and two 64-bit hashes per row are shuffled."""
+    stacked = left.withColumn("_side", F.lit(0)).unionByName(right.withColumn("_side", F.lit(1)))
+    hashed = stacked.select(*keys, "_side", *[h.alias(f"_h{j}") for j, h in enumerate(row_hashes(stacked, [*keys, "_side"]))])
+    own = lambda i, c: F.sum(F.when(F.col("_side") == i, F.col(c).cast("decimal(20,0)")))
+    found = hashed.groupBy(*keys).agg(
+        F.count_if(F.col("_side") == 0).alias("_n0"), F.count_if(F.col("_side") == 1).alias("_n1"), *[own(i, f"_h{j}").alias(f"_{i}{j}") for i in (0, 1) for j in (0, 1)]
     )
-    result = pairs.select(*keys, kind.alias("kind"))
+    same = (F.col("_00") == F.col("_10")) & (F.col("_01") == F.col("_11"))
+    kind = F.when(F.col("_n0") == 0, "added").when(F.col("_n1") == 0, "removed").when(same, "same").otherwise("changed")
+    for i, name in enumerate(("left", "right")):
+        kind = F.when(F.col(f"_n{i}") > 1, F.raise_error(F.concat(F.lit(f"repeated key in {name}: "), _key_text(keys))).cast("string")).otherwise(kind)
+    result = found.select(*keys, kind.alias("kind"))
     return result if keep_same else result.filter(F.col("kind") != "same")
 
 

@@ -12,10 +12,10 @@ from palimpsest.operators.corpus import name_collisions, split_arguments
 from palimpsest.operators.fingerprints import bucket_hashes, group_hash, table_hash
 from palimpsest.plans.inputs import BROKEN_SQL, CATALOG_SQL, HISTORY_SQL, VERSIONS_SQL, Registry, broken, catalog, encoded, history, listed, scratch, table, versions
 from palimpsest.sources.catalog import read_catalog, write_catalog
-from palimpsest.sources.commits import with_commit_ids
+from palimpsest.sources.commits import read_commits, verify_commits, with_commit_ids, write_commits
 from palimpsest.sources.conflicts import read_conflicts, write_conflicts
 from palimpsest.sources.migrations import applied_ids, list_migrations, read_ledger, read_migrations, with_checksums, write_migrations
-from palimpsest.sources.objects import append_new, put_if_absent, read_objects, verify_objects
+from palimpsest.sources.objects import append_index, append_new, create_index, put_if_absent, put_into, read_objects, verify_objects
 from palimpsest.sources.strict_json import strict_json
 from palimpsest.operators.versions import conflicts, merge3
 
@@ -84,6 +84,20 @@ def s2_append(spark, sf):
     return read_objects(spark, path, digits=1).select("sha", F.octet_length("content").cast("bigint").alias("content_bytes"))
 
 
+@registry.add(
+    "s2_put_into_index",
+    f"""with {STORE_SQL} select o.sha, case when h.sha is null then 'new' when low=o.content and high=o.content then 'existing' else 'collision' end as outcome
+    from offered o left join held_range h on o.sha=h.sha""",
+)
+def s2_index(spark, sf):
+    """Against the bucketed index of a store, which is joined as it lies."""
+    path = scratch(spark, "index")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    create_index(spark, name, path, 8)
+    append_index(_store(spark, sf).withColumn("outcome", F.lit("new")), name, 8)
+    return put_into(table(spark, sf, "documents"), name, "text").select("sha", "outcome")
+
+
 @registry.add("s3_verify_objects", f"with {BROKEN_SQL} select doc_id, stored, sha256(text) as actual from tampered where stored <> sha256(text)")
 def s3(spark, sf):
     return verify_objects(broken(spark, sf)["tampered"], "stored", "text").select("doc_id", "stored", "actual")
@@ -97,17 +111,12 @@ c as (select s.repo_id, sha256(o.o_orderstatus) schema_hash, case when o.o_order
    from s join orders o on o.o_orderkey=s.o_orderkey left join p on p.child=s.sha)"""
 
 
-@registry.add(
-    "s4_write_commits",
-    f"""with recursive {HISTORY_SQL}, {COMMIT_SQL}
-    select repo_id, o_orderkey, sha256({encoded("parents$", "schema_hash$", "nullif(migration_id,'')$", "author$", "ts$", "message$", "null$")}) as sha, ts from c""",
-)
-def s4(spark, sf):
+def _commit_rows(spark, sf):
     h = history(spark, sf)
     parents = h["edges"].groupBy(F.col("child").alias("own")).agg(F.array_sort(F.collect_list(F.struct("idx", "parent"))).alias("ps"))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     rows = h["numbered"].join(orders, "o_orderkey").join(parents, F.col("sha") == F.col("own"), "left")
-    commits = rows.select(
+    return rows.select(
         "repo_id",
         "o_orderkey",
         F.transform("ps", lambda x: x["parent"]).alias("parents"),
@@ -118,7 +127,45 @@ def s4(spark, sf):
         F.col("o_orderpriority").alias("message"),
         F.lit("").alias("risk_level"),
     )
-    return with_commit_ids(commits, "Asia/Tokyo")[0].select("repo_id", "o_orderkey", "sha", "ts")
+
+
+@registry.add(
+    "s4_write_commits",
+    f"""with recursive {HISTORY_SQL}, {COMMIT_SQL}
+    select repo_id, o_orderkey, sha256({encoded("parents$", "schema_hash$", "nullif(migration_id,'')$", "author$", "ts$", "message$", "null$")}) as sha, ts from c""",
+)
+def s4(spark, sf):
+    return with_commit_ids(_commit_rows(spark, sf), "Asia/Tokyo")[0].select("repo_id", "o_orderkey", "sha", "ts")
+
+
+_PAYLOAD = ("parents$", "schema_hash$", "nullif(migration_id,'')$", "author$", "ts$", "message$", "null$")
+_COMMIT_HASH = f"sha256({encoded(*_PAYLOAD)})"
+
+
+@registry.add("s4_round_trip", f"with recursive {HISTORY_SQL}, {COMMIT_SQL} select distinct {_COMMIT_HASH} as sha, author, ts, message from c")
+def s4_round_trip(spark, sf):
+    """Commits written twice, read back, and checked against their hashes."""
+    path = scratch(spark, "commits")
+    commits = with_commit_ids(_commit_rows(spark, sf), "Asia/Tokyo")[0]
+    for _ in range(2):
+        write_commits(commits, path)
+    back = read_commits(spark, path)
+    return back.join(verify_commits(back).select("sha"), "sha", "left_anti").select("sha", "author", "ts", "message")
+
+
+@registry.add("s4_read_some", f"with recursive {HISTORY_SQL}, {COMMIT_SQL} select distinct {_COMMIT_HASH} as sha, author from c where starts_with({_COMMIT_HASH}, '0')")
+def s4_some(spark, sf):
+    """Commits asked for by hash come from their prefix folders."""
+    path = scratch(spark, "commits")
+    commits = with_commit_ids(_commit_rows(spark, sf), "Asia/Tokyo")[0]
+    write_commits(commits, path)
+    return read_commits(spark, path, commits.where("sha like '0%'").select("sha")).select("sha", "author")
+
+
+@registry.add("s4_refused", f"with recursive {HISTORY_SQL} select repo_id, o_orderkey, 'invalid schema hash' as reason from s where o_orderkey%50=0")
+def s4_refused(spark, sf):
+    rows = _commit_rows(spark, sf).withColumn("schema_hash", F.expr("case when o_orderkey % 50 = 0 then 'none' else schema_hash end"))
+    return with_commit_ids(rows, "Asia/Tokyo")[1].select("repo_id", "o_orderkey", "reason")
 
 
 @registry.add(

@@ -23,9 +23,10 @@ def t1(spark, sf):
 
 
 # The same steps in the other engine's regular expressions, which have no possessive repeats.
-_QUOTED = r"""''[^'']*(?:''''[^'']*)*''|"[^"]*(?:""[^"]*)*["]"""
-_WITH_COMMENTS = _QUOTED + r"""|--[^\n]*|/\*(?s:.*?)\*/|[^''"/\-]+|(?s:.)"""
-_WITHOUT_COMMENTS = _QUOTED + r"""|[^''"]+|(?s:.)"""
+_NAME = r"A-Za-z0-9_\x{80}-\x{10FFFF}"
+_QUOTED = r"""''[^'']*(?:''''[^'']*)*''|\$\$(?s:.*?)\$\$|"[^"]*(?:""[^"]*)*["]"""
+_WITH_COMMENTS = _QUOTED + rf"""|--[^\n]*|/\*(?s:.*?)\*/|[^''"/\-$]*[{_NAME}]\$+|[^''"/\-$]+|(?s:.)"""
+_WITHOUT_COMMENTS = _QUOTED + rf"""|[^''"$]*[{_NAME}]\$+|[^''"$]+|(?s:.)"""
 _CAST = r"\s*::\s*[a-z_][a-z0-9_]*(?:\.[a-z_][a-z0-9_]*)*(?:\s*\([^)]*\))?(?:\s+(?:varying|precision|without|with|time|zone)\b)*(?:\s*\([^)]*\))?(?:\s*\[\])*"
 
 
@@ -44,7 +45,7 @@ def canonical_sql(text: str) -> str:
         f"""case when regexp_matches({text}, '--|/\\*') then array_to_string(list_transform(regexp_extract_all({text}, '({_WITH_COMMENTS})', 1), """
         f"""lambda x: case when regexp_matches(x, '^(--|/\\*)') then ' ' else x end), '') else {text} end"""
     )
-    kept = f"""case when regexp_matches(x, '^[''"](?s:.)') then x else {plain} end"""
+    kept = f"""case when regexp_matches(x, '^(?:[''"](?s:.)|\\$[A-Za-z0-9_]*\\$)') then x else {plain} end"""
     joined = f"array_to_string(list_transform(regexp_extract_all({bare}, '({_WITHOUT_COMMENTS})', 1), lambda x: {kept}), '')"
     return rf"regexp_replace({joined}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r;]+$', '', 'g')"
 
@@ -65,6 +66,45 @@ def t2_views(spark, sf):
     return views.select("ns_oid", "relname", T.canonical_text(F.col("definition")).alias("definition"))
 
 
+#: Statements that quote between dollar marks, or open something and never close it; # is the customer.
+_STATEMENTS = (
+    "$$Hello  World#$$", "$$hello world#$$", "SELECT $$A  b$$, #", "select  $$A  b$$ ,#", "select 'open#", 'select "open#', "select # /* open", "select $$open#",
+    "select 'it''s' -- don't", "select a$$b, #",
+)
+_ROWS = ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(_STATEMENTS))
+_STATEMENTS_SQL = f"statements as (select c_custkey, v.i, replace(v.t, '#', c_custkey::varchar) stmt from customer, (values {_ROWS}) v(i, t))"
+
+
+def _statements(spark, sf):
+    rows = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(_STATEMENTS)]))
+    given = table(spark, sf, "customer").select("c_custkey", rows.alias("x"))
+    return given.select("c_custkey", "x.i", F.replace(F.col("x.t"), F.lit("#"), F.col("c_custkey").cast("string")).alias("stmt"))
+
+
+@registry.add(
+    "t2_broken_texts",
+    f"with {_STATEMENTS_SQL} select c_custkey, i, case i when 4 then 'open text' when 5 then 'open name' when 6 then 'open comment' else 'open dollar text' end as problem from statements where i in (4, 5, 6, 7)",
+)
+def t2_broken(spark, sf):
+    return T.broken_texts(_statements(spark, sf), ["c_custkey", "i"], "stmt")
+
+
+@registry.add("t2_quoted_groups", f"with {_STATEMENTS_SQL} select c_custkey, case i when 3 then 2 else i end as first_id, count(*) as texts from statements group by 1, 2")
+def t2_quoted(spark, sf):
+    """Groups of equal statements of a customer: what stands between dollar marks counts as written."""
+    hashed = T.canonical_ids(_statements(spark, sf), ["c_custkey", "i"], "stmt")
+    return hashed.groupBy("c_custkey", "text_hash").agg(F.min("i").alias("first_id"), F.count("*").alias("texts")).drop("text_hash")
+
+
+@registry.add(
+    "t6_broken_defaults",
+    f"""with {_STATEMENTS_SQL} select c_custkey, i, case when i < 2 then stmt end as "default" from statements where i in (0, 1, 4, 5, 6, 7)""",
+)
+def t6_broken(spark, sf):
+    given = _statements(spark, sf).filter("i in (0, 1, 4, 5, 6, 7)").withColumn("kind", F.lit("text"))
+    return T.canonical_defaults(given, "stmt", "kind").select("c_custkey", "i", "default")
+
+
 _HREF = 'href="([^"]*)"'
 _LINKS_SQL = f"""raw as (select page_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) name, generate_subscripts(regexp_extract_all(html, '{_HREF}', 1), 1) i from pages),
 links as (select page_id, name, row_number() over (partition by page_id order by min(i)) - 1 position from raw group by page_id, name)"""

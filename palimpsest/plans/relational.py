@@ -351,6 +351,22 @@ def w2(spark, sf):
     return default_names(members, ["c_nationkey"], "name", "stem", ["c_custkey"]).select("c_custkey", "c_nationkey", "name")
 
 
+_CLASH = "select *, case c_custkey%5 when 0 then 'm_check' when 1 then 'm_check1' when 2 then 'k' else lower(c_mktsegment) end stem, case c_custkey%7 when 0 then 'm_check'||(c_custkey%4)::varchar when 1 then 'k_check' end as name from customer"
+
+
+@registry.add("w2_names_are_unique", f"select c_nationkey, count(*) as members, count(*) filter (name is null) as filled, 0::bigint as clashes from ({_CLASH}) group by 1")
+def w2_unique(spark, sf):
+    """Stems that run into each other's numbers, and names given under another stem: filled names clash with none."""
+    given = table(spark, sf, "customer").selectExpr(
+        "c_custkey", "c_nationkey", "case c_custkey % 5 when 0 then 'm_check' when 1 then 'm_check1' when 2 then 'k' else lower(c_mktsegment) end as stem",
+        "case c_custkey % 7 when 0 then concat('m_check', c_custkey % 4) when 1 then 'k_check' end as name", "c_custkey % 7 > 1 as open",
+    )
+    named = default_names(given, ["c_nationkey"], "name", "stem", ["c_custkey"])
+    per = named.groupBy("c_nationkey", "name").agg(F.count("*").alias("n"), F.count_if("open").alias("filled"))
+    clashes = F.sum(F.when(F.col("filled") > 0, F.col("n") - 1).otherwise(0))
+    return per.groupBy("c_nationkey").agg(F.sum("n").alias("members"), F.sum("filled").alias("filled"), clashes.alias("clashes"))
+
+
 # --- orders and sets ----------------------------------------------------------------------------
 
 

@@ -76,9 +76,6 @@ def c5(spark, sf):
     return C.violations(found, "unknown_field", F.col("event_id"), "props", detail)
 
 
-
-
-
 @registry.add(
     "c5_value_kinds",
     """select 'value_kind' as rule, event_id::varchar as object_id, 'k' as field, 'wrong kind' as detail from
@@ -90,6 +87,17 @@ def c5_kinds(spark, sf):
     return C.value_kinds(table(spark, sf, "events").withColumn("props", props), F.col("event_id"), "props", {"k": "BIGINT"})
 
 
+@registry.add(
+    "c5_number_kinds",
+    """select 'value_kind' as rule, event_id::varchar as object_id, case event_id%6 when 2 then 'd' when 4 then 'i' else 'props' end as field, case when event_id%6 in (2, 4) then 'wrong kind' else 'malformed' end as detail
+    from events where event_id%6 in (2, 3, 4)""",
+)
+def c5_numbers(spark, sf):
+    """Whole numbers and decimals are DOUBLEs, texts are not; 1.5 is no BIGINT; text that is no JSON is reported."""
+    props = F.expr("""element_at(array('{"d": 1.5, "i": 2}', '{"d": 3, "i": null}', '{"d": "1.5"}', '{"d":', '{"i": 1.5}', '{"d": 1e3, "x": 0}'), cast(event_id % 6 as int) + 1)""")
+    return C.value_kinds(table(spark, sf, "events").withColumn("props", props), F.col("event_id"), "props", {"d": "DOUBLE", "i": "BIGINT"})
+
+
 @registry.add("c6_defined_twice", "select 'defined_twice' as rule, l_orderkey::varchar as object_id, 'l_orderkey' as field, count(*)::varchar as detail from lineitem group by l_orderkey having count(*) > 1")
 def c6(spark, sf):
     return C.defined_twice(table(spark, sf, "lineitem"), "l_orderkey")
@@ -265,6 +273,30 @@ def d7_gaps(spark, sf):
     return D.sequence_gaps(table(spark, sf, "orders").filter("o_orderstatus <> 'O'"), "o_orderkey")
 
 
+@registry.add(
+    "d7_gaps_by_step",
+    """with v as (select distinct o_orderkey v from orders where o_orderkey%2=1 and o_orderkey%7<>0), n as (select v, lead(v) over (order by v) nv from v)
+    select v+2 as gap_start, nv-2 as gap_end, (nv-v)//2-1 as missing from n where nv - v > 2""",
+)
+def d7_steps(spark, sf):
+    """A sequence of odd numbers, without being told where it starts."""
+    return D.sequence_gaps(table(spark, sf, "orders").filter("o_orderkey % 2 = 1 and o_orderkey % 7 <> 0"), "o_orderkey", 2)
+
+
+@registry.add(
+    "d7_gaps_by_sequence",
+    """with rule as (select c_custkey, 1 + c_custkey % 3 step, c_custkey % 5 start, 50000 most from customer),
+    v as (select distinct o_custkey, o_orderkey v, step from orders join rule on o_custkey=c_custkey where o_orderkey between 0 and most and (o_orderkey - start) % step = 0),
+    n as (select *, lead(v) over (partition by o_custkey order by v) nv from v)
+    select o_custkey, v+step as gap_start, nv-step as gap_end, (nv-v)//step-1 as missing from n where nv - v > step""",
+)
+def d7_sequences(spark, sf):
+    """A sequence per customer, each with a start, step and bounds of its own."""
+    key = F.col("c_custkey")
+    sequences = table(spark, sf, "customer").select(key.alias("o_custkey"), (key % 5).alias("start"), (key % 3 + 1).alias("increment"), F.lit(0).alias("min_value"), F.lit(50000).alias("max_value"))
+    return D.gaps_by_sequence(table(spark, sf, "orders"), "o_custkey", "o_orderkey", sequences)
+
+
 @registry.add("d8_check_partial_unique", "select o_custkey, o_orderpriority, count(*) as times from orders where o_orderstatus = 'O' and o_custkey is not null and o_orderpriority is not null group by 1, 2 having count(*) > 1")
 def d8(spark, sf):
     return D.check_partial_unique(table(spark, sf, "orders"), ["o_custkey", "o_orderpriority"], "o_orderstatus = 'O'")

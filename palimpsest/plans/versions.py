@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import governance as G, versions as V
-from palimpsest.plans.inputs import BROKEN_SQL, VERSIONS_SQL, Registry, broken, catalog, listed, table, versions
+from palimpsest.plans.inputs import BROKEN_SQL, CATALOG_SQL, VERSIONS_SQL, Registry, broken, catalog, listed, scratch, table, versions
+from palimpsest.sources import version_store
 
 registry = Registry()
 
@@ -121,27 +122,73 @@ def v7(spark, sf):
     return G.classify_risk(changes, narrowing).select("k", "kind", "risk")
 
 
-CATALOG_DIFF_SQL = """left_cat as (select 'col:ns'||c_custkey::varchar||'.users.'||v.attname id, v.attname, v.t type_name, v.d from customer, (values ('id','int8',''),('email','varchar(255)',null),('role','user_role','x')) v(attname, t, d)),
-right_cat as (select 'col:ns'||c_custkey::varchar||'.users.'||v.attname id, v.attname, case when c_custkey%4=0 and v.attname='id' then 'int4' when c_custkey%9=0 and v.attname='email' then 'varchar(300)' else v.t end type_name, v.d
-  from customer, (values ('id','int8',null),('email','varchar(255)',''),('role','user_role','x')) v(attname, t, d) where not (c_custkey%6=0 and v.attname='role')),
-delta as (select coalesce(l.id, r.id) id, case when r.id is null then 'removed' else 'changed' end kind, l.type_name before, r.type_name after from left_cat l full join right_cat r on l.id=r.id
-  where r.id is null or l.type_name <> r.type_name)"""
+# Type changes and whether they lose room.
+_TYPE_CHANGES = (
+    ("numeric(10,2)", "numeric(10,4)", True), ("numeric(10,4)", "numeric(10,2)", True), ("varchar(255)[]", "varchar(10)[]", True), ("varchar(10)", "text", False),
+    ("int4", "numeric", False), ("int4", "numeric(5)", True), ("int8", "int4", True), ("varchar(5)", "varchar", False), ("text", "varchar(9)", True), ("int4", "int4[]", True),
+)
+
+
+@registry.add(
+    "v7_type_changes",
+    f"""select c_custkey, before, after, case when lost then 'destructive' else 'safe' end as risk from customer join
+    (values {", ".join(f"({i}, '{a}', '{b}', {str(x).lower()})" for i, (a, b, x) in enumerate(_TYPE_CHANGES))}) v(i, before, after, lost) on c_custkey % {len(_TYPE_CHANGES)} = i""",
+)
+def v7_types(spark, sf):
+    """A type change per customer."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("before"), F.lit(b).alias("after")) for a, b, _ in _TYPE_CHANGES])
+    changes = table(spark, sf, "customer").select("c_custkey", F.lit("changed").alias("kind"), F.get(pairs, (F.col("c_custkey") % len(_TYPE_CHANGES)).cast("int")).alias("x"))
+    risky = G.classify_risk(changes, G.narrows(F.col("x.before"), F.col("x.after")))
+    return risky.select("c_custkey", "x.before", "x.after", "risk")
+
+
+def _stored(spark, sf):
+    """The three versions of orders, stored by key range."""
+    folders = [scratch(spark, name) for name in ("base", "ours", "theirs")]
+    for df, folder in zip(versions(spark, sf), folders):
+        version_store.write_version(df, ["k"], folder, like=None if folder == folders[0] else folders[0], ranges=64)
+    return folders
+
+
+@registry.add("v1_diff_by_ranges", f"{_WITH} select k, {_KIND} as kind from base b full join ours o using (k) where {_KIND} <> 'same'")
+def v1_ranges(spark, sf):
+    base, ours, _ = _stored(spark, sf)
+    return version_store.diff(spark, base, ours, ["k"])
+
+
+@registry.add("v5_resolve_by_ranges", _resolved_sql("ours", "ho", "os", "op", '"or"'))
+def v5_ranges(spark, sf):
+    merged, rest = version_store.merge3(spark, *_stored(spark, sf), ["k"])
+    return V.resolve(merged, ["k"], "ours").unionByName(rest)
+
+
+CATALOG_DIFF_SQL = f"""{CATALOG_SQL},
+left_cat as (select 'col:ns'||ns_oid::varchar||'.users.'||attname id, ns_oid, attname, attnum, not_null,
+  case type_name when 'bigint' then 'int8' when 'character varying(255)' then 'varchar(255)' when 'public.user_role' then 'user_role' else type_name end type_name, coalesce(expression, '') d from columns),
+right_cat as (select id, attname, attnum, not_null <> (ns_oid%5=0 and attname='score') not_null,
+  case when ns_oid%4=0 and attname='id' then 'int4' when ns_oid%9=0 and attname='email' then 'varchar(300)' else type_name end type_name, case when ns_oid%7=0 and attname='score' then 'a - b' else d end d
+  from left_cat where not (ns_oid%6=0 and attname='role')),
+delta as (select coalesce(l.id, r.id) id, case when r.id is null then 'removed' else 'changed' end kind, l.type_name before, r.type_name after,
+  case when r.id is null then '' else concat_ws(',', case when l.d <> r.d then 'd' end, case when l.not_null <> r.not_null then 'not_null' end, case when l.type_name <> r.type_name then 'type_name' end) end fields
+  from left_cat l full join right_cat r on l.id=r.id
+  where r.id is null or l.type_name <> r.type_name or l.d <> r.d or l.not_null <> r.not_null)"""
 
 
 def _catalogs(spark, sf):
-    columns = catalog(spark, sf)["columns"].select("ns_oid", "attname").filter("attname in ('id', 'email', 'role')")
-    kind = F.when(F.col("attname") == "id", "int8").when(F.col("attname") == "email", "varchar(255)").otherwise("user_role")
+    """All columns of every namespace with all their fields, before and after some changes; an empty default counts as none."""
+    columns = catalog(spark, sf)["columns"]
+    kind = F.expr("case type_name when 'bigint' then 'int8' when 'character varying(255)' then 'varchar(255)' when 'public.user_role' then 'user_role' else type_name end")
     ident = F.concat(F.lit("col:ns"), F.col("ns_oid").cast("string"), F.lit(".users."), F.col("attname")).alias("id")
-    default = F.when(F.col("attname") == "role", "x")
-    left = columns.select(ident, "attname", kind.alias("type_name"), default.when(F.col("attname") == "id", "").alias("d"))
+    left = columns.select(ident, "attname", "attnum", "not_null", kind.alias("type_name"), F.col("expression").alias("d"))
     changed = F.when(F.expr("ns_oid % 4 = 0 and attname = 'id'"), "int4").when(F.expr("ns_oid % 9 = 0 and attname = 'email'"), "varchar(300)").otherwise(kind)
+    default = F.expr("case when ns_oid % 7 = 0 and attname = 'score' then 'a - b' else coalesce(expression, '') end")
     right = columns.filter("not (ns_oid % 6 = 0 and attname = 'role')").select(
-        ident, "attname", changed.alias("type_name"), default.when(F.col("attname") == "email", "").alias("d")
+        ident, "attname", "attnum", F.expr("not_null <> (ns_oid % 5 = 0 and attname = 'score')").alias("not_null"), changed.alias("type_name"), default.alias("d")
     )
     return left, right
 
 
-@registry.add("v8_schema_diff", f"with {CATALOG_DIFF_SQL} select id, kind, after as type_name, case kind when 'changed' then 'type_name' else '' end as fields from delta")
+@registry.add("v8_schema_diff", f"with {CATALOG_DIFF_SQL} select id, kind, after as type_name, fields from delta")
 def v8(spark, sf):
     left, right = _catalogs(spark, sf)
     return G.schema_diff(left, right, "id", ["d"]).select("id", "kind", "type_name", listed("fields"))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from palimpsest.functions.encoding import content_id, empty_as_absent, row_text
 from palimpsest.operators.fingerprints import group_hash, table_hash
 from palimpsest.operators.versions import conflicts, merge3
-from palimpsest.sources.commits import verify_commits, with_commit_ids
+from palimpsest.sources.commits import read_commits, verify_commits, with_commit_ids, write_commits
 from palimpsest.sources.conflicts import clear_conflicts, read_conflicts, write_conflicts
 from palimpsest.sources.migrations import NoMigrationLedger, applied_ids, list_migrations, read_ledger, read_migrations, with_checksums, write_migrations
-from palimpsest.sources.objects import append_new, put_if_absent, read_objects, verify_objects
+from palimpsest.sources.objects import append_index, append_new, create_index, put_if_absent, put_into, read_objects, verify_objects
 from palimpsest.sources.strict_json import strict_json
 
 
@@ -128,3 +128,68 @@ def test_strict_json(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, j string")
     got = {r.i: r.problem for r in strict_json(df, "j", ["version"]).collect()}
     assert got == {1: "unknown keys", 2: "malformed", 3: "malformed", 4: "malformed", 5: "malformed", 6: "malformed", 7: "malformed"}
+
+
+def test_a_batch_meets_the_index_of_a_store(spark, tmp_path):
+    store = spark.createDataFrame([(f"text {i}",) for i in range(40)], "content string")
+    create_index(spark, "held_objects", str(tmp_path / "index"), 4)
+    try:
+        first = put_into(store, "held_objects")
+        assert {r.outcome for r in first.collect()} == {"new"}
+        append_index(first, "held_objects", 4)
+        forged = spark.createDataFrame([("text 1", "other bytes")], "name string, content string")
+        index = forged.select(F.sha2("name", 256).alias("sha"), "content", F.lit("new").alias("outcome"))
+        batch = spark.createDataFrame([("text 1",), ("text 2",), ("text 2",), ("fresh",), (None,)], "content string")
+        found = put_into(batch, "held_objects")
+        assert sorted((r.content, r.outcome) for r in found.where("content is not null").collect()) == [("fresh", "new"), ("text 1", "existing"), ("text 2", "existing")]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        held = plan[plan.index("Scan parquet") :]
+        assert "Bucketed: true" in plan or "Scan parquet spark_catalog.default.held_objects" in plan
+        assert "content" not in held.split("ReadSchema")[-1]
+        append_index(index, "held_objects", 4)
+        assert [r.outcome for r in put_into(batch.where("content = 'text 1'"), "held_objects").collect()] == ["collision"]
+    finally:
+        spark.sql("drop table if exists held_objects")
+
+
+def test_index_side_is_not_shuffled(spark, tmp_path):
+    create_index(spark, "held_index", str(tmp_path / "index"), 4)
+    try:
+        append_index(spark.range(200).select(F.sha2(F.col("id").cast("string"), 256).alias("sha"), F.col("id").cast("string").alias("content"), F.lit("new").alias("outcome")), "held_index", 4)
+        batch = spark.range(300).select(F.col("id").cast("string").alias("content"))
+        conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "4", "spark.sql.adaptive.enabled": "false"}
+        old = {k: spark.conf.get(k) for k in conf}
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = put_into(batch, "held_index")._jdf.queryExecution().executedPlan().toString()
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        scan = plan.index("held_index")
+        before = plan[:scan].rindex("SortMergeJoin")
+        assert "Exchange" not in plan[before:scan].split("Sort [sha")[-1]
+    finally:
+        spark.sql("drop table if exists held_index")
+
+
+def test_commits_come_back_once(spark, tmp_path):
+    rows = spark.createDataFrame([(["ab" * 32], "cd" * 32, "m1", "me", "2024-01-01 00:00:00", "first", ""), ([], "cd" * 32, None, "me", "2024-01-02 00:00:00", "second", "safe"), (["bad"], "cd" * 32, None, "me", "2024-01-02 00:00:00", "third", ""), ([], "none", None, "me", "2024-01-02 00:00:00", "fourth", "")], "parents array<string>, schema_hash string, migration_id string, author string, ts string, message string, risk_level string")
+    written, refused = with_commit_ids(rows)
+    assert sorted((r.message, r.reason) for r in refused.collect()) == [("fourth", "invalid schema hash"), ("third", "invalid parent hash")]
+    for _ in range(2):
+        write_commits(written, str(tmp_path / "c"))
+    back = read_commits(spark, str(tmp_path / "c"))
+    assert sorted(r.message for r in back.collect()) == ["first", "second"] and verify_commits(back).isEmpty()
+    assert verify_commits(back.withColumn("author", F.lit("you"))).count() == 2
+    one = back.where("message = 'first'").select("sha")
+    assert [r.message for r in read_commits(spark, str(tmp_path / "c"), one).collect()] == ["first"]
+
+
+def test_conflicts_of_a_merge_are_replaced_in_one_write(spark, tmp_path):
+    path = str(tmp_path / "k")
+    rows = spark.createDataFrame([("row:t.1", "field", "{}", "{}", "{}", ["a"], "m")], "object_id string, kind string, base string, ours string, theirs string, fields array<string>, message string")
+    write_conflicts(rows, "m/1", path)
+    write_conflicts(rows.withColumn("object_id", F.lit("row:t.2")), "m2", path)
+    write_conflicts(rows.withColumn("object_id", F.lit("row:t.3")), "m/1", path)
+    assert [r.object_id for r in read_conflicts(spark, path).collect()] == ["row:t.2", "row:t.3"]
+    clear_conflicts(spark, "m2", path)
+    assert [r.object_id for r in read_conflicts(spark, path).collect()] == ["row:t.3"]

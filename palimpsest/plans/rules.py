@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.names import object_id
 from palimpsest.operators import constraints as D, rules as C
 from palimpsest.operators.relational import filter_live
+from palimpsest.operators.one_pass import KeyRule, RowRule, check_all
 from palimpsest.plans.inputs import BROKEN_SQL, CATALOG_SQL, Registry, broken, catalog, table
 from palimpsest.sources.strict_json import strict_json
 
@@ -255,6 +256,36 @@ def d6(spark, sf):
     return D.check_enum(broken(spark, sf)["customer"], "c_mktsegment", labels).select("row_id", "c_mktsegment")
 
 
+_ONE_PASS_SQL = f"""{_BROKEN}, c as (select * from broken_customer),
+found as (select 'required' as rule, row_id::varchar object_id, 'c_custkey' field, 'missing' detail from c where c_custkey is null
+  union all select 'named', row_id::varchar, 'c_name', 'empty' from c where c_name = ''
+  union all select 'segment', row_id::varchar, 'c_mktsegment', c_mktsegment from c where c_mktsegment = 'UNKNOWN'
+  union all select 'least', row_id::varchar, 'row_id', row_id::varchar from c where row_id < 10
+  union all select 'odd', row_id::varchar, 'row_id', '' from c where row_id % 11 = 0
+  union all select 'bounds', row_id::varchar, 'row_id', 'out of bounds' from c where row_id not between 3 and 100
+  union all select 'own key', row_id::varchar, 'c_custkey', '' from c where c_custkey is distinct from row_id
+  union all select 'pk', row_id::varchar, 'c_custkey', 'null key' from c where c_custkey is null),
+keys as (select 'one name' as rule, '{{"c_name":"'||c_name||'"}}' object_id, 'c_name' field, count(*) times from c group by c_name having count(*) > 1
+  union all select 'few', '{{"c_mktsegment":"'||c_mktsegment||'"}}', 'c_mktsegment', count(*) from c where row_id < 20 group by c_mktsegment having count(*) > 1)"""
+
+
+@registry.add(
+    "c1_d9_in_one_pass",
+    f"{_ONE_PASS_SQL} select rule, object_id, field, detail, 1::bigint as times from found union all select rule, object_id, field, 'repeated key', times from keys",
+)
+def one_pass(spark, sf):
+    """Ten rules on one table: one scan, one grouping."""
+    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    row_id = F.col("row_id")
+    rules = [
+        RowRule("required", "c_custkey", F.col("c_custkey").isNull(), "missing"), RowRule("named", "c_name", F.col("c_name") == "", "empty"),
+        RowRule("segment", "c_mktsegment", ~F.col("c_mktsegment").isin(segments), F.col("c_mktsegment")), RowRule("least", "row_id", row_id < 10, row_id), RowRule("odd", "row_id", row_id % 11 == 0),
+        RowRule("bounds", "row_id", ~row_id.between(3, 100), "out of bounds"), RowRule("own key", "c_custkey", ~F.col("c_custkey").eqNullSafe(row_id)),
+        KeyRule("pk", ("c_custkey",), primary=True), KeyRule("one name", ("c_name",)), KeyRule("few", ("c_mktsegment",), "row_id < 20"),
+    ]
+    return check_all(broken(spark, sf)["customer"], row_id, rules)
+
+
 @registry.add(
     "d7_check_bounds",
     """select o_orderkey, case when o_orderkey not between 5 and 100000 then 'out of bounds' else 'off grid' end as rule from orders

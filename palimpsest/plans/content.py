@@ -17,6 +17,7 @@ from palimpsest.sources.conflicts import read_conflicts, write_conflicts
 from palimpsest.sources.migrations import applied_ids, list_migrations, read_ledger, read_migrations, with_checksums, write_migrations
 from palimpsest.sources.objects import append_index, append_new, create_index, put_if_absent, put_into, read_objects, verify_objects
 from palimpsest.sources.strict_json import strict_json
+from palimpsest.operators.schema_hash import namespace_hashes, schema_hash, table_hashes
 from palimpsest.operators.versions import conflicts, merge3
 
 registry = Registry()
@@ -282,6 +283,67 @@ def a9_equal(spark, sf):
     return hashes.groupBy("order_hash").agg(F.count(F.lit(1)).alias("orders"), F.min("l_orderkey").alias("first_order"))
 
 
+# --- whole schemas ------------------------------------------------------------------------------
+
+
+def _list_text(column: str) -> str:
+    return f"case when len({column}) > 0 then len({column})::varchar||'['||array_to_string(list_transform({column}, lambda x: strlen(x)::varchar||':'||x), '')||']' end"
+
+
+def _group_digest(name: str, parent: str, fields: tuple[str, ...], source: str) -> str:
+    return f"""{name}_h as (select {parent}, sha256({encoded(*fields)}) h from ({source})), {name}_g as (select {parent}, count(*) n, {_LANES} from {name}_h group by {parent}),
+{name}_d as (select {parent}, {_DIGEST} d from {name}_g)"""
+
+
+_SCHEMA_SQL = ",\n".join(
+    (
+        CATALOG_SQL,
+        _group_digest("col", "ns_oid, relname", ("id$", "attname$", "type_name$", "nullable", "d$", "ident", "gen$"), "select *, 'col:'||ns_oid::varchar||'.'||attname id, not not_null nullable, nullif(expression, '') d, case when identity <> '' then true end ident, nullif(generated_kind, '') gen from columns"),
+        _group_digest("con", "ns_oid", ("id$", "conname$", "contype$", "c$", "e$", "referenced_table$", "r$"), f"select *, 'con:'||ns_oid::varchar||'.'||conname id, {_list_text('columns')} c, null e, {_list_text('referenced_columns')} r from constraints"),
+        _group_digest("idx", "ns_oid, tablename", ("id$", "relname$", "c$", "m$", "u", "predicate$"), f"select *, 'idx:'||ns_oid::varchar||'.'||relname id, {_list_text('columns')} c, 'btree' m, case when is_unique then true end u from indexes"),
+        _group_digest("vw", "ns_oid", ("id$", "relname$", "definition$", "null$"), "select *, 'view:'||ns_oid::varchar||'.'||relname id from views"),
+        _group_digest("seq", "ns_oid", ("id$", "seqname$", "data_type$", '"start"', "increment", "min_value", "max_value", "cycle"), "select *, 'seq:'||ns_oid::varchar||'.'||seqname id from sequences"),
+        f"""tab as (select distinct c.ns_oid, c.relname, 'tbl:'||c.ns_oid::varchar||'.'||c.relname id, a.d a, b.d b, i.d i from columns c left join col_d a on a.ns_oid=c.ns_oid and a.relname=c.relname
+  left join con_d b on b.ns_oid=c.ns_oid left join idx_d i on i.ns_oid=c.ns_oid and i.tablename=c.relname),
+tab_node as (select ns_oid, relname, id, sha256({encoded("id$", "relname$", "a$", "b$", "i$")}) hash from tab)""",
+        _group_digest("tn", "ns_oid", ("id$", "hash$"), "select * from tab_node"),
+        f"""ns as (select n.ns_oid, n.ns_oid::varchar nspname, 'ns:'||n.ns_oid::varchar id, t.d t, v.d v, s.d s from namespaces n left join tn_d t using (ns_oid) left join vw_d v using (ns_oid) left join seq_d s using (ns_oid)),
+ns_node as (select nspname, id, sha256({encoded("id$", "nspname$", "t$", "v$", "null$", "s$", "null$")}) hash from ns)""",
+    )
+)
+
+
+def _schema_nodes(spark, sf):
+    """Hashes of tables and namespaces of the derived catalog, named by number."""
+    found = catalog(spark, sf)
+    ns = F.col("ns_oid").cast("string")
+
+    def member(df, kind, name, **fields):
+        return df.select(ns.alias("nspname"), F.concat(F.lit(f"{kind}:"), ns, F.lit("."), F.col(name)).alias("id"), F.col(name).alias("name"), *[v.alias(k) for k, v in fields.items()])
+
+    col = F.col
+    columns = member(found["columns"], "col", "attname", relname=col("relname"), type=col("type_name"), nullable=~col("not_null"), default=col("expression"), is_identity=col("identity") != "", generated=col("generated_kind"))
+    constraints = member(found["constraints"], "con", "conname", relname=F.lit("users"), type=col("contype"), columns=col("columns"), referenced_table=col("referenced_table"), referenced_columns=col("referenced_columns"))
+    indexes = member(found["indexes"], "idx", "relname", relname=col("tablename"), columns=col("columns"), method=F.lit("btree"), unique=col("is_unique"), predicate=col("predicate"))
+    tables = found["columns"].select(ns.alias("nspname"), "relname").distinct().select("nspname", "relname", F.concat(F.lit("tbl:"), "nspname", F.lit("."), "relname").alias("id"), col("relname").alias("name"))
+    views = member(found["views"], "view", "relname", definition=col("definition"))
+    sequences = member(found["sequences"], "seq", "seqname", **{c: col(c) for c in ("data_type", "start", "increment", "min_value", "max_value", "cycle")})
+    nodes = table_hashes(tables, columns=columns, constraints=constraints, indexes=indexes)
+    namespaces = found["namespaces"].select(ns.alias("nspname"), F.concat(F.lit("ns:"), ns).alias("id"))
+    return nodes, namespace_hashes(namespaces, nodes, views=views, sequences=sequences)
+
+
+@registry.add("a3_table_hashes", f"with {_SCHEMA_SQL} select id, hash from tab_node")
+def a3_table_hashes(spark, sf):
+    return _schema_nodes(spark, sf)[0].select("id", "hash")
+
+
+@registry.add("a3_schema_hash", f"""with {_SCHEMA_SQL}, {_group_digest("all", "one", ("id$", "hash$"), "select 1 one, * from ns_node")} select (select count(*) from ns_node) as namespaces, d as hash from all_d""")
+def a3_schema_hash(spark, sf):
+    """The whole catalog as one schema."""
+    return schema_hash(_schema_nodes(spark, sf)[1])
+
+
 # --- names --------------------------------------------------------------------------------------
 
 _HASHY = "case doc_id%4 when 0 then sha256(text) when 1 then upper(sha256(text)) when 2 then substr(sha256(text),1,63) else sha256(text)||'0' end"

@@ -23,17 +23,50 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from palimpsest.llm.blocks import mix
+
 BLANK = "▁"
 N_BEST = 4
 BYTE_COST = 12_000
-CACHE_WORDS = 200_000  # of each of the two generations a worker keeps
+CACHE_WORDS = 80_000  # of each of the two generations a worker keeps
 FAR = 1 << 60
-LATTICES = 10_000  # of words whose second best is near, kept by a worker
-MANY = 5_000  # words of one length that are settled together
+LATTICES = 4_000  # of words whose second best is near, kept by a worker
+MANY = 2_000  # words of one length that are settled together
 LONG = 48  # characters of a word that may be settled with others
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Slots:
+    """Where 64-bit keys stand in an array: a table of places by the keys' upper bits, with a few tries from there on."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(4, (16 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.places, self.tries = np.zeros(1 << bits, dtype=np.int32), 1
+        self.keys = np.concatenate([[np.uint64(0)], keys])  # place 0 is no key; no piece has the hash 0
+        used = np.zeros(1 << bits, dtype=bool)
+        for place, slot in enumerate((mix(keys) >> self.shift).astype(np.int64).tolist(), 1):
+            first = slot
+            while used[slot]:
+                slot = (slot + 1) & int(self.mask)
+            used[slot], self.places[slot] = True, place
+            self.tries = max(self.tries, ((slot - first) & int(self.mask)) + 1)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the array of keys, whether it is there) of each key."""
+        slot = (mix(keys) >> self.shift).astype(np.int64)
+        at = self.places[slot]
+        there = self.keys[at] == keys
+        for _ in range(1, self.tries):
+            open_ = np.nonzero(~there & (at > 0))
+            if not len(open_[0]):
+                break
+            slot[open_] = (slot[open_] + 1) & self.mask
+            at[open_] = self.places[slot[open_]]
+            there[open_] = self.keys[at[open_]] == keys[open_]
+        return np.maximum(at - 1, 0), there
+
+
 class Pieces:
     """The pieces of a model file: ids and costs by text, ids of bytes, and texts by id."""
 
@@ -72,6 +105,7 @@ class Pieces:
                 own = (own * int(HASH_BASE) + ord(char) + 1) & 0xFFFFFFFFFFFFFFFF
             found.setdefault(len(piece), []).append((own, cost, number))
         self.by_length = {n: tuple(np.array(c, dtype=k) for c, k in zip(zip(*sorted(rows)), (np.uint64, np.int32, np.int32))) for n, rows in sorted(found.items())}
+        self.slots = {n: Slots(rows[0]) for n, rows in self.by_length.items()}
         self.powers = {n: np.uint64(pow(int(HASH_BASE), n, 1 << 64)) for n in self.by_length}
         self.bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else (t or "").replace(BLANK, " ").encode() for i, t in enumerate(self.text)]
 
@@ -191,12 +225,12 @@ def _forward(points: np.ndarray, table: Pieces) -> tuple[np.ndarray, np.ndarray,
     costs, ids, rows = {}, {}, {}
     inner = np.zeros((m, n), dtype=bool)
     inner[:, 1:] = points[:, 1:] == ord(BLANK)
-    for size, (keys, own_costs, own_ids) in table.by_length.items():
+    for size, (_, own_costs, own_ids) in table.by_length.items():
         if size > n:
             continue
         key = hashes[:, size:] - hashes[:, : n + 1 - size] * table.powers[size]
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        there = (keys[at] == key) & ~inner[:, : n + 1 - size]
+        at, there = table.slots[size].find(key)
+        there &= ~inner[:, : n + 1 - size]
         costs[size], ids[size] = np.where(there, own_costs[at], np.int32(far)), own_ids[at]
         if size > 1:
             for begin, count in enumerate(there.sum(axis=0).tolist()):
@@ -298,8 +332,13 @@ class Segmenter:
         if len(self.known) >= CACHE_WORDS:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
-        known.update((w, old[w]) for w in words if w in old and w not in known)
-        new = [w for w in words if w not in known]
+        new = []
+        for word in words:
+            if word not in known:
+                if word in old:
+                    known[word] = old[word]
+                else:
+                    new.append(word)
         tailed = [w for w in new if self._stands_alone(w)]
         apart = set(tailed)
         fronts = {w[:-1] for w in tailed}

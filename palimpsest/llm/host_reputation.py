@@ -75,12 +75,13 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule], url: str = "
     `outcomes` has a url and good (0/1) per labelled page; null outcomes are passed over. A null url, or one without `://`, has an
     empty host and path and is judged like any other host. Hosts are counted first, so a host with a
     third of all pages costs one row per task; the judged hosts are joined back to the pages.
-    Columns of `pages` named like the new ones are replaced.
+    Columns of `pages` named like the new ones are replaced; all others come back as they are.
     """
-    new = ("host", "path", "domain", "suffix", "rule", "labelled", "good", "verdict")
-    split = parts(pages.drop(*[c for c in new if c != url]), url)
+    new = ("host", "path", "rule", "labelled", "good", "verdict")
+    kept = [c for c in pages.columns if c not in new]
+    split = parts(pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{url}`").alias("url")), "url")
     known = parts(outcomes.select(F.col(outcome_url).alias("_u"), F.col(good).cast("int").alias("good")), "_u").select("host", "domain", "suffix", "good")
     judged = reputations(split.select("host", "domain", "suffix").distinct(), known)
     joined = split.join(judged.select("host", "labelled", "good", "bound"), "host").withColumn("_rule", rule_of(rules))
     own = F.when(F.col("bound") >= BOUND, "allow").otherwise("block")
-    return joined.withColumns({"rule": F.col("_rule.rule"), "verdict": F.coalesce(F.col("_rule.verdict"), own)}).drop("_rule", "bound", "domain", "suffix")
+    return joined.select("row.*", "host", "path", F.col("_rule.rule").alias("rule"), "labelled", "good", F.coalesce(F.col("_rule.verdict"), own).alias("verdict"))

@@ -110,8 +110,9 @@ def score(documents: DataFrame, model: Model, text: str = "text", name: str = "s
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
     others = [c for c in documents.columns if c not in (text, name)]
-    slim = documents.select(*others, F.col(text).alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("_text").schema.fields)
+    last = "_" * (1 + max(map(len, documents.columns)))  # a name that no column has
+    slim = documents.select(*[F.col(f"`{c}`") for c in others], F.col(text).alias(last))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value

@@ -54,28 +54,31 @@ def derivatives(records: DataFrame) -> DataFrame:
     `records` has record_id, target_uri, date, block. The metadata record lists the source's status line,
     header lines and digests as warc-fields; the conversion record holds the payload as plain text. A null
     block is empty: no status, no headers and an empty text. A block without an empty line is all head.
-    Repeated rows give repeated records. Nothing is shuffled.
+    Repeated rows give repeated records. Columns of `records` named like the new ones are replaced. Nothing is shuffled.
     """
+    new = ("block", "warc_type", "content_type", "derived_id", "refers_to", "block_digest", "source_digest", "payload_digest", "headers")
+    records = records.drop(*[c for c in new if c != "block"])
+    head, payload, kind = ("_" * (i + max(map(len, records.columns))) for i in (1, 2, 3))  # names that no column has
     block = F.coalesce(F.col("block"), F.lit(""))
     cut = F.instr(block, CRLF + CRLF)
     parts = records.withColumns({
-        "_head": F.when(cut > 0, F.substring(block, F.lit(1), cut - 1)).otherwise(block),
-        "_payload": F.when(cut > 0, F.expr("substring(block, instr(block, '\\r\\n\\r\\n') + 4)")).otherwise(""),
+        head: F.when(cut > 0, F.substring(block, F.lit(1), cut - 1)).otherwise(block),
+        payload: F.when(cut > 0, F.expr("substring(block, instr(block, '\\r\\n\\r\\n') + 4)")).otherwise(""),
         "source_digest": F.concat(F.lit("sha256:"), F.sha2(block, 256)),
-    }).withColumn("payload_digest", F.concat(F.lit("sha256:"), F.sha2("_payload", 256)))
-    lines = F.split("_head", CRLF)
+    }).withColumn("payload_digest", F.concat(F.lit("sha256:"), F.sha2(payload, 256)))
+    lines = F.split(head, CRLF)
     fields = F.concat(
         F.lit("http-status: "), F.get(lines, F.lit(0)), F.lit(CRLF),
-        F.array_join(F.transform(F.slice(lines, 2, 1 << 20), lambda x: F.concat(F.lit("http-header: "), x, F.lit(CRLF))), ""),
+        F.array_join(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.concat(F.lit("http-header: "), x, F.lit(CRLF))), ""),
         F.lit("source-block-digest: "), F.col("source_digest"), F.lit(CRLF),
         F.lit("source-payload-digest: "), F.col("payload_digest"), F.lit(CRLF),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
-        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("_payload")).alias("block")),
+        F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col(payload)).alias("block")),
     )
-    kept = [c for c in records.columns if c not in ("block", "warc_type", "content_type")]
-    out = parts.select(*kept, "source_digest", "payload_digest", F.explode(kinds).alias("_r")).select(*kept, "source_digest", "payload_digest", "_r.*")
+    kept = [F.col(f"`{c}`") for c in records.columns if c != "block"]
+    out = parts.select(*kept, "source_digest", "payload_digest", F.explode(kinds).alias(kind)).select(*kept, "source_digest", "payload_digest", f"{kind}.*")
     out = out.withColumns({"derived_id": named_id(F.col("warc_type"), F.col("record_id")), "refers_to": F.col("record_id"), "block_digest": F.concat(F.lit("sha256:"), F.sha2("block", 256))})
     header = lambda name, value: F.concat(F.lit(f"{name}: "), value)
     return out.withColumn(

@@ -231,3 +231,19 @@ def test_repeated_rows_of_a_turn(spark, tmp_path):
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     frame.toPandas().to_parquet(str(tmp_path / "conversations.parquet"))
     assert difference(spark, str(tmp_path), QUERIES["op10_chat_log"], SQL["op10_chat_log"]) is None
+
+
+def test_columns_with_the_names_of_new_ones(spark):
+    names = ["page_id", "url", "bound", "_rule", "_url", "domain", "suffix", "n", "host", "verdict", "row"]
+    pages = spark.createDataFrame([(1, "http://a.com/x", *names[2:]), (2, None, *names[2:])], "page_id long, url string, " + ", ".join(f"`{n}` string" for n in names[2:]))
+    outcomes = spark.createDataFrame([("http://a.com/1", 1)], "url string, good int")
+    judged = host_reputation.judge(pages, outcomes, URL_RULES)
+    assert sorted(judged.columns) == sorted(["page_id", "url", "bound", "_rule", "_url", "domain", "suffix", "n", "row", "host", "path", "rule", "labelled", "good", "verdict"])
+    assert {(r["page_id"], r["host"], r["bound"], r["_rule"], r["domain"]) for r in judged.collect()} == {(1, "a.com", "bound", "_rule", "domain"), (2, "", "bound", "_rule", "domain")}
+    records = spark.createDataFrame([("<urn:1>", "u", "d", "HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>x", "h", "p", "s", 5)], "record_id string, target_uri string, date string, block string, _head string, _payload string, source_digest string, warc_type int")
+    made = warc.derivatives(records)
+    assert len(set(made.columns)) == len(made.columns) and {(r["_head"], r["_payload"]) for r in made.collect()} == {("h", "p")}
+    assert {r["source_digest"] for r in made.collect()} == {"sha256:" + hashlib.sha256(b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>x").hexdigest()}
+    assert warc.derivatives(records.limit(0)).count() == 0
+    scored = subword_classifier.score(spark.createDataFrame([("good", "t", "s", 1)], "text string, _text string, b string, score int"), subword_classifier.train([]))
+    assert scored.columns == ["_text", "b", "score"] and scored.first()["_text"] == "t"

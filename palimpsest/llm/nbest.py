@@ -15,12 +15,12 @@ from __future__ import annotations
 import heapq
 import math
 from array import array
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from palimpsest.llm.blocks import mix
@@ -28,7 +28,7 @@ from palimpsest.llm.blocks import mix
 BLANK = "▁"
 N_BEST = 4
 BYTE_COST = 12_000
-CACHE_WORDS = 80_000  # of each of the two generations a worker keeps
+CACHE_WORDS = 160_000  # of each of the two generations a worker keeps
 FAR = 1 << 60
 LATTICES = 4_000  # of words whose second best is near, kept by a worker
 MANY = 2_000  # words of one length that are settled together
@@ -67,36 +67,44 @@ class Slots:
         return np.maximum(at - 1, 0), there
 
 
-class Pieces:
-    """The pieces of a model file: ids and costs by text, ids of bytes, and texts by id."""
+def model_pieces(path: str) -> list:
+    """The pieces of a model file, by id: `piece` (the text) and `type` (1: normal, 6: a byte)."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as file:
+        model.ParseFromString(file.read())
+    return model.pieces
+
+
+class Decoder:
+    """Bytes of each id; all that decoding needs, so workers that only decode hold no more."""
 
     def __init__(self, path: str) -> None:
-        from sentencepiece import sentencepiece_model_pb2
+        made = {1: lambda text: text.replace(BLANK, " ").encode(), 6: lambda text: bytes([int(text[3:5], 16)])}
+        self.bytes = [made[p.type](p.piece) if p.type in made else b"" for p in model_pieces(path)]
+
+    def decode(self, ids: list[int]) -> str:
+        """The text that was encoded; the blank before its first word is dropped."""
+        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
+
+
+class Pieces:
+    """The pieces of a model file for encoding: ids and costs by text, and ids of bytes."""
 
-        model = sentencepiece_model_pb2.ModelProto()
-        with open(path, "rb") as file:
-            model.ParseFromString(file.read())
+    def __init__(self, path: str) -> None:
+        self.path = path
         self.cost: dict[str, tuple[int, int]] = {}
-        self.text: list[str | None] = []
-        self.byte_id, self.byte_of, rank = {}, {}, 0
-        for number, piece in enumerate(model.pieces):
-            self.text.append(piece.piece if piece.type == 1 else None)
+        self.byte_id, rank = {}, 0
+        for number, piece in enumerate(model_pieces(path)):
             if piece.type == 6:
                 self.byte_id[int(piece.piece[3:5], 16)] = number
-                self.byte_of[number] = int(piece.piece[3:5], 16)
             elif piece.type == 1 and BLANK not in piece.piece[1:]:
                 self.cost[piece.piece] = (round(1000 * math.log(rank + 2)), number)
                 rank += 1
         self.pairs = {a + b for p in self.cost for a, b in zip(p, p[1:])}
         #: Cost and id of each piece and, as None, every beginning of one: what is not here leads to no piece.
         self.ways: dict[str, tuple[int, int] | None] = {p[:i]: None for p in self.cost for i in range(1, len(p))} | self.cost
-        #: The same as a tree: a node is (nodes by next character, cost, id); the last two are None where no piece ends.
-        self.tree: list = [{}, None, None]
-        for piece, (cost, number) in self.cost.items():
-            node = self.tree
-            for char in piece:
-                node = node[0].setdefault(char, [{}, None, None])
-            node[1:] = cost, number
         #: Pieces by length: hashes in ascending order, with costs and ids. Hashes of 64 bits, each piece's checked to be its own.
         found: dict[int, list[tuple[int, int, int]]] = {}
         for piece, (cost, number) in self.cost.items():
@@ -107,11 +115,9 @@ class Pieces:
         self.by_length = {n: tuple(np.array(c, dtype=k) for c, k in zip(zip(*sorted(rows)), (np.uint64, np.int32, np.int32))) for n, rows in sorted(found.items())}
         self.slots = {n: Slots(rows[0]) for n, rows in self.by_length.items()}
         self.powers = {n: np.uint64(pow(int(HASH_BASE), n, 1 << 64)) for n in self.by_length}
-        self.bytes = [bytes([self.byte_of[i]]) if i in self.byte_of else (t or "").replace(BLANK, " ").encode() for i, t in enumerate(self.text)]
 
     def decode(self, ids: list[int]) -> str:
-        """The text that was encoded; the blank before its first word is dropped."""
-        return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return decoder(self.path).decode(ids)
 
     def of_bytes(self, char: str) -> tuple[int, tuple[int, ...]]:
         """Cost and ids of a character that no piece covers."""
@@ -124,6 +130,11 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 class Lattice:
     """Pieces of a word ending at each place: (begin, cost, ids), and Viterbi costs from the beginning.
 
@@ -153,20 +164,19 @@ def two_best(word: str, table: Pieces) -> tuple[bytes, int, int]:
     """The cheapest segmentation (ids as little-endian 32-bit bytes), its cost, and how much more the second best costs.
 
     Forward Viterbi that keeps the two least costs at each place; of equal ways the one whose last piece
-    begins first is taken. Pieces that begin at a place are met by one walk down the tree of all pieces.
+    begins first is taken. From each place on, ever longer parts are looked up until no piece begins like that.
     """
-    n = len(word)
+    n, ways = len(word), table.ways
     least, second = [0] + [FAR] * n, [FAR] * (n + 1)
     back: list = [None] * (n + 1)
     for begin in range(n):
-        here, other, single, end, node = least[begin], second[begin], False, begin, table.tree
-        for char in word[begin:] if begin == 0 or word[begin] != BLANK else ():
-            node = node[0].get(char)
-            if node is None:
+        here, other, single = least[begin], second[begin], False
+        for end in range(begin + 1, n + 1) if begin == 0 or word[begin] != BLANK else ():
+            found = ways.get(word[begin:end], False)
+            if found is False:
                 break
-            end += 1
-            _, more, ids = node
-            if more is not None:
+            if found:
+                more, ids = found
                 cost = here + more
                 if end == begin + 1:
                     single = True
@@ -316,16 +326,18 @@ class Segmenter:
     def __init__(self, path: str, n: int = N_BEST) -> None:
         self.table, self.n = pieces(path), n
         self.lattice = lru_cache(maxsize=LATTICES)(lambda word: Lattice(BLANK + word, self.table))
+        self.last = lru_cache(maxsize=LATTICES)(self._last)
         self.known: dict[str, tuple[bytes, int, int]] = {}
         self.old: dict[str, tuple[bytes, int, int]] = {}
 
-    def _stands_alone(self, word: str) -> bool:
-        """Does no piece reach across to the last character."""
-        return len(word) > 1 and word[-1] != BLANK and word[-2:] not in self.table.pairs
+    def _last(self, char: str) -> tuple[int, bytes]:
+        """Cost and ids of a character by itself."""
+        cost, ids = self.table.cost[char] if char in self.table.cost else self.table.of_bytes(char)
+        return cost, array("I", [ids] if type(ids) is int else ids).tobytes()
 
     def _with_last(self, word: str, front: tuple[bytes, int, int]) -> tuple[bytes, int, int]:
-        cost, ids = self.table.cost[word[-1]] if word[-1] in self.table.cost else self.table.of_bytes(word[-1])
-        return front[0] + array("I", [ids] if type(ids) is int else ids).tobytes(), front[1] + cost, front[2]
+        cost, ids = self.last(word[-1])
+        return front[0] + ids, front[1] + cost, front[2]
 
     def learn(self, words: Iterable[str]) -> None:
         """Settles all new words of a batch together."""
@@ -339,7 +351,8 @@ class Segmenter:
                     known[word] = old[word]
                 else:
                     new.append(word)
-        tailed = [w for w in new if self._stands_alone(w)]
+        pairs = self.table.pairs  # where no piece reaches across to the last character, that stands alone
+        tailed = [w for w in new if len(w) > 1 and w[-2:] not in pairs and w[-1] != BLANK]
         apart = set(tailed)
         fronts = {w[:-1] for w in tailed}
         known.update((w, old[w]) for w in fronts if w in old and w not in known)
@@ -347,34 +360,25 @@ class Segmenter:
         known.update(zip(whole, two_best_of_many([BLANK + w for w in whole], self.table)))
         known.update((w, self._with_last(w, known[w[:-1]])) for w in tailed)
 
-    def _word(self, word: str) -> tuple[bytes, int, int]:
-        found = self.old.get(word)
-        if found is None:
-            found = self._with_last(word, two_best(BLANK + word[:-1], self.table)) if self._stands_alone(word) else two_best(BLANK + word, self.table)
-        self.known[word] = found
-        return found
-
     def encode(self, text: str | None) -> list[tuple[int, bytes]]:
         """The n best segmentations of a whole text: (cost, ids as bytes), cheapest first; fewer if there are no more."""
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str | None]) -> list[list[tuple[int, bytes]]]:
         """The same of several texts: each different word is looked up once."""
-        number: defaultdict[str, int] = defaultdict()
-        number.default_factory = number.__len__
-        numbered = [list(map(number.__getitem__, t.split(" "))) if t else None for t in texts]
-        self.learn(number.keys())
-        different = list(number)
-        values = [self.known.get(w) or self._word(w) for w in different]
-        whole, costs, more = zip(*values) if values else ((), (), ())
+        given = pa.array(texts, pa.large_string())
+        split = pc.split_pattern(pc.fill_null(given, ""), " ")
+        coded = split.values.dictionary_encode()
+        numbers, ends, different = coded.indices.to_numpy(), split.offsets.to_numpy().tolist(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(different)
+        whole, costs, more = zip(*map(self.known.__getitem__, different)) if different else ((), (), ())
         tables = np.array(costs, dtype=np.int64), np.array(more, dtype=np.int64)
-        return [[(0, b"")] if words is None else self._best(words, different, whole, *tables) for words in numbered]
+        return [self._best(numbers[a:b], different, whole, *tables) if t else [(0, b"")] for t, a, b in zip(texts, ends, ends[1:])]
 
-    def _best(self, words: list[int], different: list[str], whole: tuple[bytes, ...], costs: np.ndarray, more: np.ndarray) -> list[tuple[int, bytes]]:
+    def _best(self, places: np.ndarray, different: list[str], whole: tuple[bytes, ...], costs: np.ndarray, more: np.ndarray) -> list[tuple[int, bytes]]:
         """The n best of one text, given as numbers of its words."""
-        places = np.array(words)
-        cost, extra, parts, near, least = int(costs[places].sum()), more[places], list(map(whole.__getitem__, words)), [], FAR
-        for _ in range(min(self.n - 1, len(words))):  # the words with the least extra costs; of equal ones the first
+        cost, extra, parts, near, least = int(costs[places].sum()), more[places], list(map(whole.__getitem__, places.tolist())), [], FAR
+        for _ in range(min(self.n - 1, len(places))):  # the words with the least extra costs; of equal ones the first
             at = int(extra.argmin())
             if extra[at] >= FAR // 2:
                 break
@@ -384,7 +388,7 @@ class Segmenter:
         if not near:
             return [(cost, b"".join(parts))]
         near.sort()
-        lattices = [self.lattice(different[words[i]]) for i in near]
+        lattices = [self.lattice(different[places[i]]) for i in near]
         own = sum(x.best[-1] for x in lattices)
         base, out = cost - own, []
         # The best one, and each word's second best alone, are len(near) + 1 segmentations.
@@ -436,7 +440,7 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", name: str = "text")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.select(*others).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(model)
+        table = decoder(model)
         for batch in batches:
             lists = batch.column(at)
             ends, flat, valid = lists.offsets.to_numpy(), lists.values.to_numpy(), lists.is_valid().to_pylist()

@@ -95,6 +95,16 @@ def _all(conditions: list[Condition]) -> Column:
     return out
 
 
+def _tightest(conditions: list[Condition]) -> list[Condition]:
+    """Without conditions that another one on the same side of the same feature implies."""
+    least: dict[tuple[str, bool], Condition] = {}
+    for c in conditions:
+        own = least.get((c.feature, c.at_least))
+        if own is None or (c.value > own.value) == c.at_least:
+            least[c.feature, c.at_least] = c
+    return [c for c in conditions if least[c.feature, c.at_least] is c]
+
+
 def _gain(p: int, n: int, p0: int, n0: int) -> float:
     """Information a condition adds for the rows it keeps."""
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
@@ -104,13 +114,15 @@ def learn(labelled: DataFrame, features: tuple[str, ...] = FEATURES, bad: str =
     """Rules (conjunctions) that single out rows with `bad` = true, in the order found.
 
     Rows with fold 0 prune and judge, the others grow. All labelled rows count; what reaches the
-    driver are counts per feature and threshold. Null labels or features are passed over. Without rows
-    of both kinds there are no rules.
+    driver are counts per feature and threshold. Thresholds are exact quantiles, reckoned from counts per
+    value (whole numbers, so there are far fewer values than rows): how rows lie in partitions changes nothing.
+    Of equal gains the first feature, the smallest threshold and >= go first. Null labels or features are
+    passed over. Without rows of both kinds there are no rules.
     """
     rows = labelled.select(*features, F.col(bad).cast("int").alias("bad"), (F.col(fold) == 0).alias("judge")).na.drop()
     probabilities = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
-    found = rows.agg(*[F.percentile_approx(f, probabilities, 1000).alias(f) for f in features]).first()
-    cuts = {f: sorted(set(found[f] or [])) for f in features}
+    found = rows.agg(*[F.percentile(f, probabilities).alias(f) for f in features]).first()
+    cuts = {f: sorted({math.ceil(x) for x in found[f] or []}) for f in features}
     bins = F.array(*[sum((F.when(F.col(f) >= c, 1).otherwise(0) for c in cuts[f]), F.lit(0)) for f in features])
     rows = durable(rows.withColumn("bins", bins))
     rules: list[list[Condition]] = []
@@ -143,8 +155,8 @@ def learn(labelled: DataFrame, features: tuple[str, ...] = FEATURES, bad: str =
         p, n = worth[k]
         if p < MIN_COVER or p < MIN_PRECISION * (p + n):
             break
-        rules.append(rule[:k])
-        left = left & ~_all(rule[:k])
+        rules.append(_tightest(rule[:k]))
+        left = left & ~_all(rules[-1])
     return rules
 
 

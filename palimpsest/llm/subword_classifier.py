@@ -8,6 +8,7 @@ adding these numbers.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TRAIN_ROWS = 4000  # labelled texts taken for training, spread by a hash of their ids
-TRAIN_BYTES = 40_000  # longer texts are not taken for training; they are scored like all others
+SENT_BYTES = 40_000  # longer texts of the sample are counted in tasks and reach the driver as counts per bucket
 BUCKETS = 1 << 15
 DIMENSIONS = 8
 GRAMS = (2, 3, 4)  # lengths of character n-grams, with < and > around the word
@@ -31,6 +32,20 @@ def grams(word: str) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "replace")) % BUCKETS for x in data]
 
 
+def counts(text: str | None, cache: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and how often each occurs. Words are counted first, so memory grows with different ones only."""
+    total = np.zeros(BUCKETS, dtype=np.int64)
+    for word, times in Counter((text or "").split()).items():
+        known = cache.get(word)
+        if known is None:
+            if len(cache) >= CACHE_WORDS:
+                cache.clear()
+            known = cache[word] = grams(word)
+        np.add.at(total, known, times)
+    buckets = np.flatnonzero(total)
+    return buckets, total[buckets]
+
+
 def features(text: str | None, cache: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
     found: list[int] = []
@@ -51,10 +66,11 @@ class Model:
     bias: float
 
 
-def train(rows: list[tuple[str | None, int]], seed: int = 7) -> Model:
-    """A model of (text, label 0/1) rows. Without rows it says one half of everything."""
+def train(rows: list[tuple[str | None | tuple[np.ndarray, np.ndarray], int]], seed: int = 7) -> Model:
+    """A model of (text, label 0/1) rows; a text may also be given as its `counts`. Without rows it says one half of everything."""
     cache: dict[str, list[int]] = {}
-    data = [(*features(text, cache), label) for text, label in rows]
+    given = [((text[0], text[1] / max(1, text[1].sum())) if isinstance(text, tuple) else features(text, cache), label) for text, label in rows]
+    data = [(*found, label) for found, label in given]
     random = np.random.default_rng(seed)
     embedding = random.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS))
     output, bias = np.zeros((DIMENSIONS, 2)), np.zeros(2)
@@ -92,13 +108,36 @@ class _WordScores(dict):
         return value
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id: str, label: str, rows: int = TRAIN_ROWS) -> list[tuple[str, int]]:
-    """At most `rows` labelled texts of at most TRAIN_BYTES, by the hash of their ids."""
-    marked = labels.select(F.col(label_id).alias("_id"), F.col(label).alias("_label")).where("_label in (0, 1) and _id is not null")
-    chosen = marked.distinct().orderBy(F.xxhash64("_id"), "_id", "_label").limit(2 * rows)
-    plain = documents.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).where(F.octet_length("_text") <= TRAIN_BYTES)
-    sample = plain.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id", "_label", F.xxhash64("_text")).limit(rows)
-    return [(r["_text"], r["_label"]) for r in sample.collect()]
+def training_rows(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id: str, label: str, rows: int = TRAIN_ROWS) -> list[tuple[str | tuple[np.ndarray, np.ndarray], int]]:
+    """At most `rows` labelled texts, by the hash of their ids; texts beyond SENT_BYTES as their `counts`.
+
+    Labels meet the ids of documents before the sample is drawn, so labels of other documents take no place in it.
+    Null ids, null texts and labels other than 0 and 1 teach nothing; an id with both labels teaches both, repeated rows
+    of a document count as often as they stand there. A row of the sample takes at most 8 bytes per bucket on its way.
+    """
+    marked = labels.select(F.col(f"`{label_id}`").alias("_id"), F.col(f"`{label}`").alias("_label")).where("_label in (0, 1) and _id is not null")
+    plain = documents.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text")).where("_text is not null")
+    chosen = marked.distinct().join(plain.select("_id"), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id", "_label").limit(rows)
+    sample = plain.join(F.broadcast(chosen), "_id").select("_id", F.col("_label").cast("int").alias("_label"), F.xxhash64("_text").alias("_hash"), "_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, list[int]] = {}
+        for batch in batches:
+            texts, found = batch.column(3), []
+            for i in range(len(batch)):
+                own = texts[i].as_py()
+                long = len(own.encode("utf-8", "replace")) > SENT_BYTES
+                buckets, times = counts(own, cache) if long else (None, None)
+                found.append((None, buckets.astype("<u4").tobytes(), times.astype("<u4").tobytes()) if long else (own, None, None))
+            kinds = (pa.string(), pa.binary(), pa.binary())
+            columns = [pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["_id", "_label", "_hash", "_text", "_buckets", "_counts"])
+
+    kind = sample.schema["_id"].dataType.simpleString()
+    slim = sample.mapInArrow(run, f"_id {kind}, _label int, _hash bigint, _text string, _buckets binary, _counts binary")
+    read = lambda data: np.frombuffer(bytes(data), "<u4").astype(np.int64)
+    ordered = slim.orderBy(F.xxhash64("_id"), "_id", "_label", "_hash").limit(rows).collect()
+    return [(r["_text"] if r["_buckets"] is None else (read(r["_buckets"]), read(r["_counts"])), r["_label"]) for r in ordered]
 
 
 def score(documents: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:

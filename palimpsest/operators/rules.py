@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.operators.aggregates import count_where, duplicates
+from palimpsest.session import large
 
 # Constraint kinds of the model.
 CONSTRAINT_KINDS = ("pk", "unique", "check", "fk")
@@ -97,12 +98,12 @@ def known_columns(members: DataFrame, table: Sequence[str], member_id: Column, c
     """Columns named by keys and indexes exist in their table."""
     named = members.select(*table, member_id.alias("_id"), F.explode(columns).alias("_column"))
     there = live.select(*table, F.col(name).alias("_column"))
-    return violations(named.join(there, [*table, "_column"], "left_anti"), "known_column", F.col("_id"), columns, F.col("_column"))
+    return violations(named.join(large(there, [*table, "_column"]), [*table, "_column"], "left_anti"), "known_column", F.col("_id"), columns, F.col("_column"))
 
 
 def known_parent(members: DataFrame, table: Sequence[str], member_id: Column, tables: DataFrame) -> DataFrame:
     """The table of an index exists."""
-    return violations(members.join(tables, list(table), "left_anti"), "known_parent", member_id, table[-1], F.col(table[-1]))
+    return violations(members.join(large(tables, table), list(table), "left_anti"), "known_parent", member_id, table[-1], F.col(table[-1]))
 
 
 def fk_arity(constraints: DataFrame, constraint_id: Column, columns: str, referenced: str, kind: str = "contype") -> DataFrame:
@@ -120,7 +121,7 @@ def fk_target(constraints: DataFrame, constraint_id: Column, referenced_table: s
 
 def has_members(parents: DataFrame, keys: Sequence[str], parent_id: Column, members: DataFrame, what: str) -> DataFrame:
     """A table has columns; an enum has values."""
-    return violations(parents.join(members, list(keys), "left_anti"), "has_members", parent_id, what, "none")
+    return violations(parents.join(large(members, keys), list(keys), "left_anti"), "has_members", parent_id, what, "none")
 
 
 def sequence_rules(df: DataFrame, sequence_id: Column, data_type: str = "data_type", increment: str = "increment") -> DataFrame:

@@ -1,6 +1,6 @@
 """Joins and groups that grow with the data are dealt out by key: nothing large is sent through the driver or held by one task."""
 
-from palimpsest.operators import rules as C
+from palimpsest.operators import governance as G, rules as C, versions as V
 from pyspark.sql import functions as F
 
 
@@ -17,3 +17,18 @@ def test_known_columns_are_merged_not_sent(spark):
     parents = C.known_parent(members, ["ns", "tab"], F.col("id"), live.select("ns", "tab").distinct())
     assert sorted(r.object_id for r in parents.collect()) == ["i2", "i3"]
     assert "Broadcast" not in plan(parents)
+
+
+def test_gates_are_merged_and_differences_stay_spread(spark):
+    left = spark.createDataFrame([(i, i % 3, "x" * 40) for i in range(60)], "k bigint, v int, t string")
+    right = left.where("k <> 7").withColumn("v", F.expr("if(k % 10 = 0, -1, v)"))
+    changes = V.change_set(left, right, ["k"])
+    assert sorted((r.k, r.kind) for r in changes.collect()) == [(0, "changed"), (7, "removed"), *((i, "changed") for i in range(10, 60, 10))]
+    assert changes.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    risky = G.classify_risk(changes).withColumn("scope", F.col("k") % 2)
+    passed = G.gate(risky, ["scope"])
+    assert sorted(r.k for r in passed.collect()) == [0, 10, 20, 30, 40, 50] and "Broadcast" not in plan(passed)
+    odd = G.gate(risky.withColumn("scope", F.when(F.col("k") > 30, F.lit(1)).when(F.col("kind") == "removed", F.lit(1))), ["scope"])
+    assert sorted(r.k for r in odd.collect()) == [0, 10, 20, 30]
+    patched = V.apply_diff(left, changes, ["k"])
+    assert patched.exceptAll(right).isEmpty() and patched.count() == right.count() and "BroadcastHashJoin" not in plan(patched)

@@ -1,6 +1,10 @@
 """Joins and groups that grow with the data are dealt out by key: nothing large is sent through the driver or held by one task."""
 
 from palimpsest.operators import governance as G, rules as C, versions as V
+from palimpsest.operators.aggregates import distinct_sorted, nest, with_lists
+from palimpsest.operators.groups import lists_in_group, rank_in_group
+from palimpsest.operators.relational import resolve_by_priority
+from palimpsest.plans.corpus import _statements
 from pyspark.sql import functions as F
 
 
@@ -32,3 +36,44 @@ def test_gates_are_merged_and_differences_stay_spread(spark):
     assert sorted(r.k for r in odd.collect()) == [0, 10, 20, 30]
     patched = V.apply_diff(left, changes, ["k"])
     assert patched.exceptAll(right).isEmpty() and patched.count() == right.count() and "BroadcastHashJoin" not in plan(patched)
+
+
+def test_lists_and_ranks_stay_spread(spark):
+    rows = spark.createDataFrame([(i % 20 or None, i // 2, f"v{i % 4}") for i in range(80)], "k bigint, o bigint, v string")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists = lists_in_group(rows, ["k"], F.col("v"), ["o"], "vs")
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.o, r.v)):
+        want.setdefault(r.k, []).append(r.v)
+    assert {r.k: r.vs for r in lists.collect()} == want and lists.rdd.getNumPartitions() == tasks
+    assert "partial_collect_list" not in plan(lists).split("Exchange")[-1]
+    assert rank_in_group(rows, ["k"], ["o"]).rdd.getNumPartitions() == tasks
+
+
+def test_nested_parents_are_merged(spark):
+    parents = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "k bigint")
+    a = spark.createDataFrame([(1, "x"), (1, "w"), (2, "y"), (9, "z")], "k bigint, id string")
+    b = spark.createDataFrame([(2, "p"), (2, "p")], "k bigint, id string")
+    for limit, one in ((None, ["w", "x"]), (5, ["w", "x"])):
+        found = nest(parents, ["k"], limit, a=(a, F.col("id"), ["id"]), b=(b, F.col("id"), ["id"]))
+        assert found.columns == ["k", "part", "a", "b"]
+        assert sorted((r.k, r.part, r.a, r.b) for r in found.collect()) == [(1, 0, one, []), (1, 0, one, []), (2, 0, ["y"], ["p", "p"]), (3, 0, [], [])]
+        assert "Broadcast" not in plan(found)
+    parted = nest(parents, ["k"], 1, a=(a, F.col("id"), ["id"]), b=(b, F.col("id"), ["id"]))
+    assert sorted((r.k, r.part, r.a, r.b) for r in parted.distinct().collect()) == [(1, 0, ["w"], []), (1, 1, ["x"], []), (2, 0, ["y"], ["p"]), (2, 1, [], ["p"]), (3, 0, [], [])]
+
+
+def test_resolved_names_are_merged(spark):
+    refs = spark.createDataFrame([("s", "v1", "a"), ("s", "v1", "b"), ("s", "v2", "none")], "s string, id string, name string")
+    known = spark.createDataFrame([("s", "x:a"), ("s", "y:a"), ("s", "y:b"), ("o", "x:none")], "s string, key string")
+    tried = F.array(F.concat(F.lit("x:"), "name"), F.concat(F.lit("y:"), "name"))
+    found = resolve_by_priority(refs, ["id", "name"], tried, known, ["s"], "key")
+    assert sorted((r.id, r.resolved) for r in found.collect()) == [("v1", "x:a"), ("v1", "y:b")] and "Broadcast" not in plan(found)
+    lists = distinct_sorted(found, ["id"], "resolved", "to")
+    whole = with_lists(refs.select("id").distinct(), lists, ["id"], "to")
+    assert sorted((r.id, r.to) for r in whole.collect()) == [("v1", ["x:a", "y:b"]), ("v2", [])] and "BroadcastHashJoin" not in plan(whole)
+
+
+def test_statements_are_dealt_out_before_they_are_unfolded(spark, tmp_path):
+    spark.range(40).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert _statements(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,7 +11,8 @@ Rounds are written to the checkpoint folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
@@ -33,6 +34,31 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _per_group(rows: DataFrame, keys: Sequence[str], work: Callable[[tuple, list[tuple]], Iterator[tuple]], schema: T.StructType) -> DataFrame:
+    """`work` of the key and the rows (other columns) of each group. Groups come in batches: there may be very many small ones."""
+    arrow, width = to_arrow_schema(schema), len(keys)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+        own, held = None, []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:width] != own:
+                    if held:
+                        yield own, held
+                    own, held = row[:width], []
+                held.append(row[width:])
+        if held:
+            yield own, held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (row for key, own in groups(batches) for row in work(key, own))
+        while chunk := list(islice(found, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*chunk), arrow.types)], schema=arrow)
+
+    shaped = rows.select(*keys, *[c for c in rows.columns if c not in keys])
+    return shaped.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def heights(edges: DataFrame, seen: Rounds) -> DataFrame:
     """repo_id, sha, height: steps along first parents, by pointer doubling; on a cycle some number."""
     first = edges.groupBy("repo_id", F.col("child").alias("sha")).agg(F.min_by("parent", F.struct("idx", "parent")).alias("to"))
@@ -69,24 +95,22 @@ def distances(edges: DataFrame, starts: DataFrame, within: int | None, size: int
     begun = starts.join(places.withColumnRenamed("sha", "start"), ["repo_id", "start"], "left")
     fresh = durable(begun.select("repo_id", "start", F.coalesce("section", zero).alias("section"), F.col("start").alias("sha"), zero.alias("depth")))
     schema = T.StructType([*fresh.schema.fields, T.StructField("inside", T.BooleanType())])
-    arrow = to_arrow_schema(schema)
     none = F.lit(None).cast("string")
 
-    def run(group: pa.Table) -> pa.Table:
-        repo, start, own = (group[c][0].as_py() for c in ("repo_id", "start", "section"))
+    def carry(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        repo, start, own = key
         parents: dict[str, list[tuple[str, int]]] = {}
         held: dict[str, int] = {}
         new: dict[str, int] = {}
-        for kind, sha, parent, number in zip(*[group[c].to_pylist() for c in ("kind", "sha", "parent", "number")]):
+        for kind, sha, parent, number in rows:
             if kind == 0:
                 parents.setdefault(sha, []).append((parent, number))
             else:
                 known = held if kind == 1 else new
                 known[sha] = min(number, known.get(sha, number))
         found, offers = relax(parents, held, new, own, within)
-        rows = [(own, n, d, True) for n, d in found.items()] + [(s, n, d, False) for (s, n), d in offers.items()]
-        columns = [[repo] * len(rows), [start] * len(rows), *([r[i] for r in rows] for i in range(4))]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
+        yield from ((repo, start, own, n, d, True) for n, d in found.items())
+        yield from ((repo, start, s, n, d, False) for (s, n), d in offers.items())
 
     key, best = ["repo_id", "start", "section", "sha"], F.min("depth").alias("depth")
     labels, pieces = fresh.limit(0), 0
@@ -96,7 +120,7 @@ def distances(edges: DataFrame, starts: DataFrame, within: int | None, size: int
         held = labels.join(active, ["repo_id", "start", "section"], "left_semi")
         known = [x.select("repo_id", "start", "section", F.lit(kind).alias("kind"), "sha", none.alias("parent"), F.col("depth").alias("number")) for kind, x in ((1, held), (2, fresh))]
         rows = links.unionByName(known[0]).unionByName(known[1])
-        out = durable(rows.groupBy("repo_id", "start", "section").applyInArrow(run, schema))
+        out = durable(_per_group(rows, ["repo_id", "start", "section"], carry, schema))
         seen("distance")
         labels, pieces = labels.unionByName(out.where("inside").drop("inside")), pieces + 1
         if pieces == MAX_PIECES:
@@ -129,20 +153,17 @@ def ranks(edges: DataFrame, labels: DataFrame, size: int, seen: Rounds) -> DataF
     links = durable(_blocks(tight.select(*walk, "depth", "child", F.col("idx").cast("int").alias("idx"), "parent"), size))
     blocks = sorted(r["block"] for r in links.select("block").distinct().collect())
     schema = T.StructType([*labels.select(*walk, "sha", "depth").schema.fields, T.StructField("place", T.LongType()), T.StructField("last", T.BooleanType())])
-    arrow = to_arrow_schema(schema)
 
-    def run(group: pa.Table) -> pa.Table:
-        repo, start = group["repo_id"][0].as_py(), group["start"][0].as_py()
+    def place(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         listed, entry = [], {}
-        for kind, depth, child, idx, parent in zip(*[group[c].to_pylist() for c in ("kind", "depth", "child", "idx", "parent")]):
+        for kind, depth, child, idx, parent in rows:
             if kind == 0:
                 listed.append((depth, child, idx, parent))
             else:
                 entry[child] = idx
-        rows = ordered(listed, entry)
-        last = rows[-1][0] if rows else 0
-        columns = [[repo] * len(rows), [start] * len(rows), [n for _, n in rows], [d + 1 for d, _ in rows], list(range(1, len(rows) + 1)), [d == last for d, _ in rows]]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
+        found = ordered(listed, entry)
+        last = found[-1][0] if found else 0
+        yield from ((*key, n, d + 1, i, d == last) for i, (d, n) in enumerate(found, 1))
 
     zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
     roots = labels.where("depth = 0").select(*walk, "sha", "depth", F.lit(1).cast("bigint").alias("place"), F.lit(True).alias("last"))
@@ -152,7 +173,7 @@ def ranks(edges: DataFrame, labels: DataFrame, size: int, seen: Rounds) -> DataF
         entry = border.select(*walk, F.lit(1).alias("kind"), F.col("depth"), F.col("sha").alias("child"), F.col("place").cast("int").alias("idx"), none.alias("parent"))
         asked = _few(own.select(*walk).distinct())
         rows = own.select(*walk, F.lit(0).alias("kind"), "depth", "child", "idx", "parent").unionByName(entry.join(asked, walk, "left_semi"))
-        out = durable(rows.groupBy(*walk).applyInArrow(run, schema))
+        out = durable(_per_group(rows, walk, place, schema))
         seen("order")
         done.append(out.withColumn("block", F.lit(block).cast("bigint")))
         border = out.where("last")

@@ -1,11 +1,11 @@
 """Joins and groups that grow with the data are dealt out by key: nothing large is sent through the driver or held by one task."""
 
-from palimpsest.operators import governance as G, rules as C, versions as V
+from palimpsest.operators import governance as G, rules as C, sections, versions as V
 from palimpsest.operators.aggregates import distinct_sorted, nest, with_lists
 from palimpsest.operators.groups import lists_in_group, rank_in_group
 from palimpsest.operators.relational import resolve_by_priority
 from palimpsest.plans.corpus import _statements
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 
 def plan(df):
@@ -77,3 +77,12 @@ def test_resolved_names_are_merged(spark):
 def test_statements_are_dealt_out_before_they_are_unfolded(spark, tmp_path):
     spark.range(40).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     assert _statements(spark, str(tmp_path)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_many_small_groups_go_in_batches(spark):
+    rows = spark.createDataFrame([(i % 7 or None, f"s{i % 3}", i) for i in range(210)], "repo_id bigint, start string, number bigint")
+    schema = T.StructType.fromDDL("repo_id bigint, start string, total bigint, n int")
+    found = sections._per_group(rows, ["repo_id", "start"], lambda key, own: iter([(*key, sum(x for x, in own), len(own))]), schema)
+    want = rows.groupBy("repo_id", "start").agg(F.sum("number").alias("total"), F.count("*").cast("int").alias("n"))
+    assert found.count() == 21 and found.exceptAll(want).isEmpty()
+    assert sections._per_group(rows.limit(0), ["repo_id", "start"], lambda key, own: iter([(*key, 0, 0)]), schema).isEmpty()

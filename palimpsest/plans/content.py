@@ -11,6 +11,7 @@ from palimpsest.functions.texts import collapse_space, screen_text
 from palimpsest.operators.corpus import name_collisions, split_arguments
 from palimpsest.operators.fingerprints import bucket_hashes, group_hash, table_hash
 from palimpsest.plans.inputs import BROKEN_SQL, CATALOG_SQL, HISTORY_SQL, VERSIONS_SQL, Registry, broken, catalog, encoded, history, listed, scratch, table, versions
+from palimpsest.session import durable
 from palimpsest.sources.catalog import read_catalog, write_catalog
 from palimpsest.sources.commits import read_commits, verify_commits, with_commit_ids, write_commits
 from palimpsest.sources.conflicts import read_conflicts, write_conflicts
@@ -147,7 +148,7 @@ _COMMIT_HASH = f"sha256({encoded(*_PAYLOAD)})"
 def s4_round_trip(spark, sf):
     """Commits written twice, read back, and checked against their hashes."""
     path = scratch(spark, "commits")
-    commits = with_commit_ids(_commit_rows(spark, sf), "Asia/Tokyo")[0]
+    commits = durable(with_commit_ids(_commit_rows(spark, sf), "Asia/Tokyo")[0])
     for _ in range(2):
         write_commits(commits, path)
     back = read_commits(spark, path)
@@ -158,7 +159,7 @@ def s4_round_trip(spark, sf):
 def s4_some(spark, sf):
     """Commits asked for by hash come from their prefix folders."""
     path = scratch(spark, "commits")
-    commits = with_commit_ids(_commit_rows(spark, sf), "Asia/Tokyo")[0]
+    commits = durable(with_commit_ids(_commit_rows(spark, sf), "Asia/Tokyo")[0])
     write_commits(commits, path)
     return read_commits(spark, path, commits.where("sha like '0%'").select("sha")).select("sha", "author")
 

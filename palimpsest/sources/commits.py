@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from palimpsest.functions.encoding import content_id, empty_as_absent
 from palimpsest.functions.names import is_hash
+from palimpsest.session import durable
 
 PAYLOAD = ["parents", "schema_hash", "migration_id", "author", "ts", "message", "risk_level"]
 
@@ -34,13 +35,14 @@ def verify_commits(commits: DataFrame) -> DataFrame:
 def write_commits(commits: DataFrame, path: str) -> None:
     """Append commits, partitioned by hash prefix."""
     prefixed = commits.withColumn("prefix", F.substring("sha", 1, 2))
-    prefixed.hint("rebalance", F.col("prefix")).write.mode("append").partitionBy("prefix").parquet(path)
+    prefixed.hint("rebalance", F.col("prefix")).write.mode("append").option("compression", "zstd").partitionBy("prefix").parquet(path)
 
 
 def read_commits(spark: SparkSession, path: str, shas: DataFrame | None = None) -> DataFrame:
     """Stored commits, each once however often it was written; of `shas` (column `sha`) only these, from their prefix folders."""
     stored = spark.read.parquet(path)
     if shas is not None:
-        wanted = shas.select("sha", F.substring("sha", 1, 2).alias("prefix")).distinct()
-        stored = stored.join(wanted, ["prefix", "sha"], "left_semi")
+        wanted = durable(shas.select("sha", F.substring("sha", 1, 2).alias("prefix")).distinct())
+        folders = [r["prefix"] for r in wanted.select("prefix").distinct().collect()]  # two digits: at most 256
+        stored = stored.where(F.lpad(F.col("prefix").cast("string"), 2, "0").isin(folders)).join(wanted.select("sha"), "sha", "left_semi")
     return stored.drop("prefix").dropDuplicates(["sha"])

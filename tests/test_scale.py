@@ -1,10 +1,14 @@
 """Joins and groups that grow with the data are dealt out by key: nothing large is sent through the driver or held by one task."""
 
+import re
+from datetime import datetime
+
 from palimpsest.operators import governance as G, rules as C, sections, versions as V
 from palimpsest.operators.aggregates import distinct_sorted, nest, with_lists
 from palimpsest.operators.groups import lists_in_group, rank_in_group
 from palimpsest.operators.relational import resolve_by_priority
 from palimpsest.plans.corpus import _statements
+from palimpsest.sources.commits import read_commits, with_commit_ids, write_commits
 from pyspark.sql import functions as F, types as T
 
 
@@ -86,3 +90,17 @@ def test_many_small_groups_go_in_batches(spark):
     want = rows.groupBy("repo_id", "start").agg(F.sum("number").alias("total"), F.count("*").cast("int").alias("n"))
     assert found.count() == 21 and found.exceptAll(want).isEmpty()
     assert sections._per_group(rows.limit(0), ["repo_id", "start"], lambda key, own: iter([(*key, 0, 0)]), schema).isEmpty()
+
+
+def test_commits_asked_for_come_from_their_folders(spark, tmp_path):
+    rows = [([], "a" * 64, f"m{i}", "me", datetime(2024, 1, 1, 0, 0, i % 60), "text", "") for i in range(64)]
+    given = spark.createDataFrame(rows, "parents array<string>, schema_hash string, migration_id string, author string, ts timestamp_ntz, message string, risk_level string")
+    commits = with_commit_ids(given)[0]
+    for _ in range(2):
+        write_commits(commits.coalesce(1), f"{tmp_path}/commits")
+    asked = sorted(r.sha for r in commits.collect())[:3]
+    found = read_commits(spark, f"{tmp_path}/commits", spark.createDataFrame([(s,) for s in [*asked, "0" * 64, None]], "sha string"))
+    assert sorted(r.sha for r in found.collect()) == asked
+    assert re.search(r"PartitionFilters: \[[^\]]*prefix", plan(found))
+    none = read_commits(spark, f"{tmp_path}/commits", spark.createDataFrame([], "sha string"))
+    assert none.isEmpty()

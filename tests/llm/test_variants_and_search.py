@@ -243,6 +243,12 @@ def test_fragments_compose_associatively():
         assert ";".join(x.groups) == expected and not x.prefix[0] and not x.suffix[0] and x.sizes[2] == len(expected.split(";"))
 
 
+def test_one_python_worker_a_task_finishes_long_texts(spark):
+    frame = spark.createDataFrame([(b"k", "some words " * 50)], "key binary, text string")
+    plan = token_alignment._long(frame, BYTES, PIECES, 40, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapGroupsInArrow", "")
+
+
 def test_alignment_of_nulls_repeats_and_empty_tables(spark):
     rows = [(None, "same words here"), (None, "same words here"), (1, None), (1, None), (2, "same words here"), (2, "w" * 200), (2, "w" * 200)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")

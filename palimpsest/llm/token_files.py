@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -24,7 +25,9 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2000
 CACHE_WORDS = 500_000
+CACHE_WORD_BYTES = 64  # longer words are not remembered
 BATCH_WORDS = 2_000
+PIECE_BYTES = 8 << 20  # of text encoded at a time
 FILE_BYTES = 64 << 20  # of text per file, about
 
 #: Writer options of the files.
@@ -40,6 +43,8 @@ OPTIONS = {
 
 #: A word of plain letters and the marks behind it. Its letters are composed already and have one lower-case form each.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+LETTERS, MARKS = ("".join(c for c in map(chr, range(0x21, 0x100)) if PLAIN.fullmatch(x.format(c))) for x in ("{}", "a{}"))
+MARKS = MARKS.translate(dict.fromkeys(map(ord, LETTERS)))
 PROBES = ("the", "Straße", "ÉTÉ", "ÿÀé", "xqzjv", "don")
 
 
@@ -63,60 +68,89 @@ class WordEncoder:
         self.simple = all(self.batch([w + m])[0] == self.plain(w.lower()) + (self.batch([m])[0] if m else []) for w, m in tails)
 
     def plain(self, word: str) -> list[int]:
-        return [x.id for x in self.model.tokenize(word.translate(self.table))]
+        return [x.id for x in self.model.tokenize(word if word.isascii() else word.translate(self.table))]
 
     def batch(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
 class WordIds:
-    """Ids of whole texts from the ids of their words, as little-endian 32-bit bytes.
+    """Ids of whole texts from the ids of their words.
 
     Right for tokenizers that never join text across a space or newline and drop both: then a text's ids
-    are those of its words in a row. Words are encoded by the library once and remembered, up to a bound.
+    are those of its words in a row. The texts of a batch are split as arrays, and a plain word into its lower-cased letters
+    and its marks. These parts are encoded by the library once and remembered in arrays, up to a bound; those not met for
+    the longest time go first.
     """
 
     def __init__(self, encoder: WordEncoder) -> None:
-        self.encoder, self.known = encoder, {"": b""}
-
-    def of(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) >= CACHE_WORDS:
-            known.clear()
-            known[""] = b""
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(new) >= CACHE_WORDS:  # a text of very many different words: in pieces, remembering nothing
-            return b"".join(self._bytes(words[i : i + BATCH_WORDS]) for i in range(0, len(words), BATCH_WORDS))
-        self._learn(new)
-        return b"".join(map(known.__getitem__, words))
-
-    def _learn(self, new: list[str]) -> None:
-        known, encoder, other = self.known, self.encoder, new
-        if encoder.simple:
-            other = []
-            for word in new:
-                match = PLAIN.fullmatch(word)
-                if match is None:
-                    other.append(word)
-                    continue
-                front, tail = match[1].lower(), match[2]
-                if front not in known:
-                    known[front] = array("I", encoder.plain(front)).tobytes()
-                if tail not in known:
-                    known[tail] = self._bytes([tail])
-                known[word] = known[front] + known[tail] if tail else known[front]
+        self.encoder = encoder
+        self.parts, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+        self.met, self.now = np.zeros(0, dtype=np.int64), 0
+
+    def of(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """The ids of each text and `end_id`; a null text is empty."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        ids = pa.concat_arrays([self._words(coded.dictionary), pa.array([[end_id]], self.ids.type)])
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        taken = ids.take(pa.array(np.insert(coded.indices.to_numpy(), ends, len(ids) - 1)))
+        return pa.ListArray.from_arrays(taken.offsets.take(pa.array(np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]))), taken.values)
+
+    def _words(self, words: pa.Array) -> pa.ListArray:
+        """The ids of different words: of the letters and of the marks of plain ones, else of all and of nothing."""
+        plain = pc.match_substring_regex(words, f"^{PLAIN.pattern}$") if self.encoder.simple else pa.array(np.zeros(len(words), dtype=bool))
+        fronts = pc.if_else(plain, pc.utf8_lower(pc.utf8_rtrim(words, characters=MARKS)), words)
+        tails = pc.if_else(plain, pc.utf8_ltrim(words, characters=LETTERS), "")
+        coded = pa.concat_arrays([fronts, tails]).dictionary_encode()
+        ids, places = self._known(coded.dictionary)
+        both = ids.take(pa.array(places[coded.indices.to_numpy()].reshape(2, -1).T.ravel()))
+        return pa.ListArray.from_arrays(pa.array(both.offsets.to_numpy()[::2]), both.values)
+
+    def _known(self, parts: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """Lists of ids, and the place among them of each of some different parts."""
+        places = pc.fill_null(pc.index_in(parts, value_set=self.parts), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.now += 1
+        self.met[places[places >= 0]] = self.now
+        open_ = np.flatnonzero(places < 0)
+        if not len(open_):
+            return self.ids, places
+        new = parts.take(pa.array(open_))
+        learnt = pa.array(self._learn(new.to_pylist()), self.ids.type)
+        places[open_] = len(self.ids) + np.arange(len(open_))
+        ids = pa.concat_arrays([self.ids, learnt])
+        self.met = np.concatenate([self.met, np.where(pc.binary_length(new).to_numpy() <= CACHE_WORD_BYTES, self.now, 0)])
+        self.parts, self.ids = pa.concat_arrays([self.parts, new]), ids
+        if len(self.met) > CACHE_WORDS or not self.met.all():
+            kept = np.flatnonzero(self.met)
+            if len(kept) > CACHE_WORDS:
+                kept = np.sort(kept[np.argsort(-self.met[kept], kind="stable")[: CACHE_WORDS * 3 // 4]])
+            self.parts, self.ids, self.met = self.parts.take(pa.array(kept)), self.ids.take(pa.array(kept)), self.met[kept]
+        return ids, places
+
+    def _learn(self, new: list[str]) -> list[list[int]]:
+        encoder, out, other = self.encoder, [[]] * len(new), []
+        for place, part in enumerate(new):
+            if encoder.simple and part.isalpha() and PLAIN.fullmatch(part) and part == part.lower():
+                out[place] = encoder.plain(part)
+            elif part:
+                other.append(place)
         for i in range(0, len(other), BATCH_WORDS):
-            part = other[i : i + BATCH_WORDS]
-            for word, ids in zip(part, encoder.batch(part)):
-                known[word] = array("I", ids).tobytes()
+            some = other[i : i + BATCH_WORDS]
+            for place, ids in zip(some, encoder.batch([new[k] for k in some])):
+                out[place] = ids
+        return out
 
-    def _bytes(self, words: list[str]) -> bytes:
-        return b"".join(np.array(ids, dtype="<u4").tobytes() for ids in self.encoder.batch(words))
+
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `PIECE_BYTES` of text; a longer text is one alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(batch):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + PIECE_BYTES, "right")))
+        yield batch.slice(first, last - first)
+        first = last
 
 
 @lru_cache(maxsize=1)
@@ -138,15 +172,10 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer)
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for first in range(0, len(batch), 500):
-                some = batch.slice(first, 500)
-                data = [words.of(x) + end for x in some.column("text").to_pylist()]
-                n = np.array([len(x) // 4 for x in data], dtype=np.int64)
-                flat = pa.array(np.frombuffer(b"".join(data), dtype="<i4"))
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(n), ids], ["doc_id", "n_tokens", "ids"])
+            for some in _pieces(batch):
+                ids = words.of(some.column("text"), end_id)
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
 
     encoded = ordered.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>")
     encoded.select("doc_id", "n_tokens", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "ids").write.options(**OPTIONS).parquet(folder)

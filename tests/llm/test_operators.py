@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,31 @@ def test_token_files(spark, tmp_path):
     assert token_files.read_index(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_words_are_encoded_once():
+    fronts = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnop", repeat=5), 100_000)]
+    words = [x for f in fronts for x in (f, f.capitalize(), f + ",", f + ".", f.upper(), f + "!")]
+    encoder = token_files.WordEncoder(vocabulary("word_bpe_49k.json"))
+    asked, plain = [], encoder.plain
+    encoder.plain = lambda w: asked.append(w) or plain(w)
+    ids = token_files.WordIds(encoder)
+    batches = [pa.array([" ".join(words[i : i + 1000]) for i in range(k, k + 150_000, 1000)]) for k in range(0, 600_000, 150_000)] * 2
+    found = [ids.of(b, 1) for b in batches]
+    assert len(asked) == len(fronts)
+    assert found[:4] == found[4:]
+    assert found[0][0].as_py() == encoder.tokenizer.encode(batches[0][0].as_py(), add_special_tokens=False).ids + [1]
+
+
+@pytest.mark.parametrize("bound", (0, 3))
+def test_words_beyond_the_cache(monkeypatch, bound):
+    monkeypatch.setattr(token_files, "CACHE_WORDS", bound)
+    encoder = token_files.WordEncoder(vocabulary("word_bpe_49k.json"))
+    ids, texts = token_files.WordIds(encoder), [None, "", "One  two,\nthree; FOUR", "two five " * 3, "x" * 100, "\n", "two five six seven"]
+    expected = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    whole = pa.array(["cut off", *texts])
+    assert ids.of(whole.slice(1), 1).to_pylist() == expected
+    assert [ids.of(whole.slice(i, 1), 1).to_pylist()[0] for i in range(1, len(whole))] == expected
+
+
 def test_statistics(spark):
     def plain(text):
         text = text or ""

@@ -83,14 +83,16 @@ def _per_repository(rows: DataFrame, answer: Callable[[Repository], Iterator[tup
                     if own is not None:
                         yield own
                     own = Repository(name)
-                if kind == _EDGE:
+                if kind == _ASKED:
+                    own.asked.append((a, b))
+                elif not own.asked:
+                    continue  # questions come first: without one nothing is kept, whatever the size
+                elif kind == _EDGE:
                     own.links.append((a, i, b))
                 elif kind == _COMMIT:
                     own.there.add(a)
-                elif kind == _LABEL:
-                    own.labels[a] = (i, j, k)
                 else:
-                    own.asked.append((a, b))
+                    own.labels[a] = (i, j, k)
         if own is not None:
             yield own
 
@@ -101,7 +103,7 @@ def _per_repository(rows: DataFrame, answer: Callable[[Repository], Iterator[tup
 
     # Dealt out by a hash of its own: a union that claims to be partitioned by repository keeps to it no longer once a
     # join below it is turned into a broadcast at run time.
-    return rows.repartition(F.xxhash64("repo_id")).sortWithinPartitions("repo_id").mapInArrow(run, schema)
+    return rows.repartition(F.xxhash64("repo_id")).sortWithinPartitions("repo_id", F.desc("kind")).mapInArrow(run, schema)
 
 
 def _schema(df: DataFrame, columns: str) -> T.StructType:
@@ -228,15 +230,43 @@ def is_ancestor(commits: DataFrame, edges: DataFrame, pairs: DataFrame, labels:
     """Per (repo_id, candidate, start): is the candidate reachable from, or equal to, the start.
 
     A parent that is no commit is reachable too. Labels (`reach_labels`; made here if not given) decide most pairs.
-    Only the rest walks, from the start and no further than labels leave open.
+    Only the rest walks, from the start and no further than labels leave open. Pairs with a null are false; further columns
+    of `pairs` are joined to the answers.
     """
+    keys = ["repo_id", "candidate", "start"]
+    if sorted(pairs.columns) != sorted(keys) or any(pairs.schema[c].dataType != T.StringType() for c in keys[1:]):
+        asked = pairs.select(*keys).where("repo_id is not null and candidate is not null and start is not null").distinct()
+        joined = pairs.join(_reached(edges, asked, labels, repo_edges), keys, "left")
+        return joined.select(*pairs.columns, F.coalesce("is_ancestor", F.lit(False)).alias("is_ancestor"))
+    answers = _reached(edges, pairs.where("repo_id is not null"), labels, repo_edges)
+    nowhere = pairs.where("repo_id is null").withColumn("is_ancestor", F.lit(False))
+    return answers.unionByName(nowhere).select(*pairs.columns, "is_ancestor")
+
+
+def _reached(edges: DataFrame, asked: DataFrame, labels: DataFrame | None, repo_edges: int | None) -> DataFrame:
+    """repo_id, candidate, start, is_ancestor of each row asked for. Edges and questions of a small repository meet once, in its task, where labels are made if not given."""
+    small, large = _split(edges, asked, repo_edges)
+    given = labels is not None
+
+    def answer(own: Repository) -> Iterator[tuple]:
+        parents = own.parents() if own.asked else {}
+        known = own.labels if given else graph_tasks.labels(parents)
+        for candidate, start in own.asked:
+            yield own.name, candidate, start, candidate is not None and start is not None and graph_tasks.reaches(parents, known, start, candidate)
+
+    rows = _stacked(edges, None, labels, small.select("repo_id", F.col("candidate").alias("a"), F.col("start").alias("b")))
+    answers = _per_repository(rows, answer, _schema(asked, "candidate string, start string, is_ancestor boolean"))
+    return answers if large is None else answers.unionByName(_reached_large(edges, large, labels, repo_edges))
+
+
+def _reached_large(edges: DataFrame, pairs: DataFrame, labels: DataFrame | None, repo_edges: int | None) -> DataFrame:
+    """The same where a repository or what is asked of it does not fit into a task: labels are joined to the pairs, and only the rest walks."""
     asked = pairs.select("repo_id", "candidate", "start").where("candidate is not null and start is not null").distinct()
-    if labels is None:
-        labels = reach_labels(_of(edges, asked), repo_edges)
-    labels = durable(labels)
+    labels = durable(reach_labels(_of(edges, asked), repo_edges) if labels is None else labels)
     settled = durable(decide(asked, labels))
     open_ = settled.where("is_ancestor is null").drop("is_ancestor")
     small, large = _split(edges, open_, repo_edges)
+    answers = settled.where("is_ancestor is not null").select("repo_id", "candidate", "start", "is_ancestor")
 
     def answer(own: Repository) -> Iterator[tuple]:
         parents = own.parents() if own.asked else {}
@@ -244,14 +274,13 @@ def is_ancestor(commits: DataFrame, edges: DataFrame, pairs: DataFrame, labels:
             yield own.name, candidate, start, graph_tasks.reaches(parents, own.labels, start, candidate)
 
     rows = _stacked(_of(edges, small), None, _of(labels, small), small.select("repo_id", F.col("candidate").alias("a"), F.col("start").alias("b")))
-    answers = _per_repository(rows, answer, _schema(pairs, "candidate string, start string, is_ancestor boolean"))
-    answers = answers.unionByName(settled.where("is_ancestor is not null").select(*answers.columns))
+    answers = answers.unionByName(_per_repository(rows, answer, _schema(pairs, "candidate string, start string, is_ancestor boolean")))
     if large is not None:
         reached = sections.distances(_of(edges, large).select("repo_id", "child", "idx", "parent"), large.select("repo_id", "start").distinct(), None, sections.SECTION_EDGES, lambda kind: None)
         hit = large.join(reached.select("repo_id", "start", F.col("sha").alias("candidate"), F.lit(True).alias("_hit")), ["repo_id", "start", "candidate"], "left")
         answers = answers.unionByName(hit.select("repo_id", "candidate", "start", F.col("_hit").isNotNull().alias("is_ancestor")))
     joined = pairs.join(answers, ["repo_id", "candidate", "start"], "left")
-    return joined.select(*pairs.columns, F.coalesce("is_ancestor", F.lit(False)).alias("is_ancestor"))
+    return joined.select("repo_id", "candidate", "start", F.coalesce("is_ancestor", F.lit(False)).alias("is_ancestor"))
 
 
 def merge_base(commits: DataFrame, edges: DataFrame, pairs: DataFrame, repo_edges: int | None = None) -> DataFrame:

@@ -201,3 +201,18 @@ def test_ancestors_that_are_no_commits(spark, monkeypatch, small):
     assert found == {("a", "a", False), ("a", "b", False), ("a", "gone", True), ("a", "lost", True), ("none", "none", True)}
     pairs = spark.createDataFrame([(1, "lost", "a"), (1, "b", "a"), (1, "other", "a")], "repo_id int, candidate string, start string")
     assert {r.candidate: r.is_ancestor for r in H.is_ancestor(commits, edges, pairs).collect()} == {"lost": True, "b": True, "other": False}
+
+
+def test_pairs_of_small_repositories_travel_once(spark):
+    edges = spark.createDataFrame([(1, "b", 0, "a"), (1, "c", 0, "b")], "repo_id int, child string, idx int, parent string")
+    commits = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c")], "repo_id int, sha string")
+    rows = [(1, "a", "c"), (1, "a", "c"), (1, "c", "a"), (1, None, "a"), (1, "a", None), (None, "a", "a"), (2, "x", "x"), (2, "x", "y")]
+    pairs = spark.createDataFrame(rows, "repo_id int, candidate string, start string")
+    found = H.is_ancestor(commits, edges, pairs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and plan.count("Exchange") == 1
+    expected = sorted(map(str, zip(rows, [True, True, False, False, False, False, True, False])))
+    for how in ({}, {"labels": H.reach_labels(edges)}, {"repo_edges": 0}):
+        assert sorted(str(((r[0], r[1], r[2]), r[3])) for r in H.is_ancestor(commits, edges, pairs, **how).collect()) == expected
+    more = pairs.withColumn("note", F.lit("n"))
+    assert sorted(str(((r[0], r[1], r[2]), r[4])) for r in H.is_ancestor(commits, edges, more).collect()) == expected

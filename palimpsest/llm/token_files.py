@@ -29,6 +29,7 @@ CACHE_WORD_BYTES = 64  # longer words are not remembered
 BATCH_WORDS = 2_000
 PIECE_BYTES = 8 << 20  # of text encoded at a time
 FILE_BYTES = 64 << 20  # of text per file, about
+SENT_IDS = 128  # of a document in a row on their way to a checksum
 
 #: Writer options of the files.
 OPTIONS = {
@@ -91,9 +92,9 @@ class WordIds:
     def of(self, texts: pa.Array, end_id: int) -> pa.ListArray:
         """The ids of each text and `end_id`; a null text is empty."""
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts.cast(pa.string()), ""), "\n", " "), " ")
-        coded = lists.flatten().dictionary_encode()
+        ends, coded = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py(), lists.flatten().dictionary_encode()
+        del lists
         ids = pa.concat_arrays([self._words(coded.dictionary), pa.array([[end_id]], self.ids.type)])
-        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
         taken = ids.take(pa.array(np.insert(coded.indices.to_numpy(), ends, len(ids) - 1)))
         return pa.ListArray.from_arrays(taken.offsets.take(pa.array(np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]))), taken.values)
 
@@ -116,7 +117,7 @@ class WordIds:
         if not len(open_):
             return self.ids, places
         new = parts.take(pa.array(open_))
-        learnt = pa.array(self._learn(new.to_pylist()), self.ids.type)
+        learnt = pa.concat_arrays([pa.array(self._learn(new.slice(i, BATCH_WORDS).to_pylist()), self.ids.type) for i in range(0, len(new), BATCH_WORDS)])
         places[open_] = len(self.ids) + np.arange(len(open_))
         ids = pa.concat_arrays([self.ids, learnt])
         self.met = np.concatenate([self.met, np.where(pc.binary_length(new).to_numpy() <= CACHE_WORD_BYTES, self.now, 0)])
@@ -135,10 +136,8 @@ class WordIds:
                 out[place] = encoder.plain(part)
             elif part:
                 other.append(place)
-        for i in range(0, len(other), BATCH_WORDS):
-            some = other[i : i + BATCH_WORDS]
-            for place, ids in zip(some, encoder.batch([new[k] for k in some])):
-                out[place] = ids
+        for place, ids in zip(other, encoder.batch([new[k] for k in other])):
+            out[place] = ids
         return out
 
 
@@ -176,6 +175,8 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str, end_id: int
             for some in _pieces(batch):
                 ids = words.of(some.column("text"), end_id)
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
+                del ids
+                pa.default_memory_pool().release_unused()  # a worker stays, and would keep the most that it ever had
 
     encoded = ordered.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids array<int>")
     encoded.select("doc_id", "n_tokens", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), "ids").write.options(**OPTIONS).parquet(folder)
@@ -196,13 +197,32 @@ def read_documents(spark: SparkSession, folder: str, doc_ids: list[int]) -> Data
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """row and ids_crc32: the CRC-32 of each document's ids as little-endian unsigned 32-bit integers."""
+    """row and ids_crc32: the CRC-32 of each document's ids as little-endian unsigned 32-bit integers.
+
+    A document's ids travel in rows of `SENT_IDS`, which follow each other, so that the bytes of a batch do not depend
+    on the length of documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, crc = [], 0  # the document that the next batch may go on with
         for batch in batches:
-            ids = batch.column("ids")
-            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(crc, pa.int64())], ["row", "ids_crc32"])
-
-    return spark.read.parquet(folder).select("row", "ids").mapInArrow(run, "row bigint, ids_crc32 bigint")
+            rows, ids = batch.column("row").to_numpy(), batch.column("ids")
+            firsts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])[: len(rows)])
+            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+            cuts, done = np.append(ends[firsts], ends[-1]).tolist(), []
+            for row, a, b in zip(rows[firsts].tolist(), cuts, cuts[1:]):
+                if last != [row]:
+                    done += [(x, crc) for x in last]
+                    last, crc = [row], 0
+                crc = zlib.crc32(flat[a:b], crc)
+            yield _sums(done)
+        yield _sums([(x, crc) for x in last])
+
+    written = spark.read.parquet(folder)
+    first = F.explode(F.sequence(F.lit(1), F.greatest(F.size("ids"), F.lit(1)), F.lit(SENT_IDS)))
+    parts = written.select("row", "ids", first.alias("first")).select("row", F.slice("ids", F.col("first"), SENT_IDS).alias("ids"))
+    return parts.mapInArrow(run, "row bigint, ids_crc32 bigint")
+
+
+def _sums(sums: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in sums], pa.int64()) for i in (0, 1)], ["row", "ids_crc32"])

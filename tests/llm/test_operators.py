@@ -97,6 +97,36 @@ def test_words_beyond_the_cache(monkeypatch, bound):
     assert [ids.of(whole.slice(i, 1), 1).to_pylist()[0] for i in range(1, len(whole))] == expected
 
 
+def test_checksums_of_long_documents(spark, tmp_path, monkeypatch):
+    """No row on its way to a checksum holds more than SENT_IDS ids, and a document goes on over batches and tasks."""
+    n = token_files.SENT_IDS
+    lists = [[1], [], list(range(n)), list(range(n + 1)), [7] * (5 * n), [49_000 - i for i in range(3 * n - 1)], [2, 1]] * 2
+    spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "row long, ids array<int>").repartitionByRange(3, "row").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([], "row long, ids array<int>").write.parquet(str(tmp_path / "e"))
+    sent, send = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, *a: sent.append(df) or send(df, *a))
+    records = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in ("1", "2", "3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            found = token_files.checksums(spark, str(tmp_path / "t")).collect()
+            assert sorted((r["row"], r["ids_crc32"]) for r in found) == [(i, zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(lists)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    assert sent[0].agg(F.max(F.size("ids"))).first()[0] == n
+    assert token_files.checksums(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_new_words_are_learnt_in_parts(monkeypatch):
+    monkeypatch.setattr(token_files, "BATCH_WORDS", 3)
+    encoder = token_files.WordEncoder(vocabulary("word_bpe_49k.json"))
+    asked, learn = [], token_files.WordIds._learn
+    monkeypatch.setattr(token_files.WordIds, "_learn", lambda self, new: asked.append(len(new)) or learn(self, new))
+    texts = ["one two, three; 4 five\nsix.", None, "é 7 eight one"]
+    assert token_files.WordIds(encoder).of(pa.array(texts), 1).to_pylist() == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    assert max(asked) == 3
+
+
 def test_statistics(spark):
     def plain(text):
         text = text or ""

@@ -249,6 +249,32 @@ def test_one_python_worker_a_task_finishes_long_texts(spark):
     assert "FlatMapGroupsInArrow" in plan and "MapInArrow" not in plan.replace("FlatMapGroupsInArrow", "")
 
 
+def test_alignment_sends_workers_short_batches(spark, monkeypatch):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    met, before, durable = [], [spark.conf.get(k) for k in keys], token_alignment.durable
+    monkeypatch.setattr(token_alignment, "durable", lambda df: met.append([int(spark.conf.get(k)) for k in keys]) or durable(df))
+    frame = spark.createDataFrame([(i, "some words here " * 9) for i in range(3)], "doc_id long, text string")
+    found = token_alignment.with_counts(token_alignment.aligned(frame, BYTES, PIECES, size=50), hot_pairs=1)
+    assert len(met) == 4 and all(rows <= 200 and size <= 8 << 20 for rows, size in met)
+    assert "InArrow" not in found._jdf.queryExecution().executedPlan().toString()  # nothing is left for a worker
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_pair_sums_in_parts():
+    rnd, sums, sent = random.Random(3), token_alignment.PairSums(held=40, fresh=10), []
+    lists = [np.array(rnd.sample(range(90), rnd.randint(0, 30)), dtype=np.int64) for _ in range(50)]
+    for own in lists:
+        if sums.add(own):
+            sent += sums.sent()
+    sent += sums.sent()
+    counts = Counter()
+    for batch in sent:
+        pairs = batch.column("pair").to_pylist()
+        assert len(set(pairs)) == len(pairs)
+        counts.update(dict(zip(pairs, batch.column("n").to_pylist())))
+    assert counts == Counter(x for own in lists for x in own.tolist()) and len(sent) > 2 and not list(sums.sent())
+
+
 def test_alignment_of_nulls_repeats_and_empty_tables(spark):
     rows = [(None, "same words here"), (None, "same words here"), (1, None), (1, None), (2, "same words here"), (2, "w" * 200), (2, "w" * 200)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")

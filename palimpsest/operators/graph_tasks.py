@@ -139,13 +139,13 @@ def merge_base(parents: Parents, known: Labels, there: set[str], left: str, righ
     return None, "missing commit" if met else "no common ancestor", visited + len(reached.seen)
 
 
-def relax(parents: dict[str, list[tuple[str, int]]], held: dict[str, int], fresh: dict[str, int], own: int, within: int | None) -> tuple[dict[str, int], dict[tuple[int, str], int]]:
+def relax(parents: dict[int, list[tuple[int, int]]], held: dict[int, int], fresh: dict[int, int], own: int, within: int | None) -> tuple[dict[int, int], dict[tuple[int, int], int]]:
     """Shorter distances inside section `own`, and offers to names of other sections, from distances that are new.
 
     `parents` names each parent with its section; `held` are the distances known before.
     """
     best, found = dict(held), {}
-    offers: dict[tuple[int, str], int] = {}
+    offers: dict[tuple[int, int], int] = {}
     heap = [(d, n) for n, d in fresh.items()]
     heapq.heapify(heap)
     while heap:
@@ -164,7 +164,7 @@ def relax(parents: dict[str, list[tuple[str, int]]], held: dict[str, int], fresh
     return found, offers
 
 
-def ordered(links: list[tuple[int, str, int, str]], entry: dict[str, int]) -> list[tuple[int, str]]:
+def ordered(links: list[tuple[int, int, int, int]], entry: dict[int, int]) -> list[tuple[int, int]]:
     """(distance, name) of the names that `links` lead to, in walk order.
 
     `links` are (distance of the parent, child, idx, parent) where the parent is one step further than the child; `entry`
@@ -174,7 +174,7 @@ def ordered(links: list[tuple[int, str, int, str]], entry: dict[str, int]) -> li
     order, out, at = entry, [], 0
     while at < len(links):
         depth, end = links[at][0], at
-        first: dict[str, tuple[int, int]] = {}
+        first: dict[int, tuple[int, int]] = {}
         while end < len(links) and links[end][0] == depth:
             _, child, idx, parent = links[end]
             first[parent] = min(first.get(parent, (order[child], idx)), (order[child], idx))

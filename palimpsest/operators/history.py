@@ -150,7 +150,8 @@ def walk(edges: DataFrame, starts: DataFrame, within: int | None = None, repo_ed
     if large is None:
         return walked
     own = edges.join(large.select("repo_id").distinct(), "repo_id", "left_semi").select("repo_id", "child", "idx", "parent")
-    return walked.unionByName(sections.walk(own, large, within, section_edges or sections.SECTION_EDGES).select(*walked.columns))
+    by_sections = sections.walk(own, large, within, section_edges or sections.SECTION_EDGES).select(*walked.columns)
+    return by_sections if small.isEmpty() else walked.unionByName(by_sections)
 
 
 def bfs_rank(walked: DataFrame) -> DataFrame:
@@ -180,7 +181,7 @@ def log(
 
     A start or parent that is no commit is a row with `missing` = true.
     """
-    ranked = durable(walk(edges, starts, limit if limit > 0 else None, repo_edges, section_edges))
+    ranked = durable(walk(edges, starts, limit if limit > 0 else None, repo_edges, section_edges), "zstd")
     if limit > 0:
         ranked = ranked.filter(F.col("rank") <= limit)
     there = commits.withColumn("_there", F.lit(True))

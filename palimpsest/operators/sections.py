@@ -6,7 +6,7 @@ carries new distances through a whole section and offers what leaves it to other
 many rounds as it crosses sections, not one per level or merge. **Order**: with distances known, names of one distance
 are ordered by (place of the child, parent position). Distances are cut into blocks; a task works through a whole
 block and hands only the places of its last distance to the next one. What is kept of a name has a fixed size.
-Rounds are written to the checkpoint folder.
+Rounds are written to the checkpoint folder. They know names by numbers in their order, and names are put back at the end.
 """
 
 from __future__ import annotations
@@ -59,6 +59,32 @@ def _per_group(rows: DataFrame, keys: Sequence[str], work: Callable[[tuple, list
     return shaped.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def _numbered(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Edges and starts with numbers for names, then the name of each number, and that of each start.
+
+    Numbers follow the order of names in a repository. An edge without a child or parent leads nowhere and is left out.
+    """
+    own = edges.where("child is not null and parent is not null").select("repo_id", F.monotonically_increasing_id().alias("edge"), F.col("idx").cast("int").alias("idx"), "child", "parent")
+    ends = durable(own, "zstd").select("repo_id", "edge", "idx", F.posexplode(F.array("child", "parent")).alias("end", "sha"))
+    asked = starts.select("repo_id", F.lit(None).cast("bigint").alias("edge"), F.lit(None).cast("int").alias("idx"), F.lit(2).alias("end"), F.col("start").alias("sha"))
+    name = ["repo_id", "sha"]
+    rows = ends.unionByName(asked).repartitionByRange(*name).sortWithinPartitions(*name).withColumn("_at", F.monotonically_increasing_id())
+    rows = rows.withColumn("number", F.min("_at").over(W.partitionBy(*name))).withColumn("first", F.col("_at") == F.col("number"))
+    rows = durable(rows.select("repo_id", "number", "first", "edge", "idx", "end", F.when(F.col("first") | (F.col("end") == 2), F.col("sha")).alias("sha")), "zstd")
+    children = rows.where("end = 0").select("repo_id", "edge", "idx", F.col("number").alias("child"))
+    parents = rows.where("end = 1").select("edge", F.col("number").alias("parent"))
+    links = durable(children.join(parents, "edge").select("repo_id", "child", "idx", "parent"))
+    begun = rows.where("end = 2").select("repo_id", "number", "sha").distinct()
+    return links, begun.select("repo_id", F.col("number").alias("start")), rows.where("first").select("number", "sha"), begun.select("number", "sha")
+
+
+def _named(rows: DataFrame, names: DataFrame, starts: DataFrame) -> DataFrame:
+    """`rows` with names again instead of the numbers in start and sha."""
+    found = rows.withColumnsRenamed({"start": "_start", "sha": "number"}).join(names, "number").drop("number")
+    found = found.withColumnRenamed("_start", "number").join(starts.withColumnRenamed("sha", "start"), "number")
+    return found.select(*rows.columns)
+
+
 def heights(edges: DataFrame, seen: Rounds) -> DataFrame:
     """repo_id, sha, height: steps along first parents, by pointer doubling; on a cycle some number."""
     first = edges.groupBy("repo_id", F.col("child").alias("sha")).agg(F.min_by("parent", F.struct("idx", "parent")).alias("to"))
@@ -90,18 +116,24 @@ def cut(edges: DataFrame, size: int, seen: Rounds) -> tuple[DataFrame, DataFrame
 
 def distances(edges: DataFrame, starts: DataFrame, within: int | None, size: int, seen: Rounds) -> DataFrame:
     """repo_id, start, sha, depth of all names each start reaches."""
+    links, begun, names, start_names = _numbered(edges, starts)
+    return _named(_distances(links, begun, within, size, seen), names, start_names)
+
+
+def _distances(edges: DataFrame, starts: DataFrame, within: int | None, size: int, seen: Rounds) -> DataFrame:
+    """The same where names are numbers."""
     placed, places = cut(edges, size, seen)
     zero = F.lit(0).cast("bigint")
     begun = starts.join(places.withColumnRenamed("sha", "start"), ["repo_id", "start"], "left")
     fresh = durable(begun.select("repo_id", "start", F.coalesce("section", zero).alias("section"), F.col("start").alias("sha"), zero.alias("depth")))
     schema = T.StructType([*fresh.schema.fields, T.StructField("inside", T.BooleanType())])
-    none = F.lit(None).cast("string")
+    none = F.lit(None).cast("bigint")
 
     def carry(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
         repo, start, own = key
-        parents: dict[str, list[tuple[str, int]]] = {}
-        held: dict[str, int] = {}
-        new: dict[str, int] = {}
+        parents: dict[int, list[tuple[int, int]]] = {}
+        held: dict[int, int] = {}
+        new: dict[int, int] = {}
         for kind, sha, parent, number in rows:
             if kind == 0:
                 parents.setdefault(sha, []).append((parent, number))
@@ -145,12 +177,12 @@ def _blocks(links: DataFrame, size: int) -> DataFrame:
 
 
 def ranks(edges: DataFrame, labels: DataFrame, size: int, seen: Rounds) -> DataFrame:
-    """repo_id, start, sha, depth, rank of names whose distances are known: their 1-based place in the walk."""
+    """repo_id, start, sha, depth, rank of names (as numbers) whose distances are known: their 1-based place in the walk."""
     walk = ["repo_id", "start"]
     children = labels.select(*walk, F.col("sha").alias("child"), "depth")
     parents = labels.select(*walk, F.col("sha").alias("parent"), (F.col("depth") - 1).alias("depth"))
     tight = edges.select("repo_id", "child", "idx", "parent").join(children, ["repo_id", "child"]).join(parents, [*walk, "parent", "depth"])
-    links = durable(_blocks(tight.select(*walk, "depth", "child", F.col("idx").cast("int").alias("idx"), "parent"), size))
+    links = durable(_blocks(durable(tight.select(*walk, "depth", "child", "idx", "parent")), size))
     blocks = sorted(r["block"] for r in links.select("block").distinct().collect())
     schema = T.StructType([*labels.select(*walk, "sha", "depth").schema.fields, T.StructField("place", T.LongType()), T.StructField("last", T.BooleanType())])
 
@@ -165,7 +197,7 @@ def ranks(edges: DataFrame, labels: DataFrame, size: int, seen: Rounds) -> DataF
         last = found[-1][0] if found else 0
         yield from ((*key, n, d + 1, i, d == last) for i, (d, n) in enumerate(found, 1))
 
-    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("bigint")
     roots = labels.where("depth = 0").select(*walk, "sha", "depth", F.lit(1).cast("bigint").alias("place"), F.lit(True).alias("last"))
     done, border = [roots.withColumn("block", F.lit(-1).cast("bigint"))], roots
     for block in blocks:
@@ -188,5 +220,6 @@ def ranks(edges: DataFrame, labels: DataFrame, size: int, seen: Rounds) -> DataF
 
 def walk(edges: DataFrame, starts: DataFrame, within: int | None = None, size: int = SECTION_EDGES, seen: Rounds = lambda kind: None) -> DataFrame:
     """repo_id, start, sha, depth, rank of first-in-first-out walks; `seen` is told of each round."""
-    labels = distances(edges, starts, within, size, seen)
-    return ranks(edges, labels, size, seen)
+    links, begun, names, start_names = _numbered(edges, starts)
+    labels = _distances(links, begun, within, size, seen)
+    return _named(ranks(links, labels, size, seen), names, start_names)

@@ -100,6 +100,23 @@ def test_merges_take_few_rounds(spark):
     assert len(rounds) <= 40 and rows[0].asDict().keys() == {"repo_id", "start", "sha", "depth", "rank"}
 
 
+def test_rounds_by_sections_hold_numbers_not_names(spark, monkeypatch):
+    """Names are written with the edges and with their numbers; rounds know neither names nor what the names are like."""
+    tables, durable = [], sections.durable
+    monkeypatch.setattr(sections, "durable", lambda df, *how: tables.append(dict(df.dtypes)) or durable(df, *how))
+    edges = [(0, "d", 0, "c"), (0, "d", 0, "b"), (0, "d", 0, "é"), (0, "c", 0, "a"), (0, "b", 0, "a"), (0, "a", 0, None), (0, None, 0, "x"), (1, "d", 0, "c"), (1, "c", 1, "b")]
+    frame = spark.createDataFrame(edges + edges[:2], "repo_id int, child string, idx int, parent string")
+    starts = spark.createDataFrame([(0, "d"), (1, "d"), (1, "none"), (1, "none")], "repo_id int, start string")
+    rows = sections.walk(frame, starts, None, 2).collect()
+    found = {}
+    for r in sorted(rows, key=lambda r: r["rank"]):
+        found.setdefault((r.repo_id, r.start), []).append((r.sha, r.depth, r["rank"]))
+    assert found == {
+        (0, "d"): [("d", 0, 1), ("b", 1, 2), ("c", 1, 3), ("é", 1, 4), ("a", 2, 5)], (1, "d"): [("d", 0, 1), ("c", 1, 2), ("b", 2, 3)], (1, "none"): [("none", 0, 1)],
+    }
+    assert len(tables) > 10 and sum("string" in kinds.values() for kinds in tables) == 2
+
+
 def test_labels_decide_without_edges(spark):
     graphs = random_graphs(6, 40, 3)
     _, edges = frames(spark, graphs)

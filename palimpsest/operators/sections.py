@@ -30,8 +30,8 @@ Rounds = Callable[[str], None]
 
 
 def _few(df: DataFrame) -> DataFrame:
-    """A materialised table, marked for a broadcast if it has few rows (counted)."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """A materialised table, marked for a broadcast if it has few rows (counted), else to be merged: numbers compress so well that Spark may take it for small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df.hint("merge")
 
 
 def _per_group(rows: DataFrame, keys: Sequence[str], work: Callable[[tuple, list[tuple]], Iterator[tuple]], schema: T.StructType) -> DataFrame:

@@ -10,10 +10,10 @@ from palimpsest.functions.names import default_namespace, is_hash, is_ref, objec
 from palimpsest.functions.texts import collapse_space, screen_text
 from palimpsest.operators.corpus import name_collisions, split_arguments
 from palimpsest.operators.fingerprints import bucket_hashes, group_hash, table_hash
-from palimpsest.plans.inputs import BROKEN_SQL, CATALOG_SQL, HISTORY_SQL, VERSIONS_SQL, Registry, broken, catalog, encoded, history, listed, scratch, table, versions
-from palimpsest.session import durable
+from palimpsest.plans.inputs import BROKEN_SQL, CATALOG_SQL, HISTORY_SQL, VERSIONS_SQL, Registry, broken, catalog, commit_sha, encoded, history, listed, scratch, table, versions
+from palimpsest.session import durable, large
 from palimpsest.sources.catalog import read_catalog, write_catalog
-from palimpsest.sources.commits import read_commits, verify_commits, with_commit_ids, write_commits
+from palimpsest.sources.commits import PAYLOAD, read_commits, verify_commits, with_commit_ids, write_commits
 from palimpsest.sources.conflicts import read_conflicts, write_conflicts
 from palimpsest.sources.migrations import applied_ids, list_migrations, read_ledger, read_migrations, with_checksums, write_migrations
 from palimpsest.sources.objects import append_index, append_new, create_index, put_if_absent, put_into, read_objects, verify_objects
@@ -115,9 +115,11 @@ c as (select s.repo_id, sha256(o.o_orderstatus) schema_hash, case when o.o_order
 
 def _commit_rows(spark, sf):
     h = history(spark, sf)
-    parents = h["edges"].groupBy(F.col("child").alias("own")).agg(F.array_sort(F.collect_list(F.struct("idx", "parent"))).alias("ps"))
+    # Commits and their parents meet by the keys of their orders; names are made of them afterwards.
+    parents = h["links"].groupBy(F.col("child").alias("own")).agg(F.collect_list(F.struct("idx", "parent")).alias("ps"))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    rows = h["numbered"].join(orders, "o_orderkey").join(parents, F.col("sha") == F.col("own"), "left")
+    rows = h["numbered"].join(large(orders, ["o_orderkey"]), "o_orderkey").join(parents.hint("merge"), F.col("o_orderkey") == F.col("own"), "left")
+    rows = rows.withColumn("ps", F.array_sort(F.transform("ps", lambda x: F.struct(x["idx"].alias("idx"), commit_sha(x["parent"]).alias("parent")))))
     return rows.select(
         "repo_id",
         "o_orderkey",
@@ -148,18 +150,20 @@ _COMMIT_HASH = f"sha256({encoded(*_PAYLOAD)})"
 def s4_round_trip(spark, sf):
     """Commits written twice, read back, and checked against their hashes."""
     path = scratch(spark, "commits")
-    commits = durable(with_commit_ids(_commit_rows(spark, sf), "Asia/Tokyo")[0])
+    commits = durable(with_commit_ids(_commit_rows(spark, sf), "Asia/Tokyo")[0], "zstd")
     for _ in range(2):
         write_commits(commits, path)
-    back = read_commits(spark, path)
-    return back.join(verify_commits(back).select("sha"), "sha", "left_anti").select("sha", "author", "ts", "message")
+    # Copies are told apart once, for the check and for the result.
+    back = durable(read_commits(spark, path).select("sha", *PAYLOAD), "zstd")
+    broken = durable(verify_commits(back).select("sha"))
+    return back.join(broken, "sha", "left_anti").select("sha", "author", "ts", "message")
 
 
 @registry.add("s4_read_some", f"with recursive {HISTORY_SQL}, {COMMIT_SQL} select distinct {_COMMIT_HASH} as sha, author from c where starts_with({_COMMIT_HASH}, '0')")
 def s4_some(spark, sf):
     """Commits asked for by hash come from their prefix folders."""
     path = scratch(spark, "commits")
-    commits = durable(with_commit_ids(_commit_rows(spark, sf), "Asia/Tokyo")[0])
+    commits = durable(with_commit_ids(_commit_rows(spark, sf), "Asia/Tokyo")[0], "zstd")
     write_commits(commits, path)
     return read_commits(spark, path, commits.where("sha like '0%'").select("sha")).select("sha", "author")
 

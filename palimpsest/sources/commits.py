@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
 
-from palimpsest.functions.encoding import content_id, empty_as_absent
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from palimpsest.functions.encoding import content_id, empty_as_absent, packed, unpacked
 from palimpsest.functions.names import is_hash
 from palimpsest.session import durable
 
 PAYLOAD = ["parents", "schema_hash", "migration_id", "author", "ts", "message", "risk_level"]
+HASHES = ("sha", "parents", "schema_hash")  # travel as bytes: in a shuffle hex does not compress
 
 
 def with_commit_ids(df: DataFrame, zone: str = "UTC") -> tuple[DataFrame, DataFrame]:
@@ -32,10 +35,16 @@ def verify_commits(commits: DataFrame) -> DataFrame:
     return commits.withColumn("actual", content_id(commits, PAYLOAD)).filter(~F.col("sha").eqNullSafe(F.col("actual")))
 
 
+def _hashes(df: DataFrame, change: Callable[[Column], Column], kind: str) -> DataFrame:
+    """`df` with `change` made to hashes and lists of hashes, where they are of a type."""
+    lists = {n: F.transform(F.col(n), change) for n, t in df.dtypes if n in HASHES and t == f"array<{kind}>"}
+    return df.withColumns(lists | {n: change(F.col(n)) for n, t in df.dtypes if n in HASHES and t == kind})
+
+
 def write_commits(commits: DataFrame, path: str) -> None:
     """Append commits, partitioned by hash prefix."""
-    prefixed = commits.withColumn("prefix", F.substring("sha", 1, 2))
-    prefixed.hint("rebalance", F.col("prefix")).write.mode("append").option("compression", "zstd").partitionBy("prefix").parquet(path)
+    prefixed = _hashes(commits.withColumn("prefix", F.substring("sha", 1, 2)), packed, "string").hint("rebalance", F.col("prefix"))
+    _hashes(prefixed, unpacked, "binary").write.mode("append").option("compression", "zstd").partitionBy("prefix").parquet(path)
 
 
 def read_commits(spark: SparkSession, path: str, shas: DataFrame | None = None) -> DataFrame:
@@ -45,4 +54,4 @@ def read_commits(spark: SparkSession, path: str, shas: DataFrame | None = None)
         wanted = durable(shas.select("sha", F.substring("sha", 1, 2).alias("prefix")).distinct())
         folders = [r["prefix"] for r in wanted.select("prefix").distinct().collect()]  # two digits: at most 256
         stored = stored.where(F.lpad(F.col("prefix").cast("string"), 2, "0").isin(folders)).join(wanted.select("sha"), "sha", "left_semi")
-    return stored.drop("prefix").dropDuplicates(["sha"])
+    return _hashes(_hashes(stored.drop("prefix"), packed, "string").dropDuplicates(["sha"]), unpacked, "binary")

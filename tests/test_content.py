@@ -1,11 +1,16 @@
 """Encodings, fingerprints, the object store, migrations, conflicts and strict JSON."""
 
+import hashlib
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.functions.encoding import content_id, empty_as_absent, row_text
+from palimpsest.functions.encoding import content_id, empty_as_absent, packed, row_text, unpacked
 from palimpsest.operators.fingerprints import group_hash, table_hash
 from palimpsest.operators.versions import conflicts, merge3
+from palimpsest.plans.content import _commit_rows
+from palimpsest.plans.inputs import history
 from palimpsest.sources.commits import read_commits, verify_commits, with_commit_ids, write_commits
 from palimpsest.sources.conflicts import clear_conflicts, read_conflicts, write_conflicts
 from palimpsest.sources.migrations import NoMigrationLedger, applied_ids, list_migrations, read_ledger, read_migrations, with_checksums, write_migrations
@@ -193,3 +198,38 @@ def test_conflicts_of_a_merge_are_replaced_in_one_write(spark, tmp_path):
     assert [r.object_id for r in read_conflicts(spark, path).collect()] == ["row:t.2", "row:t.3"]
     clear_conflicts(spark, "m2", path)
     assert [r.object_id for r in read_conflicts(spark, path).collect()] == ["row:t.3"]
+
+
+def test_packed_texts_come_back(spark):
+    texts = ["ab" * 32, "AB" * 32, "ab" * 31 + "a", "ab" * 32 + "\n", "", "0", "00", "\x01ab", "é", "none", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("p", packed(F.col("t")))
+    found = {r.i: (r.back, r.n) for r in rows.select("i", unpacked(F.col("p")).alias("back"), F.octet_length("p").alias("n")).collect()}
+    assert [found[i][0] for i in range(len(texts))] == texts and found[0][1] == 33 and found[1][1] == 65
+    assert rows.select("p").distinct().count() == len(texts)
+
+
+def test_stored_commits_travel_as_bytes(spark, tmp_path):
+    """Hashes are bytes in the shuffles of a store, and texts again behind them; copies with equal names are one row."""
+    rows = [("a" * 64, ["b" * 64, "not a hash", None], "c" * 64, "x"), ("d" * 64, [], "none", "y"), ("e" * 64, None, None, "z"), ("short", ["f" * 64], "A" * 64, "w")]
+    commits = spark.createDataFrame(rows, "sha string, parents array<string>, schema_hash string, author string")
+    for _ in range(2):
+        write_commits(commits, str(tmp_path / "c"))
+    back = read_commits(spark, str(tmp_path / "c"))
+    assert sorted(map(tuple, back.select("sha", "parents", "schema_hash", "author").collect())) == sorted(rows)
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    grouped = next(line for line in plan.splitlines() if "Aggregate" in line)
+    assert "unhex" in plan[plan.index(grouped):] and back.schema["sha"].dataType.simpleString() == "string"
+
+
+def test_commits_of_orders_and_their_parents(spark, tmp_path):
+    """Parents by the keys of orders: the same lists as by names, for orders that come twice too."""
+    days = [datetime(2024, 1, d) for d in range(1, 9)]
+    rows = [(k, k % 2, "O", 1.0, day, "1-URGENT") for k, day in zip((1, 2, 3, 4, 5, 15, 25, 31), days)] + [(15, 1, "O", 1.0, days[7], "5-LOW")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    edges = history(spark, str(tmp_path))["edges"].collect()
+    expected = {}
+    for e in sorted(edges, key=lambda e: (e.child, e.idx, e.parent)):
+        expected.setdefault(e.child, []).append(e.parent)
+    found = _commit_rows(spark, str(tmp_path)).select("o_orderkey", "parents").collect()
+    name = lambda k: hashlib.sha256(f"c|{k}".encode()).hexdigest()
+    assert len(found) == 11 and len(edges) > 8 and all(r.parents == expected.get(name(r.o_orderkey)) for r in found)
